@@ -13,7 +13,7 @@ from normspark import values as v
 from normspark.config import Config
 from normspark.functions import naming
 from normspark.functions.columns import computed, first_match
-from normspark.operators.keyed import broadcast_checked, lookup
+from normspark.operators.keyed import broadcast_checked, checkpoint, lookup
 
 # --- classes --------------------------------------------------------------------------------
 
@@ -245,10 +245,14 @@ def keyword_match(rules: DataFrame, vocabulary: DataFrame, config: Config) -> Da
 
 
 def with_path(rules: DataFrame, vocabulary: DataFrame, config: Config) -> DataFrame:
-    """prop_path by the ladder exact, case fold, fuzzy, keywords, lower-case raw path."""
-    first = exact_or_fold(rules, vocabulary)
+    """prop_path by the ladder exact, case fold, fuzzy, keywords, lower-case raw path.
+
+    The first step and the fuzzy matches are read several times below, so both are cut loose from
+    their lineage.
+    """
+    first = checkpoint(exact_or_fold(rules, vocabulary))
     open_rows = first.filter(F.col("exact_prop").isNull() & F.col("fold_prop").isNull())
-    close = fuzzy(open_rows, vocabulary, config)
+    close = checkpoint(fuzzy(open_rows, vocabulary, config))
     known = keyword_match(
         open_rows.join(close, "low", "left_anti"), vocabulary, config
     ).select("rule_id", "keyword_prop")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from normspark import values as v
 from normspark.config import Config
 from normspark.functions.columns import local_name
-from normspark.operators.keyed import broadcast_checked
+from normspark.operators.keyed import broadcast_checked, checkpoint
 
 DEPTH = 64
 
@@ -124,7 +124,7 @@ def entity_types(
             F.col("range").isNotNull() & (F.col("o_kind") == "iri")
         ).select(F.col("o").alias("focus"), F.col("range").alias("class"))
         types = types.unionByName(by_domain).unionByName(by_range)
-    closure = subclass_closure(edges)
+    closure = checkpoint(subclass_closure(edges))
     up = types.join(broadcast_checked(closure), F.col("class") == F.col("sub"), "left")
     return up.select("focus", F.coalesce("sup", "class").alias("class")).distinct()
 
@@ -296,15 +296,18 @@ def results(
     edges: DataFrame | None = None,
     domains: DataFrame | None = None,
 ) -> DataFrame:
-    """All results: focus_node, source_shape, source_path, result_message, severity, component."""
-    graph = triples.dropDuplicates()
-    wanted = checks(shapes, without_idle(shapes, constraints))
-    types = entity_types(graph, edges, domains)
-    targets = focus_targets(graph, types, shapes)
+    """All results: focus_node, source_shape, source_path, result_message, severity, component.
+
+    triples is read several times and should be a stored or checkpointed table. Every check counts
+    or compares distinct values, so repeated triples need no pass of their own.
+    """
+    wanted = checkpoint(checks(shapes, without_idle(shapes, constraints)))
+    types = entity_types(triples, edges, domains)
+    targets = focus_targets(triples, types, shapes)
     found = (
-        count_results(graph, targets, wanted)
-        .unionByName(datatype_results(graph, targets, wanted))
-        .unionByName(pattern_results(graph, targets, wanted))
+        count_results(triples, targets, wanted)
+        .unionByName(datatype_results(triples, targets, wanted))
+        .unionByName(pattern_results(triples, targets, wanted))
     )
     return result_rows(found, config)
 
