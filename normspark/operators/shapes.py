@@ -282,3 +282,26 @@ def prefix_blocks(files: DataFrame) -> DataFrame:
     return files.select(
         "source", F.substring_index("ttl_text", "# Rule:", 1).alias("prefix_text")
     )
+
+
+def generated_tables(shapes: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """Built shapes as the shapes and constraints tables of the validation."""
+    ns = F.lit(config.namespace)
+    text = F.lit(None).cast("string")
+    return (
+        shapes.select(
+            "shape_id", "target_kind", F.concat(ns, F.col("target_name")).alias("target"), "severity"
+        ),
+        shapes.select(
+            "shape_id",
+            F.concat(ns, F.col("prop_name")).alias("prop_id"),
+            F.lit(True).alias("named"),
+            F.concat(ns, F.col("prop_path")).alias("path"),
+            "min_count",
+            "max_count",
+            "datatype",
+            "pattern",
+            "message",
+            text.alias("severity"),
+        ),
+    )
