@@ -44,7 +44,8 @@ def ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataF
 
     Rows are range-partitioned and sorted, and that layout is checkpointed so that both uses of it
     see the same partitions. Row counts per partition give each partition its first number; the
-    number inside a partition comes from the low bits of monotonically_increasing_id.
+    number inside a partition comes from the low bits of monotonically_increasing_id. Range
+    partitioning reads its input twice, so df should be a stored or checkpointed table.
     """
     laid_out = checkpoint(df.repartitionByRange(*order).sortWithinPartitions(*order))
     tagged = laid_out.withColumn("_id", F.monotonically_increasing_id())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from normspark import values as v
 from normspark.config import Config
 from normspark.functions import deontic
-from normspark.functions.columns import computed, strip, words
+from normspark.functions.columns import computed, strip, word_count
 
 
 def with_strength(rows: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def decide(rows: DataFrame, config: Config) -> DataFrame:
     text, weight = F.col("text"), F.col("section_weight")
     none = F.array().cast("array<string>")
     bare = computed(rows, text=strip(text))
-    read = computed(bare, _words=F.size(words(text)), _act=deontic.speech_act(text))
+    read = computed(bare, _words=word_count(text), _act=deontic.speech_act(text))
     marked = with_strength(computed(read, _length=deontic.length_reason(F.col("_words"))))
     strength = F.col("deontic_strength")
     too_long = F.col("_length").isNotNull()

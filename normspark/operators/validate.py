@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from normspark import values as v
 from normspark.config import Config
-from normspark.functions.columns import local_name
+from normspark.functions.columns import computed, local_name
 from normspark.operators.keyed import broadcast_checked, checkpoint
 
 DEPTH = 64
+# shapes and constraints up to this many are broadcast, more join by shuffle
+SMALL_SHAPES = 100_000
 
 # --- shape set ------------------------------------------------------------------------------
 
@@ -151,19 +153,19 @@ def without_idle(shapes: DataFrame, constraints: DataFrame) -> DataFrame:
     )
 
 
-def class_targets(types: DataFrame, shapes: DataFrame) -> DataFrame:
+def class_targets(types: DataFrame, shapes: DataFrame, hint=broadcast_checked) -> DataFrame:
     """(focus, target_kind, target) for nodes of a target class."""
     wanted = shapes.filter(F.col("target_kind") == "class").select("target").distinct()
     return types.join(
-        broadcast_checked(wanted), F.col("class") == F.col("target"), "left_semi"
+        hint(wanted), F.col("class") == F.col("target"), "left_semi"
     ).select("focus", F.lit("class").alias("target_kind"), F.col("class").alias("target"))
 
 
-def subject_targets(triples: DataFrame, shapes: DataFrame) -> DataFrame:
+def subject_targets(triples: DataFrame, shapes: DataFrame, hint=broadcast_checked) -> DataFrame:
     """(focus, target_kind, target) for subjects that have a target property."""
     wanted = shapes.filter(F.col("target_kind") == "subjects_of").select("target").distinct()
     return (
-        triples.join(broadcast_checked(wanted), F.col("p") == F.col("target"), "left_semi")
+        triples.join(hint(wanted), F.col("p") == F.col("target"), "left_semi")
         .select(
             F.col("s").alias("focus"),
             F.lit("subjects_of").alias("target_kind"),
@@ -173,8 +175,10 @@ def subject_targets(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     )
 
 
-def focus_targets(triples: DataFrame, types: DataFrame, shapes: DataFrame) -> DataFrame:
-    return class_targets(types, shapes).unionByName(subject_targets(triples, shapes))
+def focus_targets(
+    triples: DataFrame, types: DataFrame, shapes: DataFrame, hint=broadcast_checked
+) -> DataFrame:
+    return class_targets(types, shapes, hint).unionByName(subject_targets(triples, shapes, hint))
 
 
 def focus_nodes(targets: DataFrame, shapes: DataFrame) -> DataFrame:
@@ -198,25 +202,27 @@ def checks(shapes: DataFrame, constraints: DataFrame) -> DataFrame:
     return constraints.withColumnRenamed("severity", "prop_severity").join(own, "shape_id")
 
 
-def value_counts(triples: DataFrame, check_rows: DataFrame) -> DataFrame:
+def value_counts(triples: DataFrame, check_rows: DataFrame, hint=broadcast_checked) -> DataFrame:
     """Distinct values per subject and checked path."""
     paths = check_rows.select(F.col("path").alias("p")).distinct()
     return (
-        triples.join(broadcast_checked(paths), "p", "left_semi")
+        triples.join(hint(paths), "p", "left_semi")
         .groupBy(F.col("s").alias("focus"), F.col("p").alias("path"))
         .agg(F.countDistinct("o", "o_kind", F.coalesce("datatype", F.lit(""))).alias("n"))
     )
 
 
-def count_results(triples: DataFrame, targets: DataFrame, check_rows: DataFrame) -> DataFrame:
+def count_results(
+    triples: DataFrame, targets: DataFrame, check_rows: DataFrame, hint=broadcast_checked
+) -> DataFrame:
     """Too few or too many values: one result per node and constraint."""
     counted = check_rows.filter(
         F.col("min_count").isNotNull() | F.col("max_count").isNotNull()
     ).select(*CARRIED, "target_kind", "target", "min_count", "max_count")
-    expected = targets.join(broadcast_checked(counted), ["target_kind", "target"])
-    seen = expected.join(value_counts(triples, counted), ["focus", "path"], "left").withColumn(
-        "n", F.coalesce("n", F.lit(0))
-    )
+    expected = targets.join(hint(counted), ["target_kind", "target"])
+    seen = expected.join(
+        value_counts(triples, counted, hint), ["focus", "path"], "left"
+    ).withColumn("n", F.coalesce("n", F.lit(0)))
     few = F.col("n") < F.col("min_count")
     many = F.col("n") > F.col("max_count")
     kind = F.array_compact(
@@ -240,44 +246,38 @@ def lexical_ok(value: Column, datatype: Column) -> Column:
     return ok.otherwise(F.lit(True))
 
 
-def _values(triples: DataFrame, check_rows: DataFrame, filled: str) -> DataFrame:
-    """Distinct values on paths that have the given check, with their constraints."""
-    used = check_rows.filter(F.col(filled).isNotNull()).select(
-        *CARRIED, "target_kind", "target", F.col(filled).alias("_check")
-    )
-    return triples.withColumnsRenamed({"s": "focus", "p": "path"}).join(
-        broadcast_checked(used), "path"
-    )
-
-
-def _wrong_values(bad: DataFrame, targets: DataFrame, component: str) -> DataFrame:
-    return (
-        bad.dropDuplicates(["focus", "shape_id", "prop_id", "path", "o", "o_kind", "datatype"])
-        .join(targets, ["focus", "target_kind", "target"], "left_semi")
-        .select("focus", *CARRIED, F.lit(component).alias("component"), F.col("o").alias("value"))
-    )
-
-
-def datatype_results(triples: DataFrame, targets: DataFrame, check_rows: DataFrame) -> DataFrame:
-    """One result per value of another type or written wrongly.
+def value_results(
+    triples: DataFrame, targets: DataFrame, check_rows: DataFrame, hint=broadcast_checked
+) -> DataFrame:
+    """One result per value of another type or form, and one per value without the pattern.
 
-    Wrong values are filtered out before the join with the targets, so right ones never move.
+    Both checks share one pass over the triples. Good values are dropped before the join with the
+    targets, so only bad ones move.
     """
-    rows = _values(triples, check_rows, "datatype")
-    actual = F.coalesce("datatype", F.lit(""))
-    bad = (
+    used = check_rows.filter(
+        F.col("datatype").isNotNull() | F.col("pattern").isNotNull()
+    ).select(*CARRIED, "target_kind", "target", F.col("datatype").alias("_type"), "pattern")
+    rows = triples.withColumnsRenamed({"s": "focus", "p": "path"}).join(hint(used), "path")
+    value = F.col("o")
+    wrong_type = F.col("_type").isNotNull() & (
         (F.col("o_kind") != "literal")
-        | (actual != F.col("_check"))
-        | ~lexical_ok(F.col("o"), F.col("_check"))
+        | (F.coalesce("datatype", F.lit("")) != F.col("_type"))
+        | ~lexical_ok(value, F.col("_type"))
     )
-    return _wrong_values(rows.filter(bad), targets, "datatype")
-
-
-def pattern_results(triples: DataFrame, targets: DataFrame, check_rows: DataFrame) -> DataFrame:
-    """One result per value in which the pattern is not found."""
-    rows = _values(triples, check_rows, "pattern")
-    return _wrong_values(
-        rows.filter(~F.regexp_like(F.col("o"), F.col("_check"))), targets, "pattern"
+    no_match = F.col("pattern").isNotNull() & ~F.regexp_like(value, F.col("pattern"))
+    marked = computed(
+        rows,
+        _bad=F.array_compact(
+            F.array(
+                F.when(wrong_type, F.lit("datatype")), F.when(no_match, F.lit("pattern"))
+            )
+        ),
+    ).filter(F.size("_bad") > 0)
+    return (
+        marked.select("focus", *CARRIED, "target_kind", "target", "o", "o_kind", "datatype", "_bad")
+        .distinct()
+        .join(targets, ["focus", "target_kind", "target"], "left_semi")
+        .select("focus", *CARRIED, F.explode("_bad").alias("component"), value.alias("value"))
     )
 
 
@@ -302,12 +302,13 @@ def results(
     or compares distinct values, so repeated triples need no pass of their own.
     """
     wanted = checkpoint(checks(shapes, without_idle(shapes, constraints)))
+    own = checkpoint(shapes.select("shape_id", "target_kind", "target"))
+    small = max(own.count(), wanted.count()) <= SMALL_SHAPES
+    hint = F.broadcast if small else (lambda df: df)
     types = entity_types(triples, edges, domains)
-    targets = focus_targets(triples, types, shapes)
-    found = (
-        count_results(triples, targets, wanted)
-        .unionByName(datatype_results(triples, targets, wanted))
-        .unionByName(pattern_results(triples, targets, wanted))
+    targets = checkpoint(focus_targets(triples, types, own, hint))
+    found = count_results(triples, targets, wanted, hint).unionByName(
+        value_results(triples, targets, wanted, hint)
     )
     return result_rows(found, config)
 

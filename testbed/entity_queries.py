@@ -444,8 +444,8 @@ def _component(name: str, component: str, check):
 
 _component("min_count_check", "min_count", va.count_results)
 _component("max_count_check", "max_count", va.count_results)
-_component("datatype_check", "datatype", va.datatype_results)
-_component("pattern_check", "pattern", va.pattern_results)
+_component("datatype_check", "datatype", va.value_results)
+_component("pattern_check", "pattern", va.value_results)
 
 RESULT = "focus_node, source_shape, source_path, result_message, severity, component, value"
 

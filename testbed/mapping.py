@@ -465,5 +465,8 @@ def for_duckdb(sql: str) -> str:
     return _resolved(sql, lambda table: table)
 
 
-def for_spark(sql: str, sf_dir: str) -> str:
-    return _resolved(sql, lambda table: f"parquet.`{sf_dir}/{table}.parquet`")
+def for_spark(sql: str) -> str:
+    """The text for spark.sql with the tables as arguments; all other braces are literal."""
+    marked = _resolved(sql, lambda table: f"\x01{table}\x02")
+    escaped = marked.replace("{", "{{").replace("}", "}}")
+    return escaped.replace("\x01", "{").replace("\x02", "}")

@@ -66,7 +66,7 @@ class Bed:
 
     @cached_property
     def requests(self) -> DataFrame:
-        return checkpoint(classify.requests(self.candidates(), self.config))
+        return checkpoint(classify.requests(self.candidates(), self.config).drop("request"))
 
     @cached_property
     def store(self) -> DataFrame:

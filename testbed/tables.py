@@ -33,8 +33,16 @@ def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+# Keys the big tables are grouped or joined by, for scans with too few splits.
+SPREAD_BY = {"lineitem": "l_orderkey", "orders": "o_custkey", "events": "user_id"}
+
+
 def role(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(m.for_spark(sql, sf_dir))
+    tables = {x: given(spark, sf_dir, x) for x in m.GIVEN if "{" + x + "}" in sql}
+    for x, key in SPREAD_BY.items():
+        if x in tables:
+            tables[x] = spread(tables[x], key)
+    return spark.sql(m.for_spark(sql), **tables) if tables else spark.sql(sql)
 
 
 def entity_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
