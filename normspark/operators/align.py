@@ -13,7 +13,7 @@ from normspark import values as v
 from normspark.config import Config
 from normspark.functions import naming
 from normspark.functions.columns import computed, first_match
-from normspark.operators.keyed import broadcast_checked, checkpoint, lookup
+from normspark.operators.keyed import broadcast_checked, lookup, stored
 
 # --- classes --------------------------------------------------------------------------------
 
@@ -250,9 +250,9 @@ def with_path(rules: DataFrame, vocabulary: DataFrame, config: Config) -> DataFr
     The first step and the fuzzy matches are read several times below, so both are cut loose from
     their lineage.
     """
-    first = checkpoint(exact_or_fold(rules, vocabulary))
+    first = stored(exact_or_fold(rules, vocabulary))
     open_rows = first.filter(F.col("exact_prop").isNull() & F.col("fold_prop").isNull())
-    close = checkpoint(fuzzy(open_rows, vocabulary, config))
+    close = stored(fuzzy(open_rows, vocabulary, config))
     known = keyword_match(
         open_rows.join(close, "low", "left_anti"), vocabulary, config
     ).select("rule_id", "keyword_prop")

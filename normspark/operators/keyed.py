@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -25,20 +26,34 @@ def work_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    import tempfile
-
     current = spark.sparkContext.getCheckpointDir()
-    return current if current else tempfile.mkdtemp(prefix="normspark-")
+    if current is None:
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="normspark-"))
+        current = spark.sparkContext.getCheckpointDir()
+    return current
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through reliable files in the shared folder."""
+    """Cut the lineage through reliable files in the shared folder; keeps the partition layout."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(work_dir(spark))
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table several steps read into the shared folder and go on from there.
+
+    Cuts the lineage like checkpoint(), but columnar: later steps read only the columns and row
+    groups they need.
+    """
+    path = f"{work_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
     """Dense row numbers from 0 in the order given, without a global window.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from normspark import values as v
 from normspark.config import Config
 from normspark.functions.columns import computed, local_name
-from normspark.operators.keyed import broadcast_checked, checkpoint
+from normspark.operators.keyed import broadcast_checked, checkpoint, stored
 
 DEPTH = 64
 # shapes and constraints up to this many are broadcast, more join by shuffle
@@ -306,7 +306,7 @@ def results(
     small = max(own.count(), wanted.count()) <= SMALL_SHAPES
     hint = F.broadcast if small else (lambda df: df)
     types = entity_types(triples, edges, domains)
-    targets = checkpoint(focus_targets(triples, types, own, hint))
+    targets = stored(focus_targets(triples, types, own, hint))
     found = count_results(triples, targets, wanted, hint).unionByName(
         value_results(triples, targets, wanted, hint)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from normspark.config import Config
 from normspark.operators import entities as en
 from normspark.operators import validate as va
-from normspark.operators.keyed import checkpoint
+from normspark.operators.keyed import stored
 
 
 def person_results(
@@ -27,7 +27,7 @@ def person_check(
     ties: dict[str, list[str]] | None = None,
 ) -> DataFrame:
     """Every person with the curated rules they break."""
-    graph = checkpoint(en.triples(en.entities(tables, ties=ties), config))
+    graph = stored(en.triples(en.entities(tables, ties=ties), config))
     wanted = shapes.filter(F.col("shape_id").isin(va.person_check_shapes(config)))
     found = person_results(graph, wanted, constraints, config)
     return va.person_report(en.persons(tables), found)

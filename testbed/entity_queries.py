@@ -11,7 +11,7 @@ from normspark import values as v
 from normspark.operators import entities as en
 from normspark.operators import quality, triage
 from normspark.operators import validate as va
-from normspark.operators.keyed import checkpoint, work_dir
+from normspark.operators.keyed import checkpoint, stored, work_dir
 from normspark.plans import pipeline
 from normspark.sources import sinks
 from oracles import base as o
@@ -625,7 +625,7 @@ def _(b: Bed):
     constraints = va.presence_only(b.constraints).join(
         b.allowed_shapes.select("shape_id"), "shape_id", "left_semi"
     )
-    known = checkpoint(va.results(old, b.allowed_shapes, constraints, b.config))
+    known = stored(va.results(old, b.allowed_shapes, constraints, b.config))
     return va.recheck(
         b.entity_triples, va.content_hash(old), known, b.allowed_shapes, constraints, b.config
     ).select("focus_node", "source_shape", "source_path", "component")
@@ -664,7 +664,7 @@ def shape_rows(b: Bed) -> DataFrame:
         .agg(F.countDistinct("focus").alias("n"))
         .scalar()
     )
-    return triage.by_shape(checkpoint(b.results), students)
+    return triage.by_shape(stored(b.results), students)
 
 
 @query(
@@ -940,7 +940,7 @@ def _(b: Bed):
 def _(b: Bed):
     from normspark.operators import shapes as shp
 
-    shapes, constraints = shp.generated_tables(checkpoint(b.built), b.config)
+    shapes, constraints = shp.generated_tables(stored(b.built), b.config)
     found = va.results(b.entity_triples, shapes, constraints, b.config, b.edges)
     return found.groupBy("source_shape").agg(F.count("*").alias("n"))
 
@@ -976,18 +976,18 @@ def _(b: Bed):
         .agg(F.countDistinct("focus").alias("n"))
         .scalar()
     )
-    rows = checkpoint(b.classified)
+    rows = stored(b.classified)
     missing = responses.pending(b.requests, b.store)
     errors = triage.error_log({"classify": missing.select(F.col("text").alias("message"))})
     return triage.funnel(
         "baseline",
-        checkpoint(b.sentences),
+        stored(b.sentences),
         b.requests,
         classify.second_opinion(rows, t.second_store(rows), b.config),
         b.formulas,
         formalize.failed(b.formalised),
         b.built,
-        checkpoint(b.results),
+        stored(b.results),
         students,
         errors,
     )

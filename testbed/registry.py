@@ -12,7 +12,7 @@ from normspark.config import Config
 from normspark.operators import align, classify, entities, formalize, prefilter, segment
 from normspark.operators import shapes as shp
 from normspark.operators import validate as va
-from normspark.operators.keyed import checkpoint
+from normspark.operators.keyed import checkpoint, stored
 from testbed import mapping as m
 from testbed import tables as t
 
@@ -66,7 +66,7 @@ class Bed:
 
     @cached_property
     def requests(self) -> DataFrame:
-        return checkpoint(classify.requests(self.candidates(), self.config).drop("request"))
+        return stored(classify.requests(self.candidates(), self.config).drop("request"))
 
     @cached_property
     def store(self) -> DataFrame:
@@ -99,7 +99,7 @@ class Bed:
 
     @cached_property
     def formalised(self) -> DataFrame:
-        return checkpoint(formalize.formalised(self.rules, self.formula_store, self.config))
+        return stored(formalize.formalised(self.rules, self.formula_store, self.config))
 
     @cached_property
     def formulas(self) -> DataFrame:
@@ -119,7 +119,7 @@ class Bed:
         Leaves out the fuzzy step, which SQL cannot repeat."""
         classed = align.with_class(self.raw_paths, self.classes, self.config)
         found = align.exact_or_fold(classed, self.vocabulary)
-        return checkpoint(
+        return stored(
             found.withColumn("prop_path", F.coalesce("exact_prop", "fold_prop", "low")).drop(
                 "low", "exact_prop", "fold_prop"
             )
@@ -140,11 +140,11 @@ class Bed:
 
     @cached_property
     def entity_triples(self) -> DataFrame:
-        return checkpoint(entities.triples(self.entities, self.config))
+        return stored(entities.triples(self.entities, self.config))
 
     @cached_property
     def triples(self) -> DataFrame:
-        return checkpoint(
+        return stored(
             entities.triples(self.entities, self.config).unionByName(self.role(m.VALUE_TRIPLES))
         )
 

@@ -9,7 +9,7 @@ from normspark.functions import deontic, jsontext
 from normspark.functions import segment as seg
 from normspark.functions.columns import computed
 from normspark.operators import classify, prefilter, responses, sections, segment
-from normspark.operators.keyed import checkpoint
+from normspark.operators.keyed import stored
 from normspark.sources import readers
 from oracles import base as o
 from testbed import mapping as m
@@ -182,7 +182,7 @@ numbered AS (SELECT *, row_number() OVER (ORDER BY {KEYS}) - 1 AS ordinal
           FROM numbered""",
 )
 def _(b: Bed):
-    return segment.numbered(checkpoint(b.candidates().select(*KEY)), b.config).select(
+    return segment.numbered(stored(b.candidates().select(*KEY)), b.config).select(
         *KEY, "ordinal", "rule_id"
     )
 
