@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,11 +170,6 @@ def newest(
     return df.groupBy(*keys).agg(best).select(*keys, "_best.*")
 
 
-def reused(df: DataFrame) -> DataFrame:
-    """Keep a table that several outputs read; lost blocks are computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def broadcast_checked(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast hint for a table that is counted to be small; a larger one joins by shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
