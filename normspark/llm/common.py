@@ -255,25 +255,28 @@ def posted(groups: DataFrame, fingerprints: Callable[[pa.Table], np.ndarray]) ->
     in order, then one bit each for values that the group holds more than once."""
 
     def run(rows: pa.Table) -> pa.Table:
-        group = rows.column("__g")[0].as_py()
-        values, counts = np.unique(fingerprints(rows), return_counts=True)
-        edges = np.searchsorted(block_of(values), np.arange((1 << BLOCK_BITS) + 1))
-        blocks, payloads = [], []
-        for b in np.flatnonzero(np.diff(edges)):
-            own = slice(edges[b], edges[b + 1])
-            blocks.append(int(b))
-            payloads.append(values[own].tobytes() + np.packbits(counts[own] > 1).tobytes())
-        return pa.table(
-            {
-                "__block": pa.array(blocks, pa.int32()),
-                "__g": pa.array([group] * len(blocks), pa.int64()),
-                "payload": pa.array(payloads, pa.binary()),
-            }
-        )
+        return pack_fingerprints(fingerprints(rows), rows.column("__g")[0].as_py())
 
     return groups.groupBy("__g").applyInArrow(run, BLOBS)
 
 
+def pack_fingerprints(prints: np.ndarray, group: int) -> pa.Table:
+    values, counts = np.unique(prints, return_counts=True)
+    edges = np.searchsorted(block_of(values), np.arange((1 << BLOCK_BITS) + 1))
+    blocks, payloads = [], []
+    for b in np.flatnonzero(np.diff(edges)):
+        own = slice(edges[b], edges[b + 1])
+        blocks.append(int(b))
+        payloads.append(values[own].tobytes() + np.packbits(counts[own] > 1).tobytes())
+    return pa.table(
+        {
+            "__block": pa.array(blocks, pa.int32()),
+            "__g": pa.array([group] * len(blocks), pa.int64()),
+            "payload": pa.array(payloads, pa.binary()),
+        }
+    )
+
+
 def unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = (len(payload) * 8 - 7 + 64) // 65
     while n * 8 + (n + 7) // 8 > len(payload):

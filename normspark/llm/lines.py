@@ -37,11 +37,10 @@ NEW = {"n_lines": "LONG", "n_removed": "LONG"}
 
 def line_table(data: np.ndarray, offsets: np.ndarray):
     """Starts and ends of all lines with a word, and every row's first such line."""
-    edge = np.flatnonzero(data == 10)
-    starts = np.unique(np.concatenate([offsets[:-1], edge + 1]))
+    starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
     starts = starts[starts < len(data)]
-    stops = np.unique(np.concatenate([edge, offsets[1:]]))
-    ends = stops[np.searchsorted(stops, starts, "left")]
+    following = np.append(starts[1:], len(data))
+    ends = following - (data[following - 1] == 10)
     inside = np.concatenate([[0], np.cumsum(~c.SPACE[data])])
     real = inside[ends] > inside[starts]
     starts, ends = starts[real], ends[real]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, factorisation, lines, minhash, packing, ppm, relative_lz, repetition, subspace
+from . import bpe, factorisation, lines, minhash, packing, ppm, relative_lz, repetition, run_index, subspace
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
     "op2_relative_lz": relative_lz.op2_relative_lz,
     "op3_subspace": subspace.op3_subspace,
+    "op4_run_index": run_index.op4_run_index,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_factorisation": factorisation.op6_factorisation,
     "op7_ppm_language": ppm.op7_ppm_language,
