@@ -24,8 +24,6 @@ U64 = np.uint64
 STEP = 4 << 20
 #: groups of documents per shuffle partition, see grouped()
 GROUPS_PER_PARTITION = 4
-#: index blocks; a block is the fingerprints with the same leading bits
-BLOCK_BITS = 7
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -246,23 +244,31 @@ def by_row_key(rows: pa.Table) -> pa.Table:
 BLOBS = "__block INT, __g LONG, payload BINARY"
 
 
-def block_of(fingerprints: np.ndarray) -> np.ndarray:
-    return (fingerprints >> U64(64 - BLOCK_BITS)).astype(np.int32)
+def block_bits(spark: SparkSession) -> int:
+    """Index blocks are fingerprints with the same leading bits: two blocks or more for each
+    shuffle partition, so that blocks shrink as partitions are added for larger inputs."""
+    return max(6, (2 * partitions(spark) - 1).bit_length())
+
+
+def block_edges(values: np.ndarray, bits: int) -> np.ndarray:
+    """Where each block begins among sorted values."""
+    return np.searchsorted((values >> U64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
 
 
 def posted(groups: DataFrame, fingerprints: Callable[[pa.Table], np.ndarray]) -> DataFrame:
     """Fingerprints of every group, one packed row per group and index block: the distinct values
     in order, then one bit each for values that the group holds more than once."""
+    bits = block_bits(groups.sparkSession)
 
     def run(rows: pa.Table) -> pa.Table:
-        return pack_fingerprints(fingerprints(rows), rows.column("__g")[0].as_py())
+        return pack_fingerprints(fingerprints(rows), rows.column("__g")[0].as_py(), bits)
 
     return groups.groupBy("__g").applyInArrow(run, BLOBS)
 
 
-def pack_fingerprints(prints: np.ndarray, group: int) -> pa.Table:
+def pack_fingerprints(prints: np.ndarray, group: int, bits: int) -> pa.Table:
     values, counts = np.unique(prints, return_counts=True)
-    edges = np.searchsorted(block_of(values), np.arange((1 << BLOCK_BITS) + 1))
+    edges = block_edges(values, bits)
     blocks, payloads = [], []
     for b in np.flatnonzero(np.diff(edges)):
         own = slice(edges[b], edges[b + 1])
@@ -315,16 +321,16 @@ def found_elsewhere(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("__block").applyInArrow(run, BLOBS)
 
 
-def answered(fingerprints: np.ndarray, answers: pa.Table) -> np.ndarray:
+def answered(fingerprints: np.ndarray, answers: pa.Table, bits: int) -> np.ndarray:
     """A group's answers, one flag for each of its fingerprints in their own order."""
     values, inverse = np.unique(fingerprints, return_inverse=True)
-    edges = np.searchsorted(block_of(values), np.arange((1 << BLOCK_BITS) + 1))
+    edges = block_edges(values, bits)
     hit = np.zeros(len(values), bool)
     blocks = answers.column("__block").to_numpy()
-    for b, bits in zip(blocks, answers.column("payload"), strict=True):
+    for b, flags in zip(blocks, answers.column("payload"), strict=True):
         n = edges[b + 1] - edges[b]
         hit[edges[b] : edges[b + 1]] = np.unpackbits(
-            np.frombuffer(bits.as_buffer(), np.uint8), count=n
+            np.frombuffer(flags.as_buffer(), np.uint8), count=n
         )
     return hit[inverse]
 

@@ -106,12 +106,13 @@ RECURRING = "doc_id LONG, __g LONG, row INT, line INT, k LONG, text STRING, band
 
 def recurring(groups: DataFrame) -> DataFrame:
     """Lines that share a band with another line."""
+    bits = c.block_bits(groups.sparkSession)
     answers = c.found_elsewhere(c.posted(groups, lambda t: bands_of(t)[-1].ravel()))
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows = c.by_row_key(rows)
         data, starts, ends, firsts, keys = bands_of(rows)
-        hit = c.answered(keys.ravel(), answers).reshape(-1, BANDS)
+        hit = c.answered(keys.ravel(), answers, bits).reshape(-1, BANDS)
         at = np.flatnonzero(hit.any(1))
         row = np.searchsorted(firsts, at, "right") - 1
         source = data.tobytes()

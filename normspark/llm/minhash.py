@@ -114,11 +114,12 @@ def postings(classes: DataFrame) -> DataFrame:
     groups = classes.select(
         "k", "signature", F.pmod(F.xxhash64("k"), F.lit(parts)).alias("__g")
     ).repartition(parts, "__g")
+    bits = c.block_bits(classes.sparkSession)
     answers = c.found_elsewhere(c.posted(groups, tokens))
 
     def shared(rows: pa.Table, answers: pa.Table) -> pa.Table:
         own = tokens(rows)
-        hit = c.answered(own, answers).reshape(-1, COORDINATES)
+        hit = c.answered(own, answers, bits).reshape(-1, COORDINATES)
         hit &= hit.sum(1, keepdims=True) >= MATCHES
         ids = np.repeat(rows.column("k").to_numpy(), COORDINATES)
         flat = hit.ravel()

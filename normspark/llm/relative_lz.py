@@ -59,6 +59,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep=None) -> DataFra
     names = [x for x in names if x.lower() not in NEW]
     rows = docs.select(*dict.fromkeys([*names, "doc_id", "text"]))
     groups = c.grouped(rows)
+    bits = c.block_bits(docs.sparkSession)
     answers = c.found_elsewhere(c.posted(groups, lambda t: windows(t, window)[-1]))
     fields = [rows.schema[x] if x != "text" else T.StructField("text", T.StringType()) for x in names]
     added = [T.StructField(k, T._parse_datatype_string(v)) for k, v in NEW.items()]
@@ -69,7 +70,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, keep=None) -> DataFra
         data, starts, ends, firsts, inside, prints = windows(rows, window)
         n = len(starts)
         held = np.zeros(max(0, n - window + 1), bool)
-        held[inside] = c.answered(prints, answers)
+        held[inside] = c.answered(prints, answers, bits)
         at, length = parse(held, window)
         mark = np.zeros(n + 1, np.int32)
         np.add.at(mark, at, 1)

@@ -38,7 +38,6 @@ from . import common as c
 
 LENGTH = 400
 GRAM = 100
-BLOCKS = 1 << 8
 GROUP_BYTES = 1 << 20
 NEW = {"n_bytes": "LONG", "n_removed": "LONG", "n_spans": "LONG", "kept": "BINARY"}
 
@@ -197,11 +196,11 @@ FACTS = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("row", "<u4"), ("start
 SPAN = np.dtype([("row", "<u4"), ("start", "<u4"), ("end", "<u4")])
 
 
-def cut_contexts(rows: pa.Table, answers: pa.Table, length: int, gram: int):
+def cut_contexts(rows: pa.Table, answers: pa.Table, length: int, gram: int, bits: int):
     """Contexts of the anchors that start elsewhere too: facts and the bytes of a group's texts."""
     data, offsets = c.text_bytes(rows.column("text"))
     places, hashes = anchors(data, offsets, length, gram)
-    hit = c.answered(hashes, answers)
+    hit = c.answered(hashes, answers, bits)
     places, hashes = places[hit], hashes[hit]
     row = np.searchsorted(offsets, places, "right") - 1
     start = np.maximum(places - (length - gram), offsets[row])
@@ -230,11 +229,14 @@ def context_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 
 def contexts_of(groups: DataFrame, answers: DataFrame, length: int, gram: int) -> DataFrame:
+    bits = c.block_bits(groups.sparkSession)
+    n_blocks = np.uint64(4 * c.partitions(groups.sparkSession))
+
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows = c.by_row_key(rows)
-        data, _, start, end, facts = cut_contexts(rows, answers, length, gram)
+        data, _, start, end, facts = cut_contexts(rows, answers, length, gram, bits)
         facts["content"] = context_hash(data, start, end)
-        block = (facts["anchor"] % np.uint64(BLOCKS)).astype(np.int32)
+        block = (facts["anchor"] % n_blocks).astype(np.int32)
         order = np.lexsort((facts["content"], facts["anchor"], block))
         facts, block, start, end = facts[order], block[order], start[order], end[order]
         new = np.ones(len(facts), bool)
@@ -400,6 +402,7 @@ def hot_strings(rows: pa.Table, spans: pa.Table, length: int):
 def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document."""
     groups = c.grouped(docs.select("doc_id", "text"))
+    bits = c.block_bits(docs.sparkSession)
 
     def sampled(rows: pa.Table) -> np.ndarray:
         return anchors(*c.text_bytes(rows.column("text")), length, gram)[1]
@@ -411,7 +414,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         rows = c.by_row_key(rows)
         spans = spans.filter(spans.column("hot"))
         values = hot_strings(rows, spans, length)[3]
-        return c.pack_fingerprints(values, rows.column("__g")[0].as_py() if len(rows) else 0)
+        return c.pack_fingerprints(values, rows.column("__g")[0].as_py() if len(rows) else 0, bits)
 
     both = groups.groupBy("__g").cogroup(marks.groupBy("__g"))
     hot = c.found_elsewhere(both.applyInArrow(hot_posts, c.BLOBS))
@@ -431,7 +434,9 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         spans = notes.filter(pa.array([bool(x) for x in is_hot.tolist()], pa.bool_()))
         if len(spans):
             _, _, places, prints = hot_strings(rows, spans, length)
-            found = c.answered(prints, notes.filter(pa.array([x is None for x in is_hot.tolist()], pa.bool_())))
+            found = c.answered(
+                prints, notes.filter(pa.array([x is None for x in is_hot.tolist()], pa.bool_())), bits
+            )
             change = np.zeros(len(data) + 1, np.int32)
             change[places[found]] += 1
             change[places[found] + length] -= 1
