@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ U64 = np.uint64
 #: bytes of text one numpy step works on
 STEP = 4 << 20
 #: groups of documents per shuffle partition, see grouped()
-GROUPS_PER_PARTITION = 4
+GROUPS_PER_PARTITION = 2
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -245,9 +245,9 @@ BLOBS = "__block INT, __g LONG, payload BINARY"
 
 
 def block_bits(spark: SparkSession) -> int:
-    """Index blocks are fingerprints with the same leading bits: two blocks or more for each
-    shuffle partition, so that blocks shrink as partitions are added for larger inputs."""
-    return max(6, (2 * partitions(spark) - 1).bit_length())
+    """Index blocks are fingerprints with the same leading bits: as many as shuffle partitions or
+    more, so that blocks shrink as partitions are added for larger inputs."""
+    return max(6, (partitions(spark) - 1).bit_length())
 
 
 def block_edges(values: np.ndarray, bits: int) -> np.ndarray:
@@ -377,41 +377,94 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.unionByName(roots)
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Dealt out by key and checkpointed, so that joins on the key shuffle the other side only."""
+    return checkpoint(df.repartition(partitions(df.sparkSession), key))
+
+
+ROUNDS = 4
+#: ids outside a key's largest component that one task compares
+ASKING = 1000
+
+
 def linked(
-    postings: DataFrame, verified: Callable[[DataFrame], DataFrame], sizes: Column | None = None
+    postings: DataFrame,
+    facts: DataFrame,
+    verified: Callable[[DataFrame], DataFrame],
+    matches: int,
+    percent: int,
 ) -> DataFrame:
     """Components of ids over all verified pairs that share a posting key: (id, component).
 
-    postings has (key, id). Pairs (a, b) with a < b go through verified(), which keeps the true
-    links. Two star rounds link every id of a key with the key's smallest and largest id, which
-    joins large groups of copies at the price of one pair per posting. What is left are pairs of
-    different components under one key; all of those are verified, none is dropped.
+    postings has (key, id), facts (id, n, signature of 32-bit minima). Pairs (a, b), a < b, go
+    through verified(), which keeps the true links. First ROUNDS rounds in which every id is
+    compared with one other: the centre (by a hash of the round) of one of its keys, if that lies in
+    another component; large groups of near copies join up in these at one pair per id. What is left
+    are keys with several components. There every id outside the key's largest component is compared
+    with all ids of the key that lie in other components, by size and signature inside the task, and
+    all likely pairs are verified; nothing is dropped. Keys are split by the ids that ask.
     """
     links = None
     found = None
-    for pick in (F.min, F.max):
-        rows = postings if found is None else in_several(postings, found)
-        centre = rows.groupBy("key").agg(pick("id").alias("centre"))
-        pairs = rows.join(centre, "key").filter("id <> centre")
-        pairs = pairs.select(
-            F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")
-        ).distinct()
+    for turn in range(ROUNDS):
+        rows = in_several(postings, found)
+        order = F.xxhash64("id", F.lit(turn))
+        centres = rows.groupBy("key").agg(F.min(F.struct(order, "id", "component")).alias("c"))
+        pairs = (
+            rows.join(centres, "key")
+            .filter("component <> c.component")
+            .groupBy("id")
+            .agg(F.min("c").alias("c"))
+            .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
+            .distinct()
+        )
         fresh = checkpoint(verified(pairs))
         links = fresh if links is None else links.unionByName(fresh)
-        found = components(links)
-    rows = checkpoint(in_several(postings, found))
-    left = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    pairs = left.join(right, "key").filter("a < b AND ca <> cb").select("a", "b").distinct()
+        found = checkpoint(components(links))
+    pairs = likely_rest(checkpoint(in_several(postings, found)), facts, matches, percent)
     return components(links.unionByName(checkpoint(verified(pairs))))
 
 
-def in_several(postings: DataFrame, found: DataFrame) -> DataFrame:
+def in_several(postings: DataFrame, found: DataFrame | None) -> DataFrame:
     """Postings with their component, of those keys that still hold several components."""
-    rows = postings.join(found, "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
-    )
+    if found is None:
+        rows = postings.withColumn("component", F.col("id"))
+    else:
+        rows = postings.join(found, "id", "left").withColumn(
+            "component", F.coalesce("component", "id")
+        )
     mixed = rows.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi")
     )
     return rows.join(mixed.filter("lo <> hi").select("key"), "key", "left_semi")
+
+
+def likely_rest(rows: DataFrame, facts: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components under one key that size and signature allow."""
+    counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    keys = counts.groupBy("key").agg(
+        F.max_by("component", "n").alias("largest"),
+        F.ceil((F.sum("n") - F.max("n")) / ASKING).cast("int").alias("parts"),
+    )
+    rows = rows.join(keys, "key").join(facts, "id")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asks = (F.col("component") != F.col("largest")) & (
+        F.pmod(F.xxhash64("id"), "parts") == F.col("part")
+    )
+    rows = rows.select("key", "part", "id", "component", "n", "signature", asks.alias("asks"))
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, own = group.column("id").to_numpy(), group.column("component").to_numpy()
+        n = group.column("n").to_numpy()
+        minima = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32)
+        minima = minima.reshape(len(ids), -1)
+        found = []
+        for i in np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False)):
+            fits = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+            at = np.flatnonzero(fits & (own != own[i]))
+            at = at[(minima[at] == minima[i]).sum(1) >= matches]
+            found.append(np.stack([np.full(len(at), ids[i]), ids[at]]))
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
+        return pa.table({"a": pairs.min(0), "b": pairs.max(0)})
+
+    return rows.groupBy("key", "part").applyInArrow(run, "a LONG, b LONG").distinct()

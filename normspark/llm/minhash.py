@@ -16,7 +16,7 @@ What remains is confirmed on the full sets. A pair at the limit of 0.85 collides
 coordinates but for a chance of about 1e-5; no candidate below the limit is linked.
 
 Equal sets are one class before the join. Classes are joined to components by common.linked(),
-which avoids the pairs inside a component. Null, empty and blank texts have no set and link with
+which makes no pairs inside a component. Null, empty and blank texts have no set and link with
 nothing. Repeated rows belong to the same class. Rows whose doc_id is null take part; a component
 of such rows alone has a null component_id and they are kept.
 """
@@ -46,9 +46,8 @@ def minima(items: np.ndarray, firsts: np.ndarray, n: int) -> np.ndarray:
     low = (items >> c.U64(32)).astype(np.uint32) ^ (items & c.U64(0xFFFFFFFF)).astype(np.uint32)
     out = np.empty((len(firsts) - 1, n), np.uint32)
     for k in range(n):
-        turned = (low ^ MASKS[k]) * FACTORS[k]
-        turned ^= turned >> np.uint32(15)
-        turned *= FACTORS[-1 - k]
+        turned = low ^ MASKS[k]
+        turned *= FACTORS[k]
         out[:, k] = np.minimum.reduceat(turned, firsts[:-1])
     return out
 
@@ -190,17 +189,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataF
     posts = postings(classes)
     # sets of classes that are posted at all, from one document each
     wanted = posts.select(F.col("id").alias("k")).distinct()
-    wanted = checkpoint(classes.join(wanted, "k", "left_semi"))
+    wanted = c.by_key(classes.join(wanted, "k", "left_semi"), "k")
     texts = rows.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
     keyed = c.extend(texts, lambda p: [signed(p)[1], *set_of(p)], {"k": "LONG", "items": "BINARY"}, [])
-    sets = checkpoint(
-        keyed.join(wanted.select("k"), "k", "left_semi").groupBy("k").agg(F.first("items").alias("items"))
-    )
+    keyed = keyed.join(wanted.select("k"), "k", "left_semi")
+    sets = c.by_key(keyed.groupBy("k").agg(F.first("items").alias("items")), "k")
 
     def verified(pairs: DataFrame) -> DataFrame:
         return confirmed(likely(pairs, wanted, percent), sets, percent)
 
-    found = c.linked(posts, verified)
+    facts = wanted.select(F.col("k").alias("id"), F.col("n_shingles").alias("n"), "signature")
+    found = c.linked(posts, facts, verified, MATCHES, percent)
     members = found.withColumnRenamed("id", "k")
     first = classes.select("k", "first").join(members, "k")
     first = first.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from normspark.operators.keyed import checkpoint
+
 from . import common as c
 
 LENGTH = 400
@@ -84,28 +86,30 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 # --- the index of one block ---
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted suffixes and their ranks; the text ends with symbols that occur once."""
+def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Sorted suffixes by prefix doubling, and for every prefix length on the way the ranks of all
+    prefixes of that length; the text ends with symbols that occur once."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(1, text.dtype)])
-    order = np.argsort(text, kind="stable")
-    rank = np.empty(n + 1, np.int64)
-    first, last = bounds(text[order])
-    rank[order], rank[n] = first + 1, 0
-    live, size = order[last - first > 1], 1
-    del padded
+    bits = max(1, int(text.max()).bit_length())
+    size = max(1, 62 // bits)
+    padded = np.concatenate([text, np.zeros(size, text.dtype)]).astype(np.int64)
+    key = padded[:n]
+    for k in range(1, size):
+        key = (key << bits) | padded[k : k + n]
+    live, rank, levels = np.arange(n), np.zeros(n + 1, np.int32), []
     while len(live):
-        key = rank[live] * (n + 2) + rank[np.minimum(live + size, n)]
         by_key = np.argsort(key, kind="stable")
-        live, key = live[by_key], key[by_key]
-        first, last = bounds(key)
+        live = live[by_key]
+        first, last = bounds(key[by_key])
         old = rank[live]
-        place = old + first - bounds(old)[0]
-        rank[live] = place
-        live, size = live[last - first > 1], size * 2
+        rank[live] = first + 1 if not levels else old + first - bounds(old)[0]
+        levels.append((size, rank.copy()))
+        live = live[last - first > 1]
+        key = rank[live].astype(np.int64) * (n + 2) + rank[np.minimum(live + size, n)]
+        size *= 2
     out = np.empty(n, np.int64)
     out[rank[:n] - 1] = np.arange(n)
-    return out, rank[:n] - 1
+    return out, levels
 
 
 def bounds(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,19 +119,18 @@ def bounds(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(at[:-1], lengths), np.repeat(at[1:], lengths)
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of suffixes a and b, eight symbols at a time."""
-    total = np.zeros(len(a), np.int64)
+def common_prefix(text: np.ndarray, levels, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of different suffixes a and b."""
+    n, total = len(text), np.zeros(len(a), np.int64)
+    a, b = a.copy(), b.copy()
+    for size, rank in reversed(levels):
+        same = (rank[a] == rank[b]) & (a < n) & (b < n)
+        a, b, total = np.minimum(a + size * same, n), np.minimum(b + size * same, n), total + size * same
+    padded = np.append(text, -1)
     live = np.arange(len(a))
-    n = len(text)
-    steps = np.arange(16)
-    while len(live):
-        x = np.minimum((a[live] + total[live])[:, None] + steps, n - 1)
-        y = np.minimum((b[live] + total[live])[:, None] + steps, n - 1)
-        same = (text[x] == text[y]) & (x != y)
-        run = np.where(same.all(1), 16, same.argmin(1))
-        total[live] += run
-        live = live[run == 16]
+    for _ in range(levels[0][0]):
+        live = live[(padded[a[live]] == padded[b[live]]) & (a[live] < n)]
+        a[live], b[live], total[live] = a[live] + 1, b[live] + 1, total[live] + 1
     return total
 
 
@@ -136,7 +139,7 @@ class RunIndex:
 
     def __init__(self, text: np.ndarray):
         self.text = text
-        self.order, self.rank = suffix_array(text)
+        self.order, self.levels = suffix_array(text)
         before = text[self.order - 1]  # the transform
         heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
         self.runs = before[heads]
@@ -150,7 +153,9 @@ class RunIndex:
         shrinks by one with each position until the next sample."""
         sampled = np.full(len(self.text), -1, np.int64)
         sampled[self.heads[0]] = 0
-        sampled[self.heads[1:]] = common_prefix(self.text, self.heads[1:], self.tails[:-1])
+        sampled[self.heads[1:]] = common_prefix(
+            self.text, self.levels, self.heads[1:], self.tails[:-1]
+        )
         at = np.arange(len(self.text))
         reach = np.where(sampled >= 0, sampled + at, 0)
         return np.maximum(np.maximum.accumulate(reach) - at, 0)
@@ -230,7 +235,7 @@ def context_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 
 def contexts_of(groups: DataFrame, answers: DataFrame, length: int, gram: int) -> DataFrame:
     bits = c.block_bits(groups.sparkSession)
-    n_blocks = np.uint64(4 * c.partitions(groups.sparkSession))
+    n_blocks = np.uint64(2 * c.partitions(groups.sparkSession))
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows = c.by_row_key(rows)
@@ -408,7 +413,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         return anchors(*c.text_bytes(rows.column("text")), length, gram)[1]
 
     answers = c.found_elsewhere(c.posted(groups, sampled))
-    marks = marked(contexts_of(groups, answers, length, gram), length)
+    marks = checkpoint(marked(contexts_of(groups, answers, length, gram), length))
 
     def hot_posts(rows: pa.Table, spans: pa.Table) -> pa.Table:
         rows = c.by_row_key(rows)
