@@ -88,9 +88,10 @@ class Suffixes:
     def lcp(self) -> np.ndarray:
         """Common prefix in words of each sorted suffix with the one before it."""
         a, b = self.order[:-1].copy(), self.order[1:].copy()
-        total, same = np.zeros(len(a), np.int64), self.end[a] == self.end[b]
+        total, end = np.zeros(len(a), np.int64), self.end[a]
+        same = end == self.end[b]
         for size, level in zip(reversed(self.sizes), reversed(self.levels), strict=True):
-            ok = same & (a + size <= self.end[a]) & (b + size <= self.end[b])
+            ok = same & (np.maximum(a, b) + size <= end)
             ok[ok] = level[a[ok]] == level[b[ok]]
             a, b, total = a + size * ok, b + size * ok, total + size * ok
         return np.concatenate([[0], total])
