@@ -45,7 +45,6 @@ class WordTokens:
         self.tokenizer, self.most = Tokenizer.from_file(path), cache_words
         self.tokenizer.no_truncation()
         self.index: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def encode(self, words: list[bytes]) -> list[np.ndarray]:
@@ -57,15 +56,16 @@ class WordTokens:
         if not new:
             return
         if len(self.index) + len(new) > self.most:
-            self.index, self.parts = {}, []
+            self.index, self.flat, self.at = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
             new = list(dict.fromkeys(words))
+        parts: list[np.ndarray] = []
         for i in range(0, len(new), 20_000):
             piece = new[i : i + 20_000]
-            for w, ids in zip(piece, self.encode(piece), strict=True):
-                self.index[w] = len(self.parts)
-                self.parts.append(ids)
-        self.flat = np.concatenate(self.parts)
-        self.at = np.concatenate([[0], np.cumsum([len(x) for x in self.parts])])
+            parts += self.encode(piece)
+        base = len(self.index)
+        self.index.update(zip(new, range(base, base + len(new)), strict=True))
+        self.flat = np.concatenate([self.flat, *parts])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in parts])])
 
     def ids(self, text: str | None) -> np.ndarray:
         """Ids of one text and the end id."""
@@ -75,7 +75,8 @@ class WordTokens:
             for w in words:
                 if len(w) <= LONG_WORD:
                     self.learn([w])
-                    parts.append(self.parts[self.index[w]])
+                    k = self.index[w]
+                    parts.append(self.flat[self.at[k] : self.at[k + 1]])
                 else:
                     parts.append(self.encode([w])[0])
             return np.concatenate([*parts, np.array([END_ID], np.uint32)])
