@@ -3,7 +3,7 @@
 Lines are the parts of a text between line feeds; lines without a word are left alone. A line's set
 is its distinct shingles of SHINGLE characters (the whole line, if it is shorter), with A-Z folded.
 Signatures are cut into BANDS bands of ROWS minima. Two lines with similarity 0.8 share a band with
-a chance of 99.7 %, at 0.9 of 99.997 %. Lines that share a band with another line are verified by
+a chance of 99.95 %; at 0.3 of 5 %, so that few unlike lines become candidates. Lines that share a band with another line are verified by
 exact Jaccard similarity of their sets, links are joined to components, and the first line of a
 component (by doc_id, then place) stays; all others are removed from their texts.
 
@@ -29,10 +29,12 @@ from . import common as c
 from .minhash import distinct, minima
 
 SHINGLE = 5
-BANDS = 8
-ROWS = 3
-#: equal minima of 24 that a pair needs before its sets are compared; 0.8 misses it once in 2,000
-MATCHES = 12
+BANDS = 19
+ROWS = 5
+#: minima that stay with a line after the banding
+SIGNATURE = 48
+#: equal minima of these that a pair needs before its sets are compared; 0.8 misses it once in 10,000
+MATCHES = 27
 PERCENT = 80
 NEW = {"n_lines": "LONG", "n_removed": "LONG"}
 
@@ -94,13 +96,14 @@ def bands_of(rows: pa.Table):
     data, offsets = c.text_bytes(rows.column("text"))
     starts, ends, firsts = line_table(data, offsets)
     keys = np.empty((len(starts), BANDS), c.U64)
-    signs = np.empty((len(starts), BANDS * ROWS), np.uint32)
+    signs = np.empty((len(starts), SIGNATURE), np.uint32)
     at = 0
     while at < len(starts):  # a bounded stretch of text at a time
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 20), "right")))
         base, stop = int(starts[at]), int(ends[to - 1])
-        signs[at:to] = signatures(data[base:stop], starts[at:to] - base, ends[at:to] - base)
-        keys[at:to] = band_keys(signs[at:to])
+        made = signatures(data[base:stop], starts[at:to] - base, ends[at:to] - base)
+        signs[at:to] = made[:, :SIGNATURE]
+        keys[at:to] = band_keys(made)
         at = to
     return data, starts, ends, firsts, signs, keys
 
