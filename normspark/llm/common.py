@@ -382,7 +382,9 @@ def by_key(df: DataFrame, key: str) -> DataFrame:
     return checkpoint(df.repartition(partitions(df.sparkSession), key))
 
 
-ROUNDS = 4
+ROUNDS = 5
+#: ids of one key that are compared with each other in a round
+BLOCK = 512
 #: ids outside a key's largest component that one task compares
 ASKING = 1000
 
@@ -397,9 +399,8 @@ def linked(
     """Components of ids over all verified pairs that share a posting key: (id, component).
 
     postings has (key, id), facts (id, n, signature of 32-bit minima). Pairs (a, b), a < b, go
-    through verified(), which keeps the true links. First ROUNDS rounds in which every id is
-    compared with one other: the centre (by a hash of the round) of one of its keys, if that lies in
-    another component; large groups of near copies join up in these at one pair per id. What is left
+    through verified(), which keeps the true links. First ROUNDS rounds in which every id gives at
+    most one pair, see nearest(); large groups of near copies join up in these. What is left
     are keys with several components. There every id outside the key's largest component is compared
     with all ids of the key that lie in other components, by size and signature inside the task, and
     all likely pairs are verified; nothing is dropped. Keys are split by the ids that ask.
@@ -407,17 +408,7 @@ def linked(
     links = None
     found = None
     for turn in range(ROUNDS):
-        rows = in_several(postings, found)
-        order = F.xxhash64("id", F.lit(turn))
-        centres = rows.groupBy("key").agg(F.min(F.struct(order, "id", "component")).alias("c"))
-        pairs = (
-            rows.join(centres, "key")
-            .filter("component <> c.component")
-            .groupBy("id")
-            .agg(F.min("c").alias("c"))
-            .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b"))
-            .distinct()
-        )
+        pairs = nearest(in_several(postings, found), facts, turn, matches, percent)
         fresh = checkpoint(verified(pairs))
         links = fresh if links is None else links.unionByName(fresh)
         found = checkpoint(components(links))
@@ -425,6 +416,59 @@ def linked(
     return components(links.unionByName(checkpoint(verified(pairs))))
 
 
+def nearest(rows: DataFrame, facts: DataFrame, turn: int, matches: int, percent: int) -> DataFrame:
+    """For every id the pair (a, b) with the id of another component whose signature is most alike.
+
+    An id looks under one of its keys, the first by a hash of the round, so that ids with common
+    keys meet; the ids of a key are dealt into blocks of about BLOCK by another such hash.
+    """
+    order = F.xxhash64("key", F.lit(turn))
+    chosen = rows.groupBy("id").agg(F.min_by(F.struct("key", "component"), order).alias("r"))
+    chosen = chosen.select("id", "r.key", "r.component")
+    parts = chosen.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    parts = parts.select("key", F.ceil(F.col("m") / BLOCK).alias("parts"))
+    blocks = chosen.join(parts, "key").join(facts, "id").select(
+        "key",
+        F.pmod(F.xxhash64("id", F.lit(turn)), "parts").alias("part"),
+        "id",
+        "component",
+        "n",
+        "signature",
+    )
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, own, n, minima = members(group)
+        found = []
+        for i in range(len(ids)):
+            at = comparable(n, own, i, percent)
+            alike = (minima[at] == minima[i]).sum(1)
+            if len(at) and alike.max() >= matches:
+                found.append((ids[i], ids[at[alike.argmax()]]))
+        return ordered_pairs(np.array(found, np.int64).reshape(-1, 2).T)
+
+    return blocks.groupBy("key", "part").applyInArrow(run, PAIRS).distinct()
+
+
+PAIRS = "a LONG, b LONG"
+
+
+def members(group: pa.Table):
+    """Ids, components, sizes and signatures of a group's rows."""
+    minima = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32)
+    ids, own, n = (group.column(x).to_numpy() for x in ("id", "component", "n"))
+    return ids, own, n, minima.reshape(len(ids), -1)
+
+
+def comparable(n: np.ndarray, own: np.ndarray, i: int, percent: int) -> np.ndarray:
+    """Rows of other components whose size allows a link with row i."""
+    fits = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
+    return np.flatnonzero(fits & (own != own[i]))
+
+
+def ordered_pairs(pairs: np.ndarray) -> pa.Table:
+    return pa.table({"a": pairs.min(0), "b": pairs.max(0)})
+
+
 def in_several(postings: DataFrame, found: DataFrame | None) -> DataFrame:
     """Postings with their component, of those keys that still hold several components."""
     if found is None:
@@ -454,17 +498,12 @@ def likely_rest(rows: DataFrame, facts: DataFrame, matches: int, percent: int) -
     rows = rows.select("key", "part", "id", "component", "n", "signature", asks.alias("asks"))
 
     def run(group: pa.Table) -> pa.Table:
-        ids, own = group.column("id").to_numpy(), group.column("component").to_numpy()
-        n = group.column("n").to_numpy()
-        minima = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32)
-        minima = minima.reshape(len(ids), -1)
+        ids, own, n, minima = members(group)
         found = []
         for i in np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False)):
-            fits = 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-            at = np.flatnonzero(fits & (own != own[i]))
+            at = comparable(n, own, i, percent)
             at = at[(minima[at] == minima[i]).sum(1) >= matches]
             found.append(np.stack([np.full(len(at), ids[i]), ids[at]]))
-        pairs = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
-        return pa.table({"a": pairs.min(0), "b": pairs.max(0)})
+        return ordered_pairs(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1))
 
-    return rows.groupBy("key", "part").applyInArrow(run, "a LONG, b LONG").distinct()
+    return rows.groupBy("key", "part").applyInArrow(run, PAIRS).distinct()
