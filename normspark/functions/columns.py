@@ -85,7 +85,7 @@ def strip(text: Column) -> Column:
 
 def capitalized(word: Column) -> Column:
     """First letter upper case, the rest lower case."""
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 1 << 30)))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, F.lit(2), F.length(word))))
 
 
 def local_name(iri: Column) -> Column:

@@ -12,7 +12,7 @@ from normspark.functions.columns import capitalized, let, literals
 
 def camel(parts: Column) -> Column:
     """First word as it is, the others capitalized."""
-    rest = F.transform(F.slice(parts, 2, 1 << 20), capitalized)
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), capitalized)
     return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
 
 
@@ -33,7 +33,7 @@ def slug(text: Column, max_words: int) -> Column:
 
 
 def lower_first(name: Column) -> Column:
-    return F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, 2, 1 << 30))
+    return F.concat(F.lower(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
 
 
 def formula_name(predicate: Column) -> Column:
@@ -41,7 +41,7 @@ def formula_name(predicate: Column) -> Column:
     spaced = F.trim(F.regexp_replace(predicate, "([A-Z])", " $1"))
 
     def joined(parts: Column) -> Column:
-        rest = F.transform(F.slice(parts, 2, 1 << 20), capitalized)
+        rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), capitalized)
         return F.concat(lower_first(F.get(parts, F.lit(0))), F.array_join(rest, ""))
 
     return let(F.split(F.regexp_replace(spaced, " +", " "), " "), joined)
@@ -72,7 +72,7 @@ def cut_domain_words(text: Column, config: Config) -> Column:
         rest = F.concat(
             F.substring(left, F.lit(1), at - 1),
             F.lit(" "),
-            F.substring(left, at + F.length(word), F.lit(1 << 30)),
+            F.substring(left, at + F.length(word), F.length(left)),
         )
         return F.when(
             at > 0, F.struct(rest.alias("left"), F.array_append(acc["found"], word).alias("found"))

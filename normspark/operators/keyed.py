@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1_000
 SALTS = 64
 CHUNK = 100_000
 
@@ -133,15 +132,13 @@ def lookup(
     """Join rows to a table with one row per key, safe against keys repeated very often.
 
     Keys with more than hot_rows rows are salted: their rows are spread over several salts and
-    their single table row is repeated once per salt. All other keys keep salt 0. At most
-    HOT_KEYS keys are treated so; the list only steers placement, never the result.
+    their single table row is repeated once per salt. All other keys keep salt 0.
+    There are at most rows / hot_rows such keys; the list only steers placement, never the result.
     """
     hot = (
         rows.groupBy(key)
         .agg(F.count("*").alias("_n"))
         .filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"))
-        .limit(HOT_KEYS)
         .select(key, F.lit(True).alias("_hot"))
     )
     # the salt comes from the row itself, so a recomputed task salts the same way

@@ -54,8 +54,8 @@ def answered(requests: DataFrame, store: DataFrame) -> DataFrame:
 
 def pending(requests: DataFrame, store: DataFrame) -> DataFrame:
     """Distinct keys and texts that have no response yet."""
-    missing = requests.join(store.select("cache_key"), "cache_key", "left_anti")
-    return missing.groupBy("cache_key").agg(F.min("text").alias("text"))
+    once = requests.groupBy("cache_key").agg(F.min("text").alias("text"))
+    return once.join(store.select("cache_key"), "cache_key", "left_anti")
 
 
 def touch(store: DataFrame, hits: DataFrame, now: Column) -> DataFrame:

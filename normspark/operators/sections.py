@@ -32,7 +32,7 @@ def _matches(text: Column, pattern: str, rank: int) -> Column:
         )
 
     return F.aggregate(
-        F.slice(pieces, 2, 1 << 20), start, step, lambda acc: acc["found"]
+        F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda acc: acc["found"]
     )
 
 

@@ -17,7 +17,6 @@ from normspark.config import Config
 from normspark.functions.columns import computed, local_name
 from normspark.operators.keyed import broadcast_checked, checkpoint, stored
 
-DEPTH = 64
 # shapes and constraints up to this many are broadcast, more join by shuffle
 SMALL_SHAPES = 100_000
 
@@ -86,21 +85,22 @@ def presence_only(constraints: DataFrame) -> DataFrame:
 
 
 def subclass_closure(edges: DataFrame) -> DataFrame:
-    """(sub, sup) for every class and each of its ancestors, itself included."""
-    return edges.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(sub, sup, depth) AS (
-            SELECT sub, sup, 1 FROM {{edges}}
-            UNION ALL
-            SELECT up.sub, e.sup, up.depth + 1 FROM up JOIN {{edges}} e ON up.sup = e.sub
-            WHERE up.depth < {DEPTH}
-        )
-        SELECT DISTINCT sub, sup FROM up
-        UNION
-        SELECT DISTINCT c, c FROM (SELECT sub AS c FROM {{edges}} UNION SELECT sup FROM {{edges}})
-        """,
-        edges=edges,
-    )
+    """(sub, sup) for every class and each of its ancestors, itself included.
+
+    Paths are doubled until no pair is new, so a chain of n edges takes about log2(n) rounds, and
+    cycles and classes with several parents add no rows: pairs stay distinct. Edges without one of
+    their ends are left out.
+    """
+    edges = edges.filter("sub IS NOT NULL AND sup IS NOT NULL").select("sub", "sup")
+    ends = edges.select("sub").unionByName(edges.select(F.col("sup").alias("sub")))
+    pairs = edges.unionByName(ends.select("sub", F.col("sub").alias("sup")))
+    pairs, known = checkpoint(pairs.distinct()), -1
+    while (n := pairs.count()) != known:
+        known = n
+        upper = pairs.select(F.col("sub").alias("_via"), F.col("sup").alias("_top"))
+        doubled = pairs.join(upper, F.col("sup") == F.col("_via"))
+        pairs = checkpoint(doubled.select("sub", F.col("_top").alias("sup")).distinct())
+    return pairs
 
 
 def entity_types(
@@ -126,7 +126,7 @@ def entity_types(
             F.col("range").isNotNull() & (F.col("o_kind") == "iri")
         ).select(F.col("o").alias("focus"), F.col("range").alias("class"))
         types = types.unionByName(by_domain).unionByName(by_range)
-    closure = checkpoint(subclass_closure(edges))
+    closure = subclass_closure(edges)
     up = types.join(broadcast_checked(closure), F.col("class") == F.col("sub"), "left")
     return up.select("focus", F.coalesce("sup", "class").alias("class")).distinct()
 
@@ -301,11 +301,22 @@ def results(
     triples is read several times and should be a stored or checkpointed table. Every check counts
     or compares distinct values, so repeated triples need no pass of their own.
     """
+    types = entity_types(triples, edges, domains)
+    return results_of(triples, types, shapes, constraints, config)
+
+
+def results_of(
+    triples: DataFrame,
+    types: DataFrame,
+    shapes: DataFrame,
+    constraints: DataFrame,
+    config: Config,
+) -> DataFrame:
+    """Results for the nodes that types and triples name; triples need only hold their own ones."""
     wanted = checkpoint(checks(shapes, without_idle(shapes, constraints)))
     own = checkpoint(shapes.select("shape_id", "target_kind", "target"))
     small = max(own.count(), wanted.count()) <= SMALL_SHAPES
     hint = F.broadcast if small else (lambda df: df)
-    types = entity_types(triples, edges, domains)
     targets = stored(focus_targets(triples, types, own, hint))
     found = count_results(triples, targets, wanted, hint).unionByName(
         value_results(triples, targets, wanted, hint)
@@ -407,16 +418,29 @@ def compliant(persons: DataFrame, result_table: DataFrame) -> DataFrame:
     )
 
 
-def content_hash(triples: DataFrame) -> DataFrame:
+def content_hash(triples: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """(s, content): fingerprint of the triples of each entity, independent of their order.
 
-    Sums of hashes combine map-side, so an entity with very many triples is no hot group.
+    With types (focus, class), as inferred from the whole graph, these count too: an entity then
+    also differs if another one has given it a class. Sums of hashes combine map-side, so an entity
+    with very many triples is no hot group.
     """
     parts = [F.coalesce(c, F.lit("")) for c in ("p", "o", "o_kind", "datatype")]
-    graph = triples.dropDuplicates()
+    graph = triples.select("s", "p", "o", "o_kind", "datatype")
+    if types is not None:
+        none = F.lit(None).cast("string")
+        graph = graph.unionByName(
+            types.select(
+                F.col("focus").alias("s"),
+                F.lit("inferred type").alias("p"),
+                F.col("class").alias("o"),
+                none.alias("o_kind"),
+                none.alias("datatype"),
+            )
+        )
     one = F.xxhash64(*parts)
     two = F.xxhash64(F.lit("b"), *parts)
-    return graph.groupBy("s").agg(
+    return graph.dropDuplicates().groupBy("s").agg(
         F.concat_ws(
             ":",
             F.count("*"),
@@ -426,9 +450,11 @@ def content_hash(triples: DataFrame) -> DataFrame:
     )
 
 
-def changed_entities(triples: DataFrame, known: DataFrame) -> DataFrame:
+def changed_entities(
+    triples: DataFrame, known: DataFrame, types: DataFrame | None = None
+) -> DataFrame:
     """(s, content, changed): entities whose fingerprint is new or differs from the known one."""
-    now = content_hash(triples)
+    now = content_hash(triples, types)
     old = known.select("s", F.col("content").alias("_old"))
     return now.join(old, "s", "left").select(
         "s", "content", (~F.col("content").eqNullSafe(F.col("_old"))).alias("changed")
@@ -445,12 +471,22 @@ def recheck(
     edges: DataFrame | None = None,
     domains: DataFrame | None = None,
 ) -> DataFrame:
-    """Results after a change: changed entities are checked again, the others keep theirs."""
-    state = changed_entities(triples, known)
+    """Results after a change: changed entities are checked again, the others keep theirs.
+
+    Types come from the whole graph, and known must be a content_hash() with the types of its time.
+    A node typed by another one's triple is thus judged with all of its own triples, and counts as
+    changed if it gains or loses a type.
+    """
+    types = stored(entity_types(triples, edges, domains))
+    state = stored(changed_entities(triples, known, types))
     changed = state.filter("changed").select("s")
     kept = state.filter("NOT changed").select(F.col("s").alias("focus_node"))
-    fresh = results(
-        triples.join(changed, "s", "left_semi"), shapes, constraints, config, edges, domains
+    fresh = results_of(
+        triples.join(changed, "s", "left_semi"),
+        types.join(changed.withColumnRenamed("s", "focus"), "focus", "left_semi"),
+        shapes,
+        constraints,
+        config,
     )
     same = known_results.join(kept, "focus_node", "left_semi")
     return fresh.unionByName(same.select(*fresh.columns))

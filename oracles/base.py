@@ -728,7 +728,7 @@ results AS (
 RESULT_CHAIN = (
     *ENTITY_CHAIN, CONFIG_TABLES, CONSTRAINTS, GRAPH, CLOSURE, INFERRED_TYPES, findings()
 )
-PERSON_CHAIN = (
+PERSON_INPUT = (
     *ENTITY_CHAIN, CONFIG_TABLES, CONSTRAINTS,
     f"""
 {role("value_triples", m.VALUE_TRIPLES)},
@@ -738,6 +738,9 @@ allowed AS (SELECT * FROM shapes WHERE shape_id IN {listed(
 presence AS (SELECT * REPLACE (CAST(NULL AS VARCHAR) AS datatype, CAST(NULL AS VARCHAR) AS pattern)
              FROM constraints)
 """,
+)
+PERSON_CHAIN = (
+    *PERSON_INPUT,
     ASSERTED_TYPES,
     findings("presence", "allowed"),
     """
@@ -748,3 +751,6 @@ persons AS (
     UNION ALL SELECT staff_id, first_name || ' ' || last_name, 'Employee' FROM staff)
 """,
 )
+INFERRED_PERSON_CHAIN = (
+    *PERSON_INPUT, CLOSURE, INFERRED_TYPES, findings("presence", "allowed")
+)

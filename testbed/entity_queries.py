@@ -618,16 +618,19 @@ def _(b: Bed):
 
 @query(
     "incremental_recheck",
-    on_persons("SELECT focus_node, source_shape, source_path, component FROM results"),
+    o.with_(*o.INFERRED_PERSON_CHAIN)
+    + "SELECT focus_node, source_shape, source_path, component FROM results",
 )
 def _(b: Bed):
     old = older_triples(b.entity_triples)
     constraints = va.presence_only(b.constraints).join(
         b.allowed_shapes.select("shape_id"), "shape_id", "left_semi"
     )
-    known = stored(va.results(old, b.allowed_shapes, constraints, b.config))
+    ontology = (b.edges, b.domains)
+    known = stored(va.results(old, b.allowed_shapes, constraints, b.config, *ontology))
+    state = va.content_hash(old, va.entity_types(old, *ontology))
     return va.recheck(
-        b.entity_triples, va.content_hash(old), known, b.allowed_shapes, constraints, b.config
+        b.entity_triples, state, known, b.allowed_shapes, constraints, b.config, *ontology
     ).select("focus_node", "source_shape", "source_path", "component")
 
 

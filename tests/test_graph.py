@@ -119,6 +119,49 @@ def test_domain_range_and_cycles(spark):
     }
 
 
+def test_closure_has_no_depth(spark):
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(150)]
+    ring = [("r1", "r2"), ("r2", "r3"), ("r3", "r1")]
+    diamond = [("d", "e"), ("d", "f"), ("e", "g"), ("f", "g"), ("g", None)]
+    edges = spark.createDataFrame(chain + ring + diamond, "sub STRING, sup STRING")
+    got = sorted((r.sub, r.sup) for r in va.subclass_closure(edges).collect())
+    want = [(f"c{i:03}", f"c{k:03}") for i in range(151) for k in range(i, 151)]
+    want += [(a, b) for a in ("r1", "r2", "r3") for b in ("r1", "r2", "r3")]
+    want += [(x, x) for x in "defg"] + [("d", "e"), ("d", "f"), ("d", "g"), ("e", "g"), ("f", "g")]
+    assert got == sorted(want)
+    assert not va.subclass_closure(edges.limit(0)).count()
+
+
+def test_recheck_sees_the_whole_graph(spark):
+    def triples(*facts):
+        rows = [(NS + s, NS + p, NS + o, "iri", None) for s, p, o in facts]
+        return spark.createDataFrame(rows, TRIPLE)
+
+    edges = spark.createDataFrame([(NS + "X", NS + "Y")], "sub STRING, sup STRING")
+    domains = spark.createDataFrame(
+        [(NS + "sponsoredBy", None, NS + "Sponsor")], "p STRING, domain STRING, range STRING"
+    )
+    shapes, checks = tables(
+        spark,
+        [("S1", "class", "Sponsor")],
+        [("S1", "_:1", False, "status", {"min": 1})],
+    )
+
+    def after(old, new):
+        known = va.results(old, shapes, checks, Config(), edges, domains)
+        state = va.content_hash(old, va.entity_types(old, edges, domains))
+        again = va.recheck(new, state, known, shapes, checks, Config(), edges, domains)
+        whole = va.results(new, shapes, checks, Config(), edges, domains)
+        assert found(again) == found(whole)
+        return len(found(whole))
+
+    link, status = ("a", "sponsoredBy", "n"), ("n", "status", "ok")
+    assert after(triples(link, status, ("a", "q", "1")), triples(link, status, ("a", "q", "2"))) == 0
+    assert after(triples(link, ("a", "q", "1")), triples(link, ("a", "q", "2"))) == 1
+    assert after(triples(("a", "q", "1")), triples(link, ("a", "q", "1"))) == 1
+    assert after(triples(link, ("a", "q", "1")), triples(("a", "q", "1"))) == 0
+
+
 def test_triage_marks(spark):
     rows = [("s1", f"e{i}") for i in range(8)] + [("s2", f"e{i}") for i in range(7)] * 2
     results = spark.createDataFrame(rows, "source_shape STRING, focus_node STRING").withColumns(
