@@ -36,6 +36,7 @@ SIGNATURE = 48
 #: equal minima of these that a pair needs before its sets are compared; 0.8 misses it once in 10,000
 MATCHES = 27
 PERCENT = 80
+STRETCH = 1 << 17
 NEW = {"n_lines": "LONG", "n_removed": "LONG"}
 
 
@@ -98,8 +99,8 @@ def bands_of(rows: pa.Table):
     keys = np.empty((len(starts), BANDS), c.U64)
     signs = np.empty((len(starts), SIGNATURE), np.uint32)
     at = 0
-    while at < len(starts):  # a bounded stretch of text at a time
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + (1 << 20), "right")))
+    while at < len(starts):  # a stretch of text at a time whose shingles stay in the CPU's cache
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + STRETCH, "right")))
         base, stop = int(starts[at]), int(ends[to - 1])
         made = signatures(data[base:stop], starts[at:to] - base, ends[at:to] - base)
         signs[at:to] = made[:, :SIGNATURE]
@@ -169,8 +170,8 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataFrame:
     """Input columns with text cut to the lines that stay, n_lines and n_removed."""
     names = [x for x in (docs.columns if keep is None else keep) if x.lower() not in NEW]
     rows = docs.select(*dict.fromkeys([*names, "doc_id", "text"]))
-    groups = c.grouped(rows)
-    lines = stored(recurring(c.grouped(docs.select("doc_id", "text"))))
+    groups = c.grouped(rows).persist()  # read again at the end: texts are dealt out once
+    lines = stored(recurring(groups.select("doc_id", "text", "__k", "__g")))
     classes = lines.groupBy("k").agg(*(F.first(x).alias(x) for x in ("text", "signature", "bands")))
     classes = c.by_key(classes, "k")
     posts = classes.select(F.explode("bands").alias("key"), F.col("k").alias("id"))

@@ -45,8 +45,9 @@ def minima(items: np.ndarray, firsts: np.ndarray, n: int) -> np.ndarray:
     """n minima for every row of items (64-bit hashes); all rows have items."""
     low = (items >> c.U64(32)).astype(np.uint32) ^ (items & c.U64(0xFFFFFFFF)).astype(np.uint32)
     out = np.empty((len(firsts) - 1, n), np.uint32)
+    turned = np.empty_like(low)
     for k in range(n):
-        turned = low ^ MASKS[k]
+        np.bitwise_xor(low, MASKS[k], out=turned)
         turned *= FACTORS[k]
         out[:, k] = np.minimum.reduceat(turned, firsts[:-1])
     return out
