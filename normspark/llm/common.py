@@ -382,7 +382,7 @@ def by_key(df: DataFrame, key: str) -> DataFrame:
     return checkpoint(df.repartition(partitions(df.sparkSession), key))
 
 
-ROUNDS = 5
+ROUNDS = 3
 #: ids of one key that are compared with each other in a round
 BLOCK = 512
 #: ids outside a key's largest component that one task compares
