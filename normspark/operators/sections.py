@@ -17,7 +17,9 @@ def _matches(text: Column, pattern: str, rank: int) -> Column:
     """All matches of a header pattern: (pos, rank, title), positions counted from 0."""
     # (?d): only a newline ends a line, and '.' stops only there
     p = "(?mdU)" + pattern
-    pieces = F.split(F.regexp_replace(text, f"({p})", MARK + "$1"), MARK, -1)
+    # a mark that the page itself holds becomes another control character of the same length
+    clean = F.translate(text, MARK, "\u0002")
+    pieces = F.split(F.regexp_replace(clean, f"({p})", MARK + "$1"), MARK, -1)
     start = F.struct(
         F.length(F.get(pieces, F.lit(0))).alias("at"),
         F.array().cast("array<struct<pos:int,rank:int,title:string>>").alias("found"),

@@ -221,3 +221,11 @@ def test_classification_bands(spark):
     assert got["e"][1:] == (0.6, "rule")
     reasons = {r.id: r.reasoning for r in out}
     assert reasons["d"] == "parse_error"
+
+
+def test_control_characters_make_no_headers(spark):
+    pages = spark.createDataFrame(
+        [("d", "a\u0001b\n1. Fees\nplain\u0001 text\n"), ("e", "\u0001")], "doc STRING, text STRING"
+    )
+    got = pages.select("doc", F.explode(sections.page_headers(F.col("text"))).alias("h"))
+    assert [(r.doc, r.h.pos, r.h.title) for r in got.collect()] == [("d", 4, "Fees")]
