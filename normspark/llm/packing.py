@@ -10,9 +10,9 @@ document. So all of these sequences end up exactly full. The n % length tokens l
 sequences whose lengths are powers of two, which need no padding.
 
 Tokens of a word do not depend on other words (the tokenizer splits at white space and normalises
-character by character), so every distinct word is encoded once per cache; the cache is emptied when
-it holds `cache_words` words, and words longer than LONG_WORD bytes are not cached. Null texts count
-as empty: one end token.
+character by character), so every distinct word is encoded once per cache, which a Python worker
+keeps over its tasks; it is emptied when it holds more than CACHE_WORDS words or CACHE_BYTES bytes
+of them. Null texts count as empty: one end token.
 """
 
 from __future__ import annotations
@@ -22,76 +22,155 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import common as c
+from .bpe import gather
 
 LENGTH = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 22
-CACHE_WORDS = 400_000
-LONG_WORD = 1 << 12
+CACHE_WORDS = 1_000_000
+CACHE_BYTES = 64 << 20
+#: units encoded at once
+JOINED = 200
+#: punctuation cut off the end of a word; the marks between units; words that try the short cuts
+ENDINGS = ".,;:!?"
+MARK, PLAIN_MARK = "\U0001f602", ","
+LETTERS = "^[A-Za-z]+$"
+TAIL = ",."
+PROBE = ["the", "reading", "zqxjkv", "abc1", "s", "d"]
 #: cost of a piece of n tokens: n * (LINEAR + n / length)
 LINEAR = 4.0
 
 
+class Places(dict):
+    """Places of words, given out in the order in which words are first asked for."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+        self.bytes = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        self.bytes += len(word)
+        return place
+
+
 class WordTokens:
-    """Ids of texts through a cache of distinct words."""
+    """Ids of texts through a cache of distinct words.
+
+    A word that ends in punctuation behind an ASCII letter or digit is two units, as the tokenizer
+    cuts there anyway; others are one. New units are encoded many at a time with a mark between
+    them that none of them holds. Units of ASCII letters need no normalising but lower case and no
+    pattern, so they pass a tokenizer with the same merges that only splits at spaces. Both short
+    cuts are used only if a probe gives the ids of the plain way.
+    """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cache_words
         self.tokenizer.no_truncation()
-        self.index: dict[bytes, int] = {}
+        self.plain = Tokenizer.from_str(self.tokenizer.to_str())
+        self.plain.normalizer = normalizers.Lowercase()
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.clear()
+        tail = self.usual(TAIL)
+        self.cuts = all(self.usual(w + TAIL) == self.usual(w) + tail for w in PROBE)
+        self.joins = len(self.usual(MARK)) == len(self.usual(PLAIN_MARK)) == 1
+        if self.joins:
+            ids, counts = self.encode(pa.array(PROBE))
+            self.joins = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [
+                self.usual(w) for w in PROBE
+            ]
+
+    def clear(self) -> None:
+        self.index = Places()
         self.flat, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        made = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in made]
+    def usual(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def joined(self, tokenizer, mark: str, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units one after another, and how many each has."""
+        sign = np.uint32(self.usual(mark)[0])
+        between, parts = f" {mark} ", []
+        runs = [between.join(units[i : i + JOINED]) for i in range(0, len(units), JOINED)]
+        for i in range(0, len(runs), 64):
+            for made in tokenizer.encode_batch_fast(runs[i : i + 64], add_special_tokens=False):
+                parts += [np.array(made.ids, np.uint32), sign[None]]
+        ids = np.concatenate([np.zeros(0, np.uint32), *parts])
+        marks = ids == sign
+        return ids[~marks], np.diff(np.flatnonzero(marks), prepend=-1) - 1
+
+    def encode(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units one after another, and how many each has."""
+        kind = np.full(len(units), 2)
+        if self.joins:
+            holds = pc.match_substring(units, MARK).to_numpy(zero_copy_only=False)
+            letters = pc.match_substring_regex(units, LETTERS).to_numpy(zero_copy_only=False)
+            kind = np.where(letters, 0, np.where(holds, 2, 1))
+        made = []
+        for k, tokenizer, mark in ((0, self.plain, PLAIN_MARK), (1, self.tokenizer, MARK)):
+            made.append(self.joined(tokenizer, mark, units.filter(pa.array(kind == k)).to_pylist()))
+        alone = [self.usual(u) for u in units.filter(pa.array(kind == 2)).to_pylist()]
+        made.append((np.array([i for x in alone for i in x], np.uint32), np.array([len(x) for x in alone], np.int64)))
+        flat, counts = (np.concatenate(x) for x in zip(*made, strict=True))
+        place = np.argsort(np.argsort(kind, kind="stable"), kind="stable")
+        return gather(flat, np.concatenate([[0], np.cumsum(counts)]), place)
 
     def learn(self, words: list[bytes]) -> None:
-        new = list(dict.fromkeys(w for w in words if w not in self.index))
-        if not new:
-            return
-        if len(self.index) + len(new) > self.most:
-            self.index, self.flat, self.at = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
-            new = list(dict.fromkeys(words))
-        parts: list[np.ndarray] = []
-        for i in range(0, len(new), 20_000):
-            piece = new[i : i + 20_000]
-            parts += self.encode(piece)
-        base = len(self.index)
-        self.index.update(zip(new, range(base, base + len(new)), strict=True))
-        self.flat = np.concatenate([self.flat, *parts])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in parts])])
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """Ids of one text and the end id."""
-        words = text.encode().split() if text else []
-        if any(len(w) > LONG_WORD for w in words):
-            parts = []
-            for w in words:
-                if len(w) <= LONG_WORD:
-                    self.learn([w])
-                    k = self.index[w]
-                    parts.append(self.flat[self.at[k] : self.at[k + 1]])
-                else:
-                    parts.append(self.encode([w])[0])
-            return np.concatenate([*parts, np.array([END_ID], np.uint32)])
-        try:
-            which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self.learn(words)
-            which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        begin, count = self.at[which], self.at[which + 1] - self.at[which]
-        total = int(count.sum())
-        shift = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
-        out = np.empty(total + 1, np.uint32)
-        out[:total] = self.flat[shift + np.arange(total)]
-        out[total] = END_ID
-        return out
+        """Append the ids of distinct new words."""
+        own = pa.array(words, pa.binary()).cast(pa.large_string())
+        units, tails = own, np.zeros(len(words), bool)
+        if self.cuts:
+            stems = pc.ascii_rtrim(own, ENDINGS)
+            cut = pc.match_substring_regex(stems, "[A-Za-z0-9]$")
+            cut = pc.and_(cut, pc.less(pc.binary_length(stems), pc.binary_length(own)))
+            units, tails = pc.if_else(cut, stems, own), cut.to_numpy(zero_copy_only=False)
+        ends = pc.binary_length(units).to_numpy()
+        if self.joins:
+            units = pc.if_else(pc.match_substring_regex(units, LETTERS), pc.ascii_lower(units), units)
+        cut_off = [words[i][ends[i] :].decode() for i in np.flatnonzero(tails).tolist()]
+        every = pa.concat_arrays([units, pa.array(cut_off, pa.large_string())]).dictionary_encode()
+        ids, counts = self.encode(every.dictionary)
+        # a word's units: its own, then the one cut off
+        first = np.arange(len(words)) + np.cumsum(tails) - tails
+        which = np.empty(len(every), np.int64)
+        places = every.indices.to_numpy()
+        which[first] = places[: len(words)]
+        which[first[tails] + 1] = places[len(words) :]
+        ids, counts = gather(ids, np.concatenate([[0], np.cumsum(counts)]), which)
+        sizes = np.add.reduceat(counts, first)
+        self.flat = np.concatenate([self.flat, ids])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+
+    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of every text and its end id."""
+        if len(self.index) > self.most or self.index.bytes > CACHE_BYTES:
+            self.clear()
+        cut = [t.split() if t else [] for t in texts]
+        place = self.index.__getitem__
+        which = [np.fromiter(map(place, words), np.int64, len(words)) for words in cut]
+        if self.index.new:
+            self.learn(self.index.new)
+            self.index.new = []
+        end = np.array([END_ID], np.uint32)
+        return [np.concatenate([gather(self.flat, self.at, x)[0], end]) for x in which]
+
+
+_tokenizers: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The cache of this Python worker, kept over its tasks."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokens(path)
+    return _tokenizers[path]
 
 
 def cost(n: int, length: int) -> float:
@@ -169,7 +248,7 @@ def pack_documents(
     """One row per piece; sequence ids are unique over all partitions."""
 
     def run(batches):
-        words = WordTokens(tokenizer)
+        words = word_tokens(tokenizer)
         number = TaskContext.get().partitionId() << 32
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
@@ -195,12 +274,8 @@ def pack_documents(
             return out
 
         for piece in c.slices(batches):
-            texts = piece.column("text").to_pylist()
-            words.learn(
-                [w for t in texts if t for w in t.encode().split() if len(w) <= LONG_WORD]
-            )
-            for doc, text in zip(piece.column("doc_id").to_pylist(), texts, strict=True):
-                ids = words.ids(text)
+            made = words.ids(piece.column("text").cast(pa.binary()).to_pylist())
+            for doc, ids in zip(piece.column("doc_id").to_pylist(), made, strict=True):
                 held.append((doc, ids))
                 size += len(ids)
                 if size >= group_tokens:
