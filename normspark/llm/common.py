@@ -395,10 +395,11 @@ def linked(
     verified: Callable[[DataFrame], DataFrame],
     matches: int,
     percent: int,
+    kind=np.uint32,
 ) -> DataFrame:
     """Components of ids over all verified pairs that share a posting key: (id, component).
 
-    postings has (key, id), facts (id, n, signature of 32-bit minima). Pairs (a, b), a < b, go
+    postings has (key, id), facts (id, n, signature of minima of that kind). Pairs (a, b), a < b, go
     through verified(), which keeps the true links. First ROUNDS rounds in which every id gives at
     most one pair, see nearest(); large groups of near copies join up in these. What is left
     are keys with several components. There every id outside the key's largest component is compared
@@ -408,15 +409,17 @@ def linked(
     links = None
     found = None
     for turn in range(ROUNDS):
-        pairs = nearest(in_several(postings, found), facts, turn, matches, percent)
+        pairs = nearest(in_several(postings, found), facts, turn, matches, percent, kind)
         fresh = checkpoint(verified(pairs))
         links = fresh if links is None else links.unionByName(fresh)
         found = checkpoint(components(links))
-    pairs = likely_rest(checkpoint(in_several(postings, found)), facts, matches, percent)
+    pairs = likely_rest(checkpoint(in_several(postings, found)), facts, matches, percent, kind)
     return components(links.unionByName(checkpoint(verified(pairs))))
 
 
-def nearest(rows: DataFrame, facts: DataFrame, turn: int, matches: int, percent: int) -> DataFrame:
+def nearest(
+    rows: DataFrame, facts: DataFrame, turn: int, matches: int, percent: int, kind=np.uint32
+) -> DataFrame:
     """For every id the pair (a, b) with the id of another component whose signature is most alike.
 
     An id looks under one of its keys, the first by a hash of the round, so that ids with common
@@ -437,7 +440,7 @@ def nearest(rows: DataFrame, facts: DataFrame, turn: int, matches: int, percent:
     )
 
     def run(group: pa.Table) -> pa.Table:
-        ids, own, n, minima = members(group)
+        ids, own, n, minima = members(group, kind)
         found = []
         for i in range(len(ids)):
             at = comparable(n, own, i, percent)
@@ -452,9 +455,9 @@ def nearest(rows: DataFrame, facts: DataFrame, turn: int, matches: int, percent:
 PAIRS = "a LONG, b LONG"
 
 
-def members(group: pa.Table):
+def members(group: pa.Table, kind):
     """Ids, components, sizes and signatures of a group's rows."""
-    minima = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32)
+    minima = np.frombuffer(b"".join(group.column("signature").to_pylist()), kind)
     ids, own, n = (group.column(x).to_numpy() for x in ("id", "component", "n"))
     return ids, own, n, minima.reshape(len(ids), -1)
 
@@ -483,7 +486,9 @@ def in_several(postings: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(mixed.filter("lo <> hi").select("key"), "key", "left_semi")
 
 
-def likely_rest(rows: DataFrame, facts: DataFrame, matches: int, percent: int) -> DataFrame:
+def likely_rest(
+    rows: DataFrame, facts: DataFrame, matches: int, percent: int, kind=np.uint32
+) -> DataFrame:
     """Pairs (a, b) of different components under one key that size and signature allow."""
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     keys = counts.groupBy("key").agg(
@@ -498,7 +503,7 @@ def likely_rest(rows: DataFrame, facts: DataFrame, matches: int, percent: int) -
     rows = rows.select("key", "part", "id", "component", "n", "signature", asks.alias("asks"))
 
     def run(group: pa.Table) -> pa.Table:
-        ids, own, n, minima = members(group)
+        ids, own, n, minima = members(group, kind)
         found = []
         for i in np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False)):
             at = comparable(n, own, i, percent)

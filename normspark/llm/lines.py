@@ -7,9 +7,11 @@ a chance of 99.95 %; at 0.3 of 5 %, so that few unlike lines become candidates.
 exact Jaccard similarity of their sets, links are joined to components, and the first line of a
 component (by doc_id, then place) stays; all others are removed from their texts.
 
-Band keys travel packed, 8 bytes each; only lines whose band recurs become rows. Equal lines are one
-class before the join, so a line that stands in every document is one row per document in a plain
-count and one class in the join. Pairs inside a component are not made (common.linked()).
+Equal lines are one class: an exchange of packed line hashes names one of them that stands for all,
+and only this one takes part in the banding, so a line that stands in every document is one row per
+document in a plain minimum and one class in the join. Band keys travel packed, 8 bytes each; only
+lines that have copies or share a band with a different line become rows, and only the latter with
+text. Signatures stay as one byte of each minimum. Pairs inside a component are not made (common.linked()).
 
 Null and blank texts have no lines. A text all of whose lines are removed becomes empty and its
 row stays. Equal rows are different documents: the lines of all but one of them go.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normspark.operators.keyed import stored
+from normspark.operators.keyed import checkpoint, stored
 
 from . import common as c
 from .minhash import distinct, minima
@@ -31,7 +33,7 @@ from .minhash import distinct, minima
 SHINGLE = 5
 BANDS = 19
 ROWS = 5
-#: minima that stay with a line after the banding
+#: minima of which a byte stays with a line after the banding
 SIGNATURE = 48
 #: equal minima of these that a pair needs before its sets are compared; 0.8 misses it once in 10,000
 MATCHES = 27
@@ -93,54 +95,129 @@ def band_keys(made: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands_of(rows: pa.Table):
-    data, offsets = c.text_bytes(rows.column("text"))
-    starts, ends, firsts = line_table(data, offsets)
+def banded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Signatures and band keys of lines."""
     keys = np.empty((len(starts), BANDS), c.U64)
-    signs = np.empty((len(starts), SIGNATURE), np.uint32)
+    signs = np.empty((len(starts), SIGNATURE), np.uint8)
     at = 0
     while at < len(starts):  # a stretch of text at a time whose shingles stay in the CPU's cache
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + STRETCH, "right")))
         base, stop = int(starts[at]), int(ends[to - 1])
         made = signatures(data[base:stop], starts[at:to] - base, ends[at:to] - base)
-        signs[at:to] = made[:, :SIGNATURE]
+        signs[at:to] = made[:, :SIGNATURE] >> 8
         keys[at:to] = band_keys(made)
         at = to
-    return data, starts, ends, firsts, signs, keys
+    return signs, keys
+
+
+def lines_of(rows: pa.Table):
+    """Bytes of the texts, their lines' starts, ends and hashes, every row's first line."""
+    data, offsets = c.text_bytes(rows.column("text"))
+    starts, ends, firsts = line_table(data, offsets)
+    return data, starts, ends, firsts, c.span_hashes(data, starts, ends)
+
+
+def first_holders(blobs: DataFrame) -> DataFrame:
+    """For every packed row of line hashes, the bits of those that stand anywhere else too, then
+    the bits of those that no group of a smaller number holds."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts = [c.unpacked(x.as_py()) for x in rows.column("payload")]
+        sizes = np.array([len(v) for v, _ in parts])
+        values = np.concatenate([v for v, _ in parts])
+        order = np.lexsort((np.repeat(rows.column("__g").to_numpy(), sizes), values))
+        same = np.zeros(len(values) + 1, bool)
+        same[1:-1] = values[order][1:] == values[order][:-1]
+        again, first = np.empty((2, len(values)), bool)
+        again[order] = same[:-1] | same[1:]
+        first[order] = ~same[:-1]
+        again |= np.concatenate([b for _, b in parts])
+        bits = [
+            np.packbits(again[e - n : e]).tobytes() + np.packbits(first[e - n : e]).tobytes()
+            for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True)
+        ]
+        return pa.table(
+            {
+                "__block": rows.column("__block"),
+                "__g": rows.column("__g"),
+                "payload": pa.array(bits, pa.binary()),
+            }
+        )
+
+    return blobs.groupBy("__block").applyInArrow(run, c.BLOBS)
+
+
+def leaders(hashes: np.ndarray, answers: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines have copies, and which stand for their copies: one line of all equal ones."""
+    values, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    edges = c.block_edges(values, bits)
+    again, first = np.zeros((2, len(values)), bool)
+    blocks = answers.column("__block").to_numpy()
+    for b, flags in zip(blocks, answers.column("payload"), strict=True):
+        own, n = slice(edges[b], edges[b + 1]), edges[b + 1] - edges[b]
+        flags = np.frombuffer(flags.as_buffer(), np.uint8)
+        again[own] = np.unpackbits(flags, count=n)
+        first[own] = np.unpackbits(flags[(n + 7) // 8 :], count=n)
+    leads = np.zeros(len(hashes), bool)
+    leads[index[first]] = True
+    return again[inverse], leads
 
 
 RECURRING = "doc_id LONG, __g LONG, row INT, line INT, k LONG, text STRING, signature BINARY, bands ARRAY<LONG>"
 
 
 def recurring(groups: DataFrame) -> DataFrame:
-    """Lines that share a band with another line."""
+    """Lines that have copies or share a band with another line.
+
+    One of all equal lines stands for them: only it is posted under its bands, and it alone has
+    text, signature and bands, if a different line shares one."""
     bits = c.block_bits(groups.sparkSession)
-    answers = c.found_elsewhere(c.posted(groups, lambda t: bands_of(t)[-1].ravel()))
+    heads = c.posted(groups, lambda t: lines_of(t)[-1])
+    heads = checkpoint(first_holders(heads))
+
+    def post(rows: pa.Table, heads: pa.Table) -> pa.Table:
+        data, starts, ends, _, hashes = lines_of(c.by_row_key(rows))
+        leads = leaders(hashes, heads, bits)[1]
+        keys = banded(data, starts[leads], ends[leads])[1]
+        return c.pack_fingerprints(keys.ravel(), rows.column("__g")[0].as_py(), bits)
+
+    posts = groups.groupBy("__g").cogroup(heads.groupBy("__g")).applyInArrow(post, c.BLOBS)
+    replies = heads.withColumn("__kind", F.lit(0)).unionByName(
+        c.found_elsewhere(posts).withColumn("__kind", F.lit(1))
+    )
 
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, replies: pa.Table) -> pa.Table:
         rows = c.by_row_key(rows)
-        data, starts, ends, firsts, signs, keys = bands_of(rows)
-        hit = c.answered(keys.ravel(), answers, bits).reshape(-1, BANDS)
-        at = np.flatnonzero(hit.any(1))
+        kind = replies.column("__kind").to_numpy()
+        data, starts, ends, firsts, hashes = lines_of(rows)
+        again, leads = leaders(hashes, replies.filter(pa.array(kind == 0)), bits)
+        leads = np.flatnonzero(leads)
+        signs, keys = banded(data, starts[leads], ends[leads])
+        hit = c.answered(keys.ravel(), replies.filter(pa.array(kind == 1)), bits).reshape(-1, BANDS)
+        of = np.full(len(hashes), -1)  # a line's place among those with bands in common
+        of[leads] = np.where(hit.any(1), np.arange(len(leads)), -1)
+        at = np.flatnonzero(again | (of >= 0))
         row = np.searchsorted(firsts, at, "right") - 1
         source = data.tobytes()
-        lines = [source[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        bands = [keys[i][hit[i]].view(np.int64) for i in at]
-        group = rows.column("__g")[0].as_py()
+        texts, signatures, bands = [], [], []
+        for i, j in zip(at.tolist(), of[at].tolist(), strict=True):
+            texts.append(source[starts[i] : ends[i]] if j >= 0 else None)
+            signatures.append(signs[j].tobytes() if j >= 0 else None)
+            bands.append(keys[j][hit[j]].view(np.int64) if j >= 0 else None)
         return pa.table(
             {
                 "doc_id": rows.column("doc_id").take(pa.array(row)),
-                "__g": pa.array([group] * len(at), pa.int64()),
+                "__g": pa.array([rows.column("__g")[0].as_py()] * len(at), pa.int64()),
                 "row": pa.array(row, pa.int32()),
                 "line": pa.array(at - firsts[row], pa.int32()),
-                "k": pa.array(c.span_hashes(data, starts, ends)[at].view(np.int64)),
-                "text": pa.array(lines, pa.binary()).cast(pa.string()),
-                "signature": pa.array([signs[i].tobytes() for i in at], pa.binary()),
+                "k": pa.array(hashes[at].view(np.int64)),
+                "text": pa.array(texts, pa.binary()).cast(pa.string()),
+                "signature": pa.array(signatures, pa.binary()),
                 "bands": pa.array(bands, pa.list_(pa.int64())),
             }
         )
 
-    return groups.groupBy("__g").cogroup(answers.groupBy("__g")).applyInArrow(run, RECURRING)
+    return groups.groupBy("__g").cogroup(replies.groupBy("__g")).applyInArrow(run, RECURRING)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -172,13 +249,13 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataFrame:
     rows = docs.select(*dict.fromkeys([*names, "doc_id", "text"]))
     groups = c.grouped(rows).persist()  # read again at the end: texts are dealt out once
     lines = stored(recurring(groups.select("doc_id", "text", "__k", "__g")))
-    classes = lines.groupBy("k").agg(*(F.first(x).alias(x) for x in ("text", "signature", "bands")))
+    classes = lines.filter("bands IS NOT NULL").select("k", "text", "signature", "bands")
     classes = c.by_key(classes, "k")
     posts = classes.select(F.explode("bands").alias("key"), F.col("k").alias("id"))
     # the size of a set is not known from a line's length: every size may fit
     facts = classes.select(F.col("k").alias("id"), F.lit(1).alias("n"), "signature")
     texts = classes.select("k", "text")
-    found = c.linked(posts, facts, lambda pairs: verified(pairs, texts, percent), MATCHES, percent)
+    found = c.linked(posts, facts, lambda pairs: verified(pairs, texts, percent), MATCHES, percent, np.uint8)
     place = F.struct("doc_id", "__g", "row", "line")
     owned = lines.select("k", *place_columns()).join(found.withColumnRenamed("id", "k"), "k", "left")
     owned = owned.withColumn("component", F.coalesce("component", "k"))
