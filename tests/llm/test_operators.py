@@ -186,7 +186,7 @@ def test_minhash(docs, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
-def test_lines(docs):
+def test_lines(docs, none):
     def shingles(x):
         x = re.sub("[A-Z]", lambda m: m[0].lower(), x)
         return frozenset(x[j : j + 5] for j in range(len(x) - 4)) or frozenset([x])
@@ -208,6 +208,13 @@ def test_lines(docs):
         got[r.doc_id][0] += r.n_lines
         got[r.doc_id][1] += r.n_removed
     assert dict(got) == {i: [total[i], gone[i]] for i, _ in ROWS}
+    assert lines.line_dedup(none).count() == 0
+    # copies inside one text, blank lines between them, and a column named like a result
+    one = none.sparkSession.createDataFrame(
+        [(1, "same line\n\nsame line\nother words here", "x")], "doc_id LONG, text STRING, N_LINES STRING"
+    )
+    (row,) = lines.line_dedup(one).collect()
+    assert (row.text, row.n_lines, row.n_removed) == ("same line\n\nother words here", 3, 1)
 
 
 def test_subspace(spark):
