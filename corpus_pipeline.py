@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir) and all rows its predecessor kept; all but the last return
 the columns of documents. Documents without a recognised language go; copied lines, and words under
 long repeated passages, leave their texts (the row stays, with what is left of the text and its
-n_chars); of near duplicates the one with the smallest doc_id stays. Stages are written as Parquet
+n_chars); of near duplicates (five-word shingles, similarity NEAR % or more) the one with the smallest
+doc_id stays. Stages are written as Parquet
 into the shared folder and read again, so a lost executor costs one stage at most.
 
 Null texts have no language and go. An empty table gives an empty result at every stage. Columns
@@ -20,6 +21,7 @@ from normspark.llm import common, lines, minhash, packing, ppm, relative_lz
 from normspark.operators.keyed import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+NEAR = 80
 
 
 def with_length(docs: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = minhash.near_duplicates(docs, keep=["doc_id"]).filter("NOT kept").select("doc_id")
+    copies = minhash.near_duplicates(docs, NEAR, keep=["doc_id"]).filter("NOT kept").select("doc_id")
     return docs.join(copies.distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -2,8 +2,9 @@
 
 Lines are the parts of a text between line feeds; lines without a word are left alone. A line's set
 is its distinct shingles of SHINGLE characters (the whole line, if it is shorter), with A-Z folded.
-Signatures are cut into BANDS bands of ROWS minima. Two lines with similarity 0.8 share a band with
-a chance of 99.95 %; at 0.3 of 5 %, so that few unlike lines become candidates. Lines that share a band with another line are verified by
+Signatures are cut into bands of several minima (bands_for(): 19 of 5 at 0.8). Two lines at the limit
+miss each other with a chance of at most MISS; two of similarity 0.3 share a band of these 19 with one
+of 5 %, so that few unlike lines become candidates. Lines that share a band with another line are verified by
 exact Jaccard similarity of their sets, links are joined to components, and the first line of a
 component (by doc_id, then place) stays; all others are removed from their texts.
 
@@ -19,6 +20,8 @@ row stays. Equal rows are different documents: the lines of all but one of them
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,20 +31,34 @@ from pyspark.sql import types as T
 from normspark.operators.keyed import checkpoint, stored
 
 from . import common as c
-from .minhash import distinct, minima
+from .minhash import FACTORS, distinct, matches, minima
 
 SHINGLE = 5
-BANDS = 19
-ROWS = 5
+#: chance that two lines at the limit share no band
+MISS = 5.5e-4
+#: minima of a line, as long as bands of several of them can be cut from so few
+MINIMA = 96
 #: minima of which a byte stays with a line after the banding
 SIGNATURE = 48
-#: equal minima of these that a pair needs before its sets are compared; 0.8 misses it once in 10,000
-MATCHES = 27
+#: chance that a pair at the limit has too few of these in common to get its sets compared
+SIGNATURE_MISS = 1e-4
 PERCENT = 80
 STRETCH = 1 << 17
 NEW = {"n_lines": "LONG", "n_removed": "LONG"}
 
 
+def bands_for(percent: int) -> tuple[int, int]:
+    """Bands and minima in each: bands as narrow as needed for MISS, as wide as MINIMA allow."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"no similarity: {percent} %")
+    for rows in range(MINIMA, 0, -1):
+        shared = (percent / 100) ** rows
+        bands = 1 if shared == 1 else math.ceil(math.log(MISS) / math.log1p(-shared))
+        if bands * rows <= (MINIMA if rows > 1 else len(FACTORS)):
+            return bands, rows
+    raise ValueError(f"{len(FACTORS)} minima find pairs of {percent} % with no chance of a miss below {MISS}")
+
+
 def line_table(data: np.ndarray, offsets: np.ndarray):
     """Starts and ends of all lines with a word, and every row's first such line."""
     starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
@@ -80,32 +97,32 @@ def line_sets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return out, at
 
 
-def signatures(data, starts, ends) -> np.ndarray:
-    return minima(*line_sets(data, starts, ends), BANDS * ROWS)
+def signatures(data, starts, ends, n: int) -> np.ndarray:
+    return minima(*line_sets(data, starts, ends), n)
 
 
-def band_keys(made: np.ndarray) -> np.ndarray:
+def band_keys(made: np.ndarray, bands: int, rows: int) -> np.ndarray:
     made = made.astype(np.uint64)
-    out = np.empty((len(made), BANDS), c.U64)
-    for b in range(BANDS):
+    out = np.empty((len(made), bands), c.U64)
+    for b in range(bands):
         key = np.full(len(made), b + 1, c.U64)
-        for r in range(ROWS):
-            key = c.mix(key * c.U64(0x9E3779B97F4A7C15) + made[:, b * ROWS + r])
+        for r in range(rows):
+            key = c.mix(key * c.U64(0x9E3779B97F4A7C15) + made[:, b * rows + r])
         out[:, b] = key
     return out
 
 
-def banded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+def banded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bands: int, rows: int):
     """Signatures and band keys of lines."""
-    keys = np.empty((len(starts), BANDS), c.U64)
+    keys = np.empty((len(starts), bands), c.U64)
     signs = np.empty((len(starts), SIGNATURE), np.uint8)
     at = 0
     while at < len(starts):  # a stretch of text at a time whose shingles stay in the CPU's cache
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + STRETCH, "right")))
         base, stop = int(starts[at]), int(ends[to - 1])
-        made = signatures(data[base:stop], starts[at:to] - base, ends[at:to] - base)
+        made = signatures(data[base:stop], starts[at:to] - base, ends[at:to] - base, max(bands * rows, SIGNATURE))
         signs[at:to] = made[:, :SIGNATURE] >> 8
-        keys[at:to] = band_keys(made)
+        keys[at:to] = band_keys(made, bands, rows)
         at = to
     return signs, keys
 
@@ -166,19 +183,20 @@ def leaders(hashes: np.ndarray, answers: pa.Table, bits: int) -> tuple[np.ndarra
 RECURRING = "doc_id LONG, __g LONG, row INT, line INT, k LONG, text STRING, signature BINARY, bands ARRAY<LONG>"
 
 
-def recurring(groups: DataFrame) -> DataFrame:
+def recurring(groups: DataFrame, percent: int) -> DataFrame:
     """Lines that have copies or share a band with another line.
 
     One of all equal lines stands for them: only it is posted under its bands, and it alone has
     text, signature and bands, if a different line shares one."""
     bits = c.block_bits(groups.sparkSession)
+    shape = bands_for(percent)
     heads = c.posted(groups, lambda t: lines_of(t)[-1])
     heads = checkpoint(first_holders(heads))
 
     def post(rows: pa.Table, heads: pa.Table) -> pa.Table:
         data, starts, ends, _, hashes = lines_of(c.by_row_key(rows))
         leads = leaders(hashes, heads, bits)[1]
-        keys = banded(data, starts[leads], ends[leads])[1]
+        keys = banded(data, starts[leads], ends[leads], *shape)[1]
         return c.pack_fingerprints(keys.ravel(), rows.column("__g")[0].as_py(), bits)
 
     posts = groups.groupBy("__g").cogroup(heads.groupBy("__g")).applyInArrow(post, c.BLOBS)
@@ -192,8 +210,8 @@ def recurring(groups: DataFrame) -> DataFrame:
         data, starts, ends, firsts, hashes = lines_of(rows)
         again, leads = leaders(hashes, replies.filter(pa.array(kind == 0)), bits)
         leads = np.flatnonzero(leads)
-        signs, keys = banded(data, starts[leads], ends[leads])
-        hit = c.answered(keys.ravel(), replies.filter(pa.array(kind == 1)), bits).reshape(-1, BANDS)
+        signs, keys = banded(data, starts[leads], ends[leads], *shape)
+        hit = c.answered(keys.ravel(), replies.filter(pa.array(kind == 1)), bits).reshape(-1, shape[0])
         of = np.full(len(hashes), -1)  # a line's place among those with bands in common
         of[leads] = np.where(hit.any(1), np.arange(len(leads)), -1)
         at = np.flatnonzero(again | (of >= 0))
@@ -248,14 +266,15 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataFrame:
     names = [x for x in (docs.columns if keep is None else keep) if x.lower() not in NEW]
     rows = docs.select(*dict.fromkeys([*names, "doc_id", "text"]))
     groups = c.grouped(rows).persist()  # read again at the end: texts are dealt out once
-    lines = stored(recurring(groups.select("doc_id", "text", "__k", "__g")))
+    lines = stored(recurring(groups.select("doc_id", "text", "__k", "__g"), percent))
     classes = lines.filter("bands IS NOT NULL").select("k", "text", "signature", "bands")
     classes = c.by_key(classes, "k")
     posts = classes.select(F.explode("bands").alias("key"), F.col("k").alias("id"))
     # the size of a set is not known from a line's length: every size may fit
     facts = classes.select(F.col("k").alias("id"), F.lit(1).alias("n"), "signature")
     texts = classes.select("k", "text")
-    found = c.linked(posts, facts, lambda pairs: verified(pairs, texts, percent), MATCHES, percent, np.uint8)
+    least = matches(percent, SIGNATURE, SIGNATURE_MISS, 1 / 256)
+    found = c.linked(posts, facts, lambda pairs: verified(pairs, texts, percent), least, percent, np.uint8)
     place = F.struct("doc_id", "__g", "row", "line")
     owned = lines.select("k", *place_columns()).join(found.withColumnRenamed("id", "k"), "k", "left")
     owned = owned.withColumn("component", F.coalesce("component", "k"))

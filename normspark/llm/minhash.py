@@ -3,17 +3,18 @@
 A document's set is its distinct shingles of five lower-cased words (64-bit hashes; with fewer words
 the whole sequence is one shingle). Its signature has COORDINATES minima; a token is a coordinate
 with its value. Documents are posted under their tokens and documents that collide in at least
-MATCHES tokens are candidates:
+`least` tokens are candidates; matches() derives it from the similarity asked for:
 
 - Tokens that no other set holds cannot collide; they are found by an exchange of packed tokens and
-  never become rows. A set with fewer than MATCHES other tokens links with nothing.
-- Prefix: of the m tokens left, the m - MATCHES + 1 rarest are posted. Two sets with MATCHES common
+  never become rows. A set with fewer than `least` other tokens links with nothing.
+- Prefix: of the m tokens left, the m - least + 1 rarest are posted. Two sets with `least` common
   tokens share one of these, whatever the order; the rarest keep the posting lists short.
 - Skip: candidates whose sizes alone rule the similarity out, and whose signatures collide too
   seldom, are skipped before their sets are fetched.
 
-What remains is confirmed on the full sets. A pair at the limit of 0.85 collides in 40 of 64
-coordinates but for a chance of about 1e-5; no candidate below the limit is linked.
+What remains is confirmed on the full sets. A pair at the limit collides in `least` of 64
+coordinates (40 at 0.85, 36 at 0.80) but for a chance of at most MISS; no candidate below the limit
+is linked. Limits so low that no number of coordinates meets this are refused.
 
 Equal sets are one class before the join. Classes are joined to components by common.linked(),
 which makes no pairs inside a component. Null, empty and blank texts have no set and link with
@@ -23,6 +24,8 @@ of such rows alone has a null component_id and they are kept.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,13 +37,28 @@ from . import common as c
 
 SHINGLE = 5
 COORDINATES = 64
-MATCHES = 40
 PERCENT = 85
+#: chance that a pair at the limit is missed
+MISS = 5e-6
 
 _seeds = np.random.default_rng(20250113).integers(0, 1 << 32, (2, 256), dtype=np.uint32)
 FACTORS, MASKS = _seeds[0] | np.uint32(1), _seeds[1]
 
 
+def matches(percent: int, n: int, miss: float, noise: float = 0.0) -> int:
+    """Of n minima, so many that a pair of this similarity has fewer in common with a chance of at most
+    miss; unlike minima look alike with a chance of noise."""
+    s = percent / 100 + (1 - percent / 100) * noise
+    fewer = 0.0
+    for m in range(n + 1):
+        fewer += comb(n, m) * s**m * (1 - s) ** (n - m)
+        if fewer > miss or m == n:
+            break
+    if not 0 < percent <= 100 or not m:
+        raise ValueError(f"{n} minima find pairs of {percent} % with no chance of a miss below {miss}")
+    return m
+
+
 def minima(items: np.ndarray, firsts: np.ndarray, n: int) -> np.ndarray:
     """n minima for every row of items (64-bit hashes); all rows have items."""
     low = (items >> c.U64(32)).astype(np.uint32) ^ (items & c.U64(0xFFFFFFFF)).astype(np.uint32)
@@ -108,7 +126,7 @@ def tokens(rows: pa.Table) -> np.ndarray:
     return c.mix((place << c.U64(32)) | values.astype(np.uint64))
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, least: int) -> DataFrame:
     """(key, id): each class under the prefix of its tokens."""
     parts = c.partitions(classes.sparkSession)
     groups = classes.select(
@@ -120,7 +138,7 @@ def postings(classes: DataFrame) -> DataFrame:
     def shared(rows: pa.Table, answers: pa.Table) -> pa.Table:
         own = tokens(rows)
         hit = c.answered(own, answers, bits).reshape(-1, COORDINATES)
-        hit &= hit.sum(1, keepdims=True) >= MATCHES
+        hit &= hit.sum(1, keepdims=True) >= least
         ids = np.repeat(rows.column("k").to_numpy(), COORDINATES)
         flat = hit.ravel()
         return pa.table({"id": ids[flat], "key": own[flat].view(np.int64)})
@@ -131,11 +149,11 @@ def postings(classes: DataFrame) -> DataFrame:
     own = rows.join(spread, "key").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own")  # at most COORDINATES
     )
-    prefix = F.slice("own", 1, F.greatest(F.size("own") - F.lit(MATCHES - 1), F.lit(0)))
+    prefix = F.slice("own", 1, F.greatest(F.size("own") - F.lit(least - 1), F.lit(0)))
     return checkpoint(own.select("id", F.explode(prefix.getField("key")).alias("key")))
 
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def likely(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
     """Candidates left by the sizes and the collisions of the signatures."""
     left = classes.select(F.col("k").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
     right = classes.select(F.col("k").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
@@ -146,7 +164,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             a = np.frombuffer(b"".join(batch.column("sa").to_pylist()), np.uint32)
             b = np.frombuffer(b"".join(batch.column("sb").to_pylist()), np.uint32)
-            keep = (a == b).reshape(-1, COORDINATES).sum(1) >= MATCHES
+            keep = (a == b).reshape(-1, COORDINATES).sum(1) >= least
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a LONG, b LONG")
@@ -180,6 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataF
     """Rows with n_shingles, component_id and kept; keep names the input columns to pass on."""
     new = {"n_shingles", "component_id", "kept"}
     names = [x for x in (docs.columns if keep is None else keep) if x.lower() not in new]
+    least = matches(percent, COORDINATES, MISS)
     rows = docs.select("doc_id", "text")
     own = checkpoint(c.extend(rows, signed, SIGNED, ["doc_id"]))
     classes = own.filter("n_shingles > 0").groupBy("k").agg(
@@ -187,7 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataF
         F.first("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature"),
     )
-    posts = postings(classes)
+    posts = postings(classes, least)
     # sets of classes that are posted at all, from one document each
     wanted = posts.select(F.col("id").alias("k")).distinct()
     wanted = c.by_key(classes.join(wanted, "k", "left_semi"), "k")
@@ -197,10 +216,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataF
     sets = c.by_key(keyed.groupBy("k").agg(F.first("items").alias("items")), "k")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return confirmed(likely(pairs, wanted, percent), sets, percent)
+        return confirmed(likely(pairs, wanted, percent, least), sets, percent)
 
     facts = wanted.select(F.col("k").alias("id"), F.col("n_shingles").alias("n"), "signature")
-    found = c.linked(posts, facts, verified, MATCHES, percent)
+    found = c.linked(posts, facts, verified, least, percent)
     members = found.withColumnRenamed("id", "k")
     first = classes.select("k", "first").join(members, "k")
     first = first.groupBy("component").agg(F.min("first").alias("component_id"))
