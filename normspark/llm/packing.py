@@ -190,35 +190,43 @@ def pack(lengths: list[int], length: int = LENGTH) -> list[tuple[int, int, int,
             start += length
         if start < n:
             waiting.append((start - n, d, start))
-    open_costs = [(0.0, s) for s in range(len(room), full)]
-    room += [length] * (full - len(room))
+    opened = full - len(room)
+    ready = [(0.0, s) for s in range(len(room), full)]
+    room += [length] * opened
+    spent, small = [0.0] * len(room), [False] * len(room)
+    by_room: list[tuple[int, int]] = []
+    by_cost: list[tuple[float, int]] = []
     tail = [1 << b for b in reversed(range(rest.bit_length())) if rest >> b & 1]
     heapq.heapify(waiting)
-    heapq.heapify(open_costs)
-
-    def put(d: int, start: int, n: int, s: int, spent: float) -> None:
-        pieces.append((d, start, n, s, length - room[s]))
-        room[s] -= n
-        if room[s]:
-            heapq.heappush(open_costs, (spent + cost(n, length), s))
-
-    while waiting and open_costs:
+    # Lengths never rise from here on: what has room for one document has room for the next, until
+    # it takes one. ready holds all sequences with room, the other two heaps the small ones.
+    while waiting and opened:
         less, d, start = heapq.heappop(waiting)
-        n, passed, target = -less, [], None
-        while open_costs and target is None:
-            entry = heapq.heappop(open_costs)
-            if room[entry[1]] >= n:
-                target = entry
-            else:
-                passed.append(entry)
-                if len(passed) == 64:
-                    break
-        if target is None:  # cut it at the cheapest sequence
-            target, passed = passed[0], passed[1:]
-        for entry in passed:
-            heapq.heappush(open_costs, entry)
-        take = min(n, room[target[1]])
-        put(d, start, take, target[1], target[0])
+        n = -less
+        while by_room and -by_room[0][0] >= n:
+            left, s = heapq.heappop(by_room)
+            if small[s] and room[s] == -left:
+                small[s] = False
+                heapq.heappush(ready, (spent[s], s))
+        if ready:
+            s = heapq.heappop(ready)[1]
+        else:  # cut it at the cheapest sequence
+            was, s = heapq.heappop(by_cost)
+            while not small[s] or was != spent[s]:
+                was, s = heapq.heappop(by_cost)
+            small[s] = False
+        take = min(n, room[s])
+        pieces.append((d, start, take, s, length - room[s]))
+        room[s] -= take
+        spent[s] += cost(take, length)
+        if not room[s]:
+            opened -= 1
+        elif room[s] >= n:
+            heapq.heappush(ready, (spent[s], s))
+        else:
+            small[s] = True
+            heapq.heappush(by_room, (-room[s], s))
+            heapq.heappush(by_cost, (spent[s], s))
         if take < n:
             heapq.heappush(waiting, (take - n, d, start + take))
     # the rest: sequences of a power of two
