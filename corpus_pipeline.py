@@ -7,7 +7,8 @@ n_chars); of near duplicates (five-word shingles, similarity NEAR % or more) the
 doc_id stays. Stages are written as Parquet
 into the shared folder and read again, so a lost executor costs one stage at most.
 
-Null texts have no language and go. An empty table gives an empty result at every stage. Columns
+Rows that share a doc_id are told apart by their text; of a group of near duplicates all rows with the
+smallest doc_id stay, and all rows where no doc_id is given. Null texts have no language and go. An empty table gives an empty result at every stage. Columns
 beyond those of documents are dropped at the start.
 """
 
@@ -40,8 +41,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = minhash.near_duplicates(docs, NEAR, keep=["doc_id"]).filter("NOT kept").select("doc_id")
-    return docs.join(copies.distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    copies = minhash.marked(docs, NEAR).filter("NOT kept").select(F.col("doc_id").alias("__id"), F.col("__k").alias("__f"))
+    same = (F.col("__k") == F.col("__f")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    rows = docs.withColumn("__k", minhash.row_key())
+    return rows.join(copies.distinct(), same, "left_anti").select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

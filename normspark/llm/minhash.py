@@ -18,7 +18,8 @@ is linked. Limits so low that no number of coordinates meets this are refused.
 
 Equal sets are one class before the join. Classes are joined to components by common.linked(),
 which makes no pairs inside a component. Null, empty and blank texts have no set and link with
-nothing. Repeated rows belong to the same class. Rows whose doc_id is null take part; a component
+nothing. Repeated rows belong to the same class; rows that share a doc_id but not their text are told
+apart by a hash of both (row_key()). Rows whose doc_id is null take part; a component
 of such rows alone has a null component_id and they are kept.
 """
 
@@ -28,7 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normspark.operators.keyed import checkpoint
@@ -194,23 +195,27 @@ def set_of(piece: pa.RecordBatch) -> list[pa.Array]:
     return [c.binaries(items.view(np.uint8), firsts * 8)]
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataFrame:
-    """Rows with n_shingles, component_id and kept; keep names the input columns to pass on."""
-    new = {"n_shingles", "component_id", "kept"}
-    names = [x for x in (docs.columns if keep is None else keep) if x.lower() not in new]
+def row_key() -> Column:
+    """Tells rows apart; equal rows share it."""
+    return F.xxhash64("text", "doc_id")
+
+
+def marked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, __k (see row_key()), n_shingles, component_id and kept of every row."""
     least = matches(percent, COORDINATES, MISS)
-    rows = docs.select("doc_id", "text")
-    own = checkpoint(c.extend(rows, signed, SIGNED, ["doc_id"]))
+    rows = docs.select("doc_id", "text", row_key().alias("__k"))
+    own = checkpoint(c.extend(rows, signed, SIGNED, ["doc_id", "__k"]))
     classes = own.filter("n_shingles > 0").groupBy("k").agg(
         F.min("doc_id").alias("first"),
+        F.min("__k").alias("__k"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature"),
     )
     posts = postings(classes, least)
-    # sets of classes that are posted at all, from one document each
+    # sets of classes that are posted at all, from one row each
     wanted = posts.select(F.col("id").alias("k")).distinct()
     wanted = c.by_key(classes.join(wanted, "k", "left_semi"), "k")
-    texts = rows.join(wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = rows.join(wanted.select("__k"), "__k", "left_semi")
     keyed = c.extend(texts, lambda p: [signed(p)[1], *set_of(p)], {"k": "LONG", "items": "BINARY"}, [])
     keyed = keyed.join(wanted.select("k"), "k", "left_semi")
     sets = c.by_key(keyed.groupBy("k").agg(F.first("items").alias("items")), "k")
@@ -228,20 +233,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataF
     of_class = of_class.select("k", F.coalesce("component_id", "first").alias("component_id"))
     out = own.join(of_class, "k", "left").select(
         "doc_id",
+        "__k",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id"))
         .otherwise(F.col("doc_id"))
         .alias("component_id"),
     )
-    out = out.withColumn(
+    return out.withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
     )
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataFrame:
+    """Rows with n_shingles, component_id and kept; keep names the input columns to pass on."""
+    new = ["n_shingles", "component_id", "kept"]
+    names = [x for x in (docs.columns if keep is None else keep) if x.lower() not in new]
+    out = marked(docs, percent)
     if set(names) <= {"doc_id"}:
-        return out.select(*names, "n_shingles", "component_id", "kept")
-    facts = out.groupBy("doc_id").agg(*(F.first(x).alias(x) for x in ("n_shingles", "component_id", "kept")))
-    return docs.select(*names).join(
-        facts.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))
-    ).drop("__id")
+        return out.select(*names, *new)
+    # equal rows have equal facts
+    facts = out.groupBy("doc_id", "__k").agg(*(F.first(x).alias(x) for x in new))
+    facts = facts.select(F.col("doc_id").alias("__id"), F.col("__k").alias("__f"), *new)
+    rows = docs.withColumn("__k", row_key()).select(F.col("doc_id").alias("__own"), "__k", *names)
+    same = (F.col("__k") == F.col("__f")) & F.col("__own").eqNullSafe(F.col("__id"))
+    return rows.join(facts, same).select(*names, *new)
 
 
 def op9_minhash_postings(spark, sf_dir: str) -> DataFrame:
