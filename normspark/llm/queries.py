@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, factorisation, lines, minhash, packing, ppm, relative_lz, repetition, run_index, subspace
+from . import (
+    bpe,
+    clusters,
+    divergence,
+    factorisation,
+    lines,
+    minhash,
+    mixing,
+    packing,
+    ppm,
+    relative_lz,
+    repetition,
+    run_index,
+    subspace,
+)
 
 QUERIES = {
     "op1_repetition": repetition.op1_repetition,
@@ -15,5 +29,12 @@ QUERIES = {
     "op8_cost_packing": packing.op8_cost_packing,
     "op9_minhash_postings": minhash.op9_minhash_postings,
     "op10_fuzzy_lines": lines.op10_fuzzy_lines,
+    "op11_divergence_tree": divergence.op11_divergence_tree,
+    "op12_sainte_lague": mixing.op12_sainte_lague,
+    "op13_laesa_clusters": clusters.op13_laesa_clusters,
+}
+ORACLES: dict[str, str] = {
+    "op11_divergence_tree": divergence.ORACLE,
+    "op12_sainte_lague": mixing.ORACLE,
+    "op13_laesa_clusters": clusters.ORACLE,
 }
-ORACLES: dict[str, str] = {}
