@@ -40,7 +40,7 @@ MOST = 3
 SEED = 20240917
 BLOCK = 512
 LEAST = 1000
-SHARD = 1 << 24
+SHARD = 1 << 20
 #: brackets of the divisor: sixteen times wider each
 BRACKETS = 8
 
@@ -193,7 +193,8 @@ class Mix:
         begins = F.greatest(F.col("start"), F.expr("block * words div blocks"))
         ends = F.least(end, F.expr("(block + 1) * words div blocks"))
         rows = rows.withColumns({"first": begins - F.col("start"), "piece": ends - begins})
-        rows = rows.join(self.blocks(quotas), ["place", "shard", "block"])
+        # the list of blocks grows with the input, which its estimated size before explode() does not show
+        rows = rows.join(self.blocks(quotas).hint("merge"), ["place", "shard", "block"])
         return rows.select(
             "doc_id", "source", "place", "shard", "start", "size", "source_size", "target", "first", F.col("piece").alias("words"), "times"
         )
