@@ -8,15 +8,15 @@ in it, all in integers.
 
 Summing that over all terms for all pairs of sources costs terms x sources x sources. The tree saves
 most of it: a term's row is the list of its (source, count) in the order of sources, without zero
-counts. Equal rows are counted, rows are sorted by range, and each task builds the tree of its range,
-one path at a time: rows with the same beginning share its nodes, which carry how many terms pass. With
+counts. Equal rows are counted, rows are sorted by range, and each task builds the trees of its range,
+one per batch of rows: rows with the same beginning share its nodes, which carry how many terms pass. With
 f the difference and 0 the count of an absent term, a pair's sum over the V terms is
 
     V f(0, 0)  +  sum over (source, count) of  [f(count, 0) - f(0, 0)]
                +  sum over nodes and ancestors of  [f(c, d) - f(c, 0) - f(0, d) + f(0, 0)]
 
 where every bracket is counted as often as terms pass. The last sum is taken once for each node and
-ancestor, when the path leaves the node, and all ancestors of a node in one array step.
+ancestor, by array steps over all nodes of a batch.
 
 Skew: terms are counted inside the tasks, then by (lang, source, term) with map-side sums, so neither
 a hot source nor a hot word gathers rows. A (source, count) table has at most sqrt(2 N) rows per group,
@@ -34,6 +34,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +48,9 @@ SCALE = 1_000_000_000
 #: bytes of text counted at once
 PIECE = 16 << 20
 #: pair sums a task holds before it passes them on
-HELD = 1 << 22
+HELD = 1 << 20
+#: pairs of node and ancestor worked on at once
+STRETCH = 1 << 19
 
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
@@ -62,14 +65,17 @@ def piece_counts(piece: pa.RecordBatch) -> list[pa.Array]:
     inside = LETTER[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
     edges = offsets[1:-1]
-    edges = edges[edges < len(data)]
+    edges = edges[(edges > 0) & (edges < len(data))]
     first[edges] |= inside[edges]
+    last[edges - 1] |= inside[edges - 1]
     starts = np.flatnonzero(first)
+    ends = np.cumsum(np.flatnonzero(last) + 1 - starts)
     row = np.searchsorted(offsets, starts, "right") - 1
     letters = common.FOLD[data[inside]]
-    begins = np.cumsum(inside, dtype=np.int64)[starts] - 1
-    terms = common.binaries(letters, np.append(begins, len(letters))).dictionary_encode()
+    terms = common.binaries(letters, np.concatenate([[0], ends])).dictionary_encode()
     n = max(1, len(terms.dictionary))
     langs, sources = (piece.column(c).dictionary_encode() for c in ("lang", "source"))
     group = langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy()
@@ -170,52 +176,65 @@ def pair_batch(lang: str, sources: list, a, b, values) -> pa.RecordBatch:
 # --- the tree ---
 
 
-class Tree:
-    """One language's tree along the path now open: the nodes' sources, counts, shares and the terms
-    that pass. add() wants rows in order, so a node that is left is never entered again."""
+def tree_nodes(at: np.ndarray, counts: np.ndarray, ends: np.ndarray, times: np.ndarray):
+    """The tree over sorted rows: row r has the items ends[r] to ends[r + 1] (sources and counts) and stands
+    for times[r] terms. Returns for every node its item in the first row that passes it, its depth and
+    the terms that pass. An item of a later row with the same beginning is the same node."""
+    sizes = np.diff(ends)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    depth = np.arange(len(at)) - ends[row]
+    before = np.maximum(row - 1, 0)
+    twin = np.minimum(ends[before] + depth, len(at) - 1)
+    same = (row > 0) & (depth < sizes[before]) & (at == at[twin]) & (counts == counts[twin])
+    shared = np.minimum.reduceat(np.where(same, sizes[row], depth), ends[:-1])
+    passed = np.concatenate([[0], np.cumsum(times)])
+    nodes, weights = [], []
+    for d in range(int(sizes.max())):
+        # a node of depth d ends where a row shares at most d items with the row before
+        breaks = np.append(np.flatnonzero(shared <= d), len(sizes))
+        own = breaks[:-1][sizes[breaks[:-1]] > d]
+        nodes.append(ends[own] + d)
+        weights.append(passed[breaks[np.searchsorted(breaks, own, "right")]] - passed[own])
+    nodes = np.concatenate(nodes)
+    return nodes, depth[nodes], np.concatenate(weights)
+
+
+def ancestor_changes(nodes, depths, weights, at, counts, total, terms, absent):
+    """Every node with every ancestor: key of the pair of sources, and what it changes in the pair's sum."""
+    p = shares(counts, total[at], terms)
+    up = np.repeat(nodes - depths, depths) + np.arange(depths.sum()) - np.repeat(np.cumsum(depths) - depths, depths)
+    node = np.repeat(nodes, depths)
+    one, other, none, none_up = p[node], p[up], absent[at[node]], absent[at[up]]
+    change = apart(one, other) - apart(one, none_up) - apart(none, other) + apart(none, none_up)
+    return at[node] * len(absent) + at[up], np.repeat(weights, depths) * change
+
+
+class PairSums:
+    """Sums by pair of sources of one language, passed on when many pairs are held."""
 
     def __init__(self, lang: str, known: tuple):
-        self.lang = lang
-        self.sources, self.total, self.terms, self.absent = known
-        self.place = {s: i for i, s in enumerate(self.sources)}
-        depth = len(self.sources)
-        self.at, self.count, self.p, self.passed = (np.zeros(depth, np.int64) for _ in range(4))
-        self.depth = 0
-        self.sums: dict[int, np.ndarray] = {}
-
-    def add(self, sources: list, counts: np.ndarray, times: int) -> None:
-        at = np.array([self.place[s] for s in sources], np.int64)
-        n = min(self.depth, len(at))
-        differs = (at[:n] != self.at[:n]) | (counts[:n] != self.count[:n])
-        shared = int(np.argmax(differs)) if differs.any() else n
-        self.leave(shared)
-        new = slice(shared, len(at))
-        self.at[new], self.count[new], self.passed[new] = at[new], counts[new], 0
-        self.p[new] = shares(counts[new], self.total[at[new]], self.terms)
-        self.passed[len(at) - 1] += times
-        self.depth = len(at)
-
-    def leave(self, depth: int) -> None:
-        """Close the nodes below depth: each corrects its pair with every ancestor, once."""
-        while self.depth > depth:
-            d = self.depth = self.depth - 1
-            times, i, p = int(self.passed[d]), int(self.at[d]), self.p[d]
-            if d:
-                self.passed[d - 1] += times
-                up, q = self.at[:d], self.p[:d]
-                none, none_up = self.absent[i], self.absent[up]
-                change = apart(p, q) - apart(p, none_up) - apart(none, q) + apart(none, none_up)
-                if i not in self.sums:
-                    self.sums[i] = np.zeros(len(self.sources), np.int64)
-                self.sums[i][up] += times * change
+        self.lang, (self.sources, self.total, self.terms, self.absent) = lang, known
+        self.names = pa.array(self.sources, pa.string())
+        self.keys, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, sources: pa.Array, counts: np.ndarray, ends: np.ndarray, times: np.ndarray) -> None:
+        """The tree of some sorted rows; its nodes are worked off in stretches of STRETCH ancestors."""
+        at = pc.index_in(sources, self.names).to_numpy().astype(np.int64)
+        nodes, depths, weights = tree_nodes(at, counts, ends, times)
+        stretch = np.cumsum(depths) // STRETCH
+        for own in np.split(np.arange(len(nodes)), np.flatnonzero(np.diff(stretch)) + 1):
+            keys, values = ancestor_changes(nodes[own], depths[own], weights[own], at, counts, self.total, self.terms, self.absent)
+            self.keys, back = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+            sums = np.zeros(len(self.keys), np.int64)
+            np.add.at(sums, back, np.concatenate([self.sums, values]))
+            self.sums = sums
 
     def taken(self):
-        """The pair sums so far, which are then forgotten."""
-        for i, row in self.sums.items():
-            b = np.flatnonzero(row)
-            if len(b):
-                yield pair_batch(self.lang, self.sources, np.full(len(b), i), b, row[b])
-        self.sums = {}
+        """The sums so far, which are then forgotten."""
+        if len(self.keys):
+            n = len(self.sources)
+            yield pair_batch(self.lang, self.sources, self.keys // n, self.keys % n, self.sums)
+        self.keys, self.sums = self.keys[:0], self.sums[:0]
 
 
 def node_corrections(terms: DataFrame, groups) -> DataFrame:
@@ -224,27 +243,27 @@ def node_corrections(terms: DataFrame, groups) -> DataFrame:
     laid_out = stored(rows).repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
 
     def run(batches):
-        tree = None
+        sums = None
         for batch in batches:
             paths = batch.column(batch.schema.get_field_index("path"))
             flat = paths.flatten()
-            ends = np.concatenate([[0], np.cumsum(paths.value_lengths().to_numpy())])
-            sources, counts = flat.field("source").to_pylist(), flat.field("n").to_numpy()
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-            times = batch.column(batch.schema.get_field_index("times")).to_pylist()
-            for r, lang in enumerate(langs):
-                if tree is None or tree.lang != lang:
-                    if tree is not None:
-                        tree.leave(0)
-                        yield from tree.taken()
-                    tree = Tree(lang, groups.value.langs[lang])
-                own = slice(ends[r], ends[r + 1])
-                tree.add(sources[own], counts[own], times[r])
-                if len(tree.sums) * len(tree.sources) > HELD:
-                    yield from tree.taken()
-        if tree is not None:
-            tree.leave(0)
-            yield from tree.taken()
+            sources, counts = flat.field("source"), flat.field("n").to_numpy()
+            ends = np.concatenate([[0], np.cumsum(paths.value_lengths().to_numpy(), dtype=np.int64)])
+            langs = batch.column(batch.schema.get_field_index("lang")).dictionary_encode()
+            times = batch.column(batch.schema.get_field_index("times")).to_numpy()
+            codes = langs.indices.to_numpy()
+            for rows in np.split(np.arange(len(codes)), np.flatnonzero(np.diff(codes)) + 1):
+                lang, to = langs.dictionary[int(codes[rows[0]])].as_py(), rows[-1] + 1
+                if sums is None or sums.lang != lang:
+                    if sums is not None:
+                        yield from sums.taken()
+                    sums = PairSums(lang, groups.value.langs[lang])
+                own = slice(int(ends[rows[0]]), int(ends[to]))
+                sums.add(sources[own], counts[own], ends[rows[0] : to + 1] - own.start, times[rows[0] : to])
+                if len(sums.keys) > HELD:
+                    yield from sums.taken()
+        if sums is not None:
+            yield from sums.taken()
 
     return laid_out.mapInArrow(run, PAIRS)
 

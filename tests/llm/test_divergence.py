@@ -81,21 +81,19 @@ def test_other_limits(spark):
 def test_small_pieces_and_early_sums(spark, monkeypatch):
     monkeypatch.setattr(divergence, "PIECE", 2000)
     monkeypatch.setattr(divergence, "HELD", 8)
+    monkeypatch.setattr(divergence, "STRETCH", 50)
     assert got(frame(spark, ROWS)) == brute(ROWS)
 
 
-def test_nodes_are_shared(monkeypatch):
-    """Rows with the same beginning correct its pairs once."""
-    known = (["a", "b", "c"], divergence.np.array([50, 60, 70]), 9, None)
-    known = (*known[:3], divergence.shares(divergence.np.zeros(3, divergence.np.int64), known[1], 9))
-    tree, closed = divergence.Tree("en", known), []
-    leave = divergence.apart
-    monkeypatch.setattr(divergence, "apart", lambda p, q: closed.append(1) or leave(p, q))
-    for path, times in (([("a", 1), ("b", 2)], 3), ([("a", 1), ("b", 2), ("c", 1)], 1), ([("a", 1), ("b", 2), ("c", 4)], 2)):
-        tree.add([s for s, _ in path], divergence.np.array([n for _, n in path]), times)
-    tree.leave(0)
-    assert len(closed) == 4 * 3  # nodes below the root's children: b once, c twice
-    assert int(tree.passed[0]) == 6
+def test_nodes_are_shared():
+    """Rows with the same beginning share its nodes."""
+    np = divergence.np
+    paths = [[(0, 1), (1, 2)], [(0, 1), (1, 2), (2, 1)], [(0, 1), (1, 2), (2, 4)], [(0, 2), (1, 2)], [(1, 1), (2, 9)]]
+    flat = np.array([x for path in paths for x in path])
+    ends = np.cumsum([0, *map(len, paths)])
+    nodes, depths, weights = divergence.tree_nodes(flat[:, 0], flat[:, 1], ends, np.array([3, 1, 2, 5, 1]))
+    made = sorted((int(d), int(flat[n, 0]), int(flat[n, 1]), int(w)) for n, d, w in zip(nodes, depths, weights, strict=True))
+    assert made == [(0, 0, 1, 6), (0, 0, 2, 5), (0, 1, 1, 1), (1, 1, 2, 5), (1, 1, 2, 6), (1, 2, 9, 1), (2, 2, 1, 1), (2, 2, 4, 2)]
 
 
 def test_large_counts_stay_exact():
