@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +9,7 @@ from normspark import values as v
 from normspark.config import Config
 from normspark.functions import naming
 from normspark.functions.columns import computed, first_match
+from normspark.functions.similarity import alike
 from normspark.operators.keyed import broadcast_checked, lookup, stored
 
 # --- classes --------------------------------------------------------------------------------
@@ -106,48 +103,16 @@ def exact_or_fold(rules: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def _closest(terms, cutoff: float):
-    """Arrow function for the closest of the broadcast terms; it travels by value."""
-
-    @F.pandas_udf("score double, term string")
-    def closest(names: pd.Series) -> pd.DataFrame:
-        known = terms.value
-
-        def best(name):
-            hit = difflib.get_close_matches(name, known, n=1, cutoff=cutoff)
-            if not hit:
-                return (None, None)
-            return (difflib.SequenceMatcher(None, hit[0], name).ratio(), hit[0])
-
-        return pd.DataFrame([best(n) for n in names], columns=["score", "term"])
-
-    return closest
+def fuzzy(lows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(low, fuzzy_prop, score): for each lower-case path the most similar vocabulary term by matching
+    blocks, of equally similar ones the last in order.
 
-
-def fuzzy(lows: DataFrame, vocabulary: DataFrame, config: Config) -> DataFrame:
-    """(low, fuzzy_prop) for lower-case paths with a close vocabulary term.
-
-    Only distinct paths are compared. The vocabulary goes to the tasks as a broadcast list; one
-    longer than vocabulary_slice goes in several lists, and the best of their answers is kept.
-    """
-    spark = lows.sparkSession
-    fold = folded(vocabulary)
+    Distinct paths and terms meet on their rare characters, see similarity.alike(); all in columns."""
+    fold = folded(vocabulary).select(F.col("low").alias("term"), F.col("prop").alias("fuzzy_prop"))
     paths = lows.select("low").distinct()
-    slices = max(1, math.ceil(fold.count() / config.vocabulary_slice))
-    found = None
-    for i in range(slices):
-        part = fold.filter(F.pmod(F.xxhash64("low"), F.lit(slices)) == i).select("low")
-        terms = spark.sparkContext.broadcast(sorted(r["low"] for r in part.collect()))
-        hit = paths.select("low", _closest(terms, v.FUZZY_CUTOFF)(F.col("low")).alias("hit"))
-        found = hit if found is None else found.unionByName(hit)
-    best = (
-        found.filter(F.col("hit.term").isNotNull())
-        .groupBy("low")
-        .agg(F.max("hit").alias("hit"))
-        .select(F.col("low"), F.col("hit.term").alias("term"))
-    )
-    props = fold.select(F.col("low").alias("term"), F.col("prop").alias("fuzzy_prop"))
-    return best.join(broadcast_checked(props), "term").select("low", "fuzzy_prop")
+    close = alike(fold, paths, "term", "low", v.FUZZY_CUTOFF, "score")
+    best = close.groupBy("low").agg(F.max(F.struct("score", "term")).alias("hit"))
+    return best.select("low", "hit.score", "hit.term").join(fold, "term").select("low", "fuzzy_prop", "score")
 
 
 def edit_match(lows: DataFrame, vocabulary: DataFrame, max_distance: int = 3) -> DataFrame:
@@ -252,7 +217,7 @@ def with_path(rules: DataFrame, vocabulary: DataFrame, config: Config) -> DataFr
     """
     first = stored(exact_or_fold(rules, vocabulary))
     open_rows = first.filter(F.col("exact_prop").isNull() & F.col("fold_prop").isNull())
-    close = stored(fuzzy(open_rows, vocabulary, config))
+    close = stored(fuzzy(open_rows, vocabulary).drop("score"))
     known = keyword_match(
         open_rows.join(close, "low", "left_anti"), vocabulary, config
     ).select("rule_id", "keyword_prop")

@@ -10,8 +10,13 @@ from testbed import mapping as m
 from testbed import tables as t
 
 
+#: stands in chains that hold a recursive step
+RECURSIVE = "/* recursive */"
+
+
 def with_(*parts: str) -> str:
-    return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n"
+    kind = "WITH RECURSIVE " if any(RECURSIVE in p for p in parts) else "WITH "
+    return kind + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n"
 
 
 def text(s: str) -> str:

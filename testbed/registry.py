@@ -113,21 +113,14 @@ class Bed:
         )
 
     @cached_property
-    def exact_paths(self) -> DataFrame:
-        """Formulas with class and the path where the vocabulary has it, else the raw path.
-
-        Leaves out the fuzzy step, which SQL cannot repeat."""
+    def paths(self) -> DataFrame:
+        """Formulas with class and path."""
         classed = align.with_class(self.raw_paths, self.classes, self.config)
-        found = align.exact_or_fold(classed, self.vocabulary)
-        return stored(
-            found.withColumn("prop_path", F.coalesce("exact_prop", "fold_prop", "low")).drop(
-                "low", "exact_prop", "fold_prop"
-            )
-        )
+        return stored(align.with_path(classed, self.vocabulary, self.config))
 
     @cached_property
     def built(self) -> DataFrame:
-        return shp.built(self.exact_paths, self.config)
+        return shp.built(self.paths, self.config)
 
     # entities and validation
     @cached_property

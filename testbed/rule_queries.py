@@ -375,12 +375,47 @@ def _(b: Bed):
     )
 
 
-@query("fuzzy_match")
+_BLOCK = """list_max(list_transform(runs, lambda r: struct_pack(
+    n := least(r.n, a1 - r.i, b1 - r.j) - greatest(0, a0 - r.i, b0 - r.j),
+    i := -(r.i + greatest(0, a0 - r.i, b0 - r.j)), j := -(r.j + greatest(0, a0 - r.i, b0 - r.j)))))"""
+
+#: names under 200 characters, as all are here
+FUZZY = f"""
+{o.RECURSIVE}
+compared AS (
+    SELECT f.low AS a, r.low AS b FROM folded f, (SELECT DISTINCT lower(raw_path) AS low FROM raw_paths) r
+    WHERE 2.0::DOUBLE * least(length(f.low), length(r.low)) / (length(f.low) + length(r.low)) >= {v.FUZZY_CUTOFF}::DOUBLE),
+cells AS (
+    SELECT a, b, i, j, i - row_number() OVER (PARTITION BY a, b, i - j ORDER BY i) AS island
+    FROM (SELECT *, unnest(range(length(b))) AS j FROM (SELECT *, unnest(range(length(a))) AS i FROM compared))
+    WHERE a[i + 1] = b[j + 1]),
+common_runs AS (
+    SELECT a, b, list(r) AS runs FROM (
+        SELECT a, b, struct_pack(i := min(i), j := min(j), n := count(*)) AS r FROM cells GROUP BY a, b, i - j, island)
+    GROUP BY a, b),
+spans AS (
+    SELECT a, b, runs, 0::BIGINT AS a0, length(a) AS a1, 0::BIGINT AS b0, length(b) AS b1 FROM common_runs
+    UNION ALL
+    SELECT a, b, runs, s.a0, s.a1, s.b0, s.b1 FROM (
+        SELECT a, b, runs, best.n AS n, unnest([
+            struct_pack(a0 := a0, a1 := -best.i, b0 := b0, b1 := -best.j),
+            struct_pack(a0 := -best.i + best.n, a1 := a1, b0 := -best.j + best.n, b1 := b1)]) AS s
+        FROM (SELECT *, {_BLOCK} AS best FROM spans))
+    WHERE n > 0 AND s.a0 < s.a1 AND s.b0 < s.b1),
+similar_names AS (
+    SELECT a, b, 2.0::DOUBLE * sum(greatest(0, {_BLOCK}.n)) / (length(a) + length(b)) AS score
+    FROM spans GROUP BY a, b),
+fuzzy AS (
+    SELECT b AS low, prop AS fuzzy_prop, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY b ORDER BY score DESC, a DESC) AS nth
+        FROM similar_names WHERE score >= {v.FUZZY_CUTOFF}::DOUBLE)
+    JOIN folded ON folded.low = a WHERE nth = 1)
+"""
+
+
+@query("fuzzy_match", on_formulas("SELECT * FROM fuzzy", RAW_PATHS, VOCABULARY, FUZZY))
 def _(b: Bed):
-    """Closest term by matching-block ratio; SQL has no such function, tests compare with Python."""
-    return align.fuzzy(
-        b.raw_paths.select(F.lower("raw_path").alias("low")), b.vocabulary, b.config
-    )
+    return align.fuzzy(b.raw_paths.select(F.lower("raw_path").alias("low")), b.vocabulary)
 
 
 @query(
@@ -500,9 +535,23 @@ def _(b: Bed):
     return align.keyword_match(b.raw_paths, b.vocabulary, b.config)
 
 
-@query("path_ladder")
+LADDER = """
+by_keyword AS (
+    SELECT rule_id, prop AS keyword_prop FROM scored WHERE (n >= 2 OR longest >= 6) AND score >= 8
+    QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY score DESC, ord) = 1),
+ladder AS (
+    SELECT p.rule_id, raw_path, coalesce(exact_prop, fold_prop, fuzzy_prop, keyword_prop, path_low) AS prop_path,
+        CASE WHEN exact_prop IS NOT NULL THEN 'exact' WHEN fold_prop IS NOT NULL THEN 'fold'
+             WHEN fuzzy_prop IS NOT NULL THEN 'fuzzy' WHEN keyword_prop IS NOT NULL THEN 'keyword'
+             ELSE 'raw' END AS path_method
+    FROM matched_paths p LEFT JOIN fuzzy z ON z.low = path_low LEFT JOIN by_keyword k ON k.rule_id = p.rule_id)
+"""
+LADDER_PARTS = (RAW_PATHS, VOCABULARY, MATCHED_PATHS, FUZZY, KEYWORD, LADDER)
+
+
+@query("path_ladder", on_formulas("SELECT * FROM ladder", *LADDER_PARTS))
 def _(b: Bed):
-    """All five steps of the path ladder; contains the fuzzy step."""
+    """All five steps: exact, case fold, matching blocks, keywords, raw."""
     return align.with_path(b.raw_paths, b.vocabulary, b.config).select(
         "rule_id", "raw_path", "prop_path", "path_method"
     )
@@ -510,11 +559,9 @@ def _(b: Bed):
 
 # --- shapes ---------------------------------------------------------------------------------
 
-# paths without the fuzzy step, see Bed.exact_paths
 BUILT = f"""
 paths AS (
-    SELECT t.*, coalesce(p.exact_prop, p.fold_prop, p.path_low) AS prop_path
-    FROM targets t JOIN matched_paths p ON p.rule_id = t.rule_id),
+    SELECT t.*, p.prop_path FROM targets t JOIN ladder p ON p.rule_id = t.rule_id),
 built AS (
     SELECT *, replace(rule_id, '-', '_') || 'Shape' AS shape_name,
            CASE WHEN target_class = 'Person' THEN 'subjects_of' ELSE 'class' END AS target_kind,
@@ -528,7 +575,7 @@ built AS (
            substr(replace(text, '"', ''''), 1, 200) AS message
     FROM paths)
 """
-SHAPE_PARTS = (CANDIDATES, CLASSES, TARGETS, RAW_PATHS, VOCABULARY, MATCHED_PATHS, BUILT)
+SHAPE_PARTS = (CANDIDATES, CLASSES, TARGETS, *LADDER_PARTS, BUILT)
 
 
 def on_shapes(select: str, *more: str) -> str:

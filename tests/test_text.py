@@ -1,12 +1,13 @@
 import difflib
 import json
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from normspark.config import Config, run_config
-from normspark.functions import deontic, jsontext
+from normspark.functions import deontic, jsontext, similarity
 from normspark.functions import segment as seg
 from normspark.operators import align, classify, prefilter, sections, segment
 
@@ -167,9 +168,41 @@ def test_first_object_equals_plain_scan(spark):
         assert (None if r.obj is None else json.loads(r.obj)) == scan(texts[r.i])
 
 
-def test_fuzzy_match_equals_difflib_also_in_slices(spark):
+def similar_names():
+    r = random.Random(8)
+    parts = ["pay", "fee", "Rent", "attend", "hearing", "vacate", "room", "clean", "é", "漢字", "_", "aab"]
+    names = ["".join(r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(60)]
+    names += ["".join(r.choice("ab") for _ in range(r.randint(1, 12))) for _ in range(40)]
+    long = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz" * 3 + "0123456789") for _ in range(260)) for _ in range(3)]
+    names += long + [x[:130] + y[:120] for x in long for y in long] + ["ab" * 120, "x" + "ab" * 110 + "z", "a" * 230]
+    return sorted(set(names))
+
+
+def test_similarity_equals_difflib(spark):
+    names = similar_names()
+    pairs = [(a, b) for i, a in enumerate(names) for j, b in enumerate(names) if (i * 7 + j) % 5 == 0]
+    df = similarity.with_ratio(spark.createDataFrame(pairs, "a STRING, b STRING").repartition(4), "a", "b", "r")
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for x in df.collect():
+        assert x.r == difflib.SequenceMatcher(None, x.a, x.b).ratio(), (x.a, x.b)
+
+
+def test_alike_loses_no_pair(spark):
+    names = similar_names()
+    want = {
+        (a, b): s
+        for a in names
+        for b in names
+        if (s := difflib.SequenceMatcher(None, a, b).ratio()) >= 0.55
+    }
+    a = spark.createDataFrame([(n,) for n in names], "a STRING")
+    got = similarity.alike(a, a.select(F.col("a").alias("b")), "a", "b", 0.55, "s").collect()
+    assert len(got) == len(want) and {(x.a, x.b): x.s for x in got} == want
+
+
+def test_fuzzy_match_equals_difflib(spark):
     vocabulary = ["payFee", "payRent", "attendHearing", "vacateRoom", "vacatesRoom", "clean"]
-    names = ["payfees", "payrentnow", "vacateroom1", "hearing", "zzzz", "cleanup"]
+    names = ["payfees", "payrentnow", "vacateroom1", "hearing", "zzzz", "cleanup", "", "payfees"]
     words = spark.createDataFrame(list(zip(vocabulary, range(6))), "prop STRING, ord LONG")
     lows = spark.createDataFrame([(n,) for n in names], "low STRING")
     lower = {p.lower(): p for p in vocabulary}
@@ -178,9 +211,7 @@ def test_fuzzy_match_equals_difflib_also_in_slices(spark):
         hit = difflib.get_close_matches(n, list(lower), n=1, cutoff=0.55)
         if hit:
             want[n] = lower[hit[0]]
-    for size in (50_000, 2):
-        got = align.fuzzy(lows, words, Config(vocabulary_slice=size)).collect()
-        assert {r.low: r.fuzzy_prop for r in got} == want
+    assert {r.low: r.fuzzy_prop for r in align.fuzzy(lows, words).collect()} == want
 
 
 def test_keyword_match_thresholds(spark):
