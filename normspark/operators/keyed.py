@@ -8,9 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-SALTS = 64
-CHUNK = 100_000
+#: places a key's rows are dealt over by spread_join()
+SALTS = 16
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -77,6 +76,15 @@ def ordinal(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataF
     )
 
 
+def cut_by_rank(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """df with `_chunk`: consecutive rows in the order given, about as many in each chunk.
+
+    The cuts are quantiles that Spark's range partitioning takes from a sample of the order columns, so a
+    key with a third of the rows has a third of the chunks, however its positions lie. The numbers are
+    written down with the rows, since a second sampling may cut elsewhere."""
+    return stored(df.repartitionByRange(*order).withColumn("_chunk", F.spark_partition_id()))
+
+
 def running_last(
     df: DataFrame,
     keys: Sequence[str],
@@ -84,35 +92,31 @@ def running_last(
     value: str,
     name: str,
     tie: str | None = None,
-    chunk: int = CHUNK,
 ) -> DataFrame:
     """Last non-null value at or before each row, per key, in two levels.
 
-    A key is cut into position chunks. The last value of each chunk is found by a plain
-    aggregate, carried over the short list of chunks, and handed to the rows of the next one, so
-    that no task ever sorts a whole hot key.
+    Rows are cut into chunks of equal numbers of rows, across keys. The last value of a key in each
+    chunk is found by a plain aggregate, carried over the short list of chunks, and handed to the
+    rows of the next one, so that no task ever sorts a whole hot key.
     """
     order = [pos] + ([tie] if tie else [])
-    chunked = df.withColumn("_chunk", F.floor(F.col(pos) / chunk))
-    tails = (
-        chunked.filter(F.col(value).isNotNull())
-        .groupBy(*keys, "_chunk")
-        .agg(F.max_by(value, F.struct(*order)).alias("_tail"))
+    chunked = cut_by_rank(df, [*keys, *order])
+    by_chunk = chunked.groupBy(*keys, "_chunk").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_tail")
     )
-    chunks = chunked.select(*keys, "_chunk").distinct()
     over_chunks = (
         Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
-    carried = chunks.join(tails, [*keys, "_chunk"], "left").select(
+    carried = by_chunk.select(
         *keys, "_chunk", F.last("_tail", ignorenulls=True).over(over_chunks).alias("_carried")
-    )
+    ).filter(F.col("_carried").isNotNull())
     inside = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        chunked.join(carried, [*keys, "_chunk"])
+        chunked.join(carried, [*keys, "_chunk"], "left")
         .withColumn(
             name,
             F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried")),
@@ -121,39 +125,32 @@ def running_last(
     )
 
 
-def lookup(
+def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join rows to a table with one row per key, which may be as large as the rows.
+
+    A key repeated very often makes a skewed partition of the rows, which Spark splits at run time
+    and joins with copies of the table's part; the table is not repeated for other keys.
+    """
+    return rows.join(table, key, how)
+
+
+def spread_join(
     rows: DataFrame,
     table: DataFrame,
-    key: str,
-    how: str = "left",
-    hot_rows: int = HOT_ROWS,
+    keys: Sequence[str],
+    by: Sequence[str],
+    how: str = "inner",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join rows to a table with one row per key, safe against keys repeated very often.
+    """Join rows to a much smaller table whose keys may each match a large share of the rows.
 
-    Keys with more than hot_rows rows are salted: their rows are spread over several salts and
-    their single table row is repeated once per salt. All other keys keep salt 0.
-    There are at most rows / hot_rows such keys; the list only steers placement, never the result.
+    Two levels: rows of a key are dealt over salts places by a hash of the columns `by`, and the
+    table's rows stand in every place. The plan is the same at any size; Spark sends the table
+    round instead where it is under the broadcast threshold.
     """
-    hot = (
-        rows.groupBy(key)
-        .agg(F.count("*").alias("_n"))
-        .filter(F.col("_n") > hot_rows)
-        .select(key, F.lit(True).alias("_hot"))
-    )
-    # the salt comes from the row itself, so a recomputed task salts the same way
-    mixed = F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")
-    spread = F.when(F.col("_hot"), mixed).otherwise(F.lit(0))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    left = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", spread).drop("_hot")
-    right = (
-        table.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(copies))
-        .drop("_hot")
-    )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    placed = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return placed.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
 def newest(

@@ -15,10 +15,7 @@ from pyspark.sql import functions as F
 from normspark import values as v
 from normspark.config import Config
 from normspark.functions.columns import computed, local_name
-from normspark.operators.keyed import broadcast_checked, checkpoint, stored
-
-# shapes and constraints up to this many are broadcast, more join by shuffle
-SMALL_SHAPES = 100_000
+from normspark.operators.keyed import broadcast_checked, checkpoint, spread_join, stored
 
 # --- shape set ------------------------------------------------------------------------------
 
@@ -117,8 +114,7 @@ def entity_types(
     if edges is None:
         return types.distinct()
     if domains is not None:
-        small = broadcast_checked(domains)
-        used = triples.join(small, "p")
+        used = spread_join(triples, domains, ["p"], ["s", "o"])
         by_domain = used.filter(F.col("domain").isNotNull()).select(
             F.col("s").alias("focus"), F.col("domain").alias("class")
         )
@@ -127,7 +123,8 @@ def entity_types(
         ).select(F.col("o").alias("focus"), F.col("range").alias("class"))
         types = types.unionByName(by_domain).unionByName(by_range)
     closure = subclass_closure(edges)
-    up = types.join(broadcast_checked(closure), F.col("class") == F.col("sub"), "left")
+    supers = closure.withColumnRenamed("sub", "class")
+    up = spread_join(types, supers, ["class"], ["focus"], "left")
     return up.select("focus", F.coalesce("sup", "class").alias("class")).distinct()
 
 
@@ -153,19 +150,19 @@ def without_idle(shapes: DataFrame, constraints: DataFrame) -> DataFrame:
     )
 
 
-def class_targets(types: DataFrame, shapes: DataFrame, hint=broadcast_checked) -> DataFrame:
+def class_targets(types: DataFrame, shapes: DataFrame) -> DataFrame:
     """(focus, target_kind, target) for nodes of a target class."""
-    wanted = shapes.filter(F.col("target_kind") == "class").select("target").distinct()
-    return types.join(
-        hint(wanted), F.col("class") == F.col("target"), "left_semi"
-    ).select("focus", F.lit("class").alias("target_kind"), F.col("class").alias("target"))
+    wanted = shapes.filter(F.col("target_kind") == "class").select(F.col("target").alias("class"))
+    return spread_join(types, wanted.distinct(), ["class"], ["focus"], "left_semi").select(
+        "focus", F.lit("class").alias("target_kind"), F.col("class").alias("target")
+    )
 
 
-def subject_targets(triples: DataFrame, shapes: DataFrame, hint=broadcast_checked) -> DataFrame:
+def subject_targets(triples: DataFrame, shapes: DataFrame) -> DataFrame:
     """(focus, target_kind, target) for subjects that have a target property."""
-    wanted = shapes.filter(F.col("target_kind") == "subjects_of").select("target").distinct()
+    wanted = shapes.filter(F.col("target_kind") == "subjects_of").select(F.col("target").alias("p"))
     return (
-        triples.join(hint(wanted), F.col("p") == F.col("target"), "left_semi")
+        spread_join(triples, wanted.distinct(), ["p"], ["s"], "left_semi")
         .select(
             F.col("s").alias("focus"),
             F.lit("subjects_of").alias("target_kind"),
@@ -175,16 +172,14 @@ def subject_targets(triples: DataFrame, shapes: DataFrame, hint=broadcast_checke
     )
 
 
-def focus_targets(
-    triples: DataFrame, types: DataFrame, shapes: DataFrame, hint=broadcast_checked
-) -> DataFrame:
-    return class_targets(types, shapes, hint).unionByName(subject_targets(triples, shapes, hint))
+def focus_targets(triples: DataFrame, types: DataFrame, shapes: DataFrame) -> DataFrame:
+    return class_targets(types, shapes).unionByName(subject_targets(triples, shapes))
 
 
 def focus_nodes(targets: DataFrame, shapes: DataFrame) -> DataFrame:
     """(focus, shape_id) pairs to check."""
     own = shapes.select("shape_id", "target_kind", "target")
-    return targets.join(broadcast_checked(own), ["target_kind", "target"]).select(
+    return spread_join(targets, own, ["target_kind", "target"], ["focus"]).select(
         "focus", "shape_id"
     )
 
@@ -202,34 +197,40 @@ def checks(shapes: DataFrame, constraints: DataFrame) -> DataFrame:
     return constraints.withColumnRenamed("severity", "prop_severity").join(own, "shape_id")
 
 
-def value_counts(triples: DataFrame, check_rows: DataFrame, hint=broadcast_checked) -> DataFrame:
+def value_counts(triples: DataFrame, check_rows: DataFrame) -> DataFrame:
     """Distinct values per subject and checked path."""
     paths = check_rows.select(F.col("path").alias("p")).distinct()
     return (
-        triples.join(hint(paths), "p", "left_semi")
+        spread_join(triples, paths, ["p"], ["s"], "left_semi")
         .groupBy(F.col("s").alias("focus"), F.col("p").alias("path"))
         .agg(F.countDistinct("o", "o_kind", F.coalesce("datatype", F.lit(""))).alias("n"))
     )
 
 
-def count_results(
-    triples: DataFrame, targets: DataFrame, check_rows: DataFrame, hint=broadcast_checked
-) -> DataFrame:
-    """Too few or too many values: one result per node and constraint."""
-    counted = check_rows.filter(
-        F.col("min_count").isNotNull() | F.col("max_count").isNotNull()
-    ).select(*CARRIED, "target_kind", "target", "min_count", "max_count")
-    expected = targets.join(hint(counted), ["target_kind", "target"])
-    seen = expected.join(
-        value_counts(triples, counted, hint), ["focus", "path"], "left"
-    ).withColumn("n", F.coalesce("n", F.lit(0)))
-    few = F.col("n") < F.col("min_count")
-    many = F.col("n") > F.col("max_count")
-    kind = F.array_compact(
-        F.array(F.when(few, F.lit("min_count")), F.when(many, F.lit("max_count")))
+def count_results(triples: DataFrame, targets: DataFrame, check_rows: DataFrame) -> DataFrame:
+    """Too few or too many values: one result per node and constraint.
+
+    A node may lack values altogether, so minimum counts start from the targets. Too many values are
+    seen in the counts themselves: only those above a maximum are joined with the targets.
+    """
+    key = ["target_kind", "target"]
+    counted = check_rows.filter(F.col("min_count").isNotNull() | F.col("max_count").isNotNull())
+    counted = counted.select(*CARRIED, *key, "min_count", "max_count")
+    seen = value_counts(triples, counted)
+    least = counted.filter(F.col("min_count").isNotNull()).drop("max_count")
+    most = counted.filter(F.col("max_count").isNotNull()).drop("min_count")
+    expected = spread_join(targets, least, key, ["focus"])
+    few = expected.join(seen, ["focus", "path"], "left").filter(
+        F.coalesce("n", F.lit(0)) < F.col("min_count")
     )
-    return seen.filter(few | many).select(
-        "focus", *CARRIED, F.explode(kind).alias("component"), F.lit("").alias("value")
+    above = spread_join(seen, most, ["path"], ["focus"])
+    many = above.filter(F.col("n") > F.col("max_count")).join(targets, ["focus", *key], "left_semi")
+    return few.select(
+        "focus", *CARRIED, F.lit("min_count").alias("component"), F.lit("").alias("value")
+    ).unionByName(
+        many.select(
+            "focus", *CARRIED, F.lit("max_count").alias("component"), F.lit("").alias("value")
+        )
     )
 
 
@@ -246,9 +247,7 @@ def lexical_ok(value: Column, datatype: Column) -> Column:
     return ok.otherwise(F.lit(True))
 
 
-def value_results(
-    triples: DataFrame, targets: DataFrame, check_rows: DataFrame, hint=broadcast_checked
-) -> DataFrame:
+def value_results(triples: DataFrame, targets: DataFrame, check_rows: DataFrame) -> DataFrame:
     """One result per value of another type or form, and one per value without the pattern.
 
     Both checks share one pass over the triples. Good values are dropped before the join with the
@@ -257,7 +256,8 @@ def value_results(
     used = check_rows.filter(
         F.col("datatype").isNotNull() | F.col("pattern").isNotNull()
     ).select(*CARRIED, "target_kind", "target", F.col("datatype").alias("_type"), "pattern")
-    rows = triples.withColumnsRenamed({"s": "focus", "p": "path"}).join(hint(used), "path")
+    named = triples.withColumnsRenamed({"s": "focus", "p": "path"})
+    rows = spread_join(named, used, ["path"], ["focus", "o"])
     value = F.col("o")
     wrong_type = F.col("_type").isNotNull() & (
         (F.col("o_kind") != "literal")
@@ -313,13 +313,10 @@ def results_of(
     config: Config,
 ) -> DataFrame:
     """Results for the nodes that types and triples name; triples need only hold their own ones."""
-    wanted = checkpoint(checks(shapes, without_idle(shapes, constraints)))
-    own = checkpoint(shapes.select("shape_id", "target_kind", "target"))
-    small = max(own.count(), wanted.count()) <= SMALL_SHAPES
-    hint = F.broadcast if small else (lambda df: df)
-    targets = stored(focus_targets(triples, types, own, hint))
-    found = count_results(triples, targets, wanted, hint).unionByName(
-        value_results(triples, targets, wanted, hint)
+    wanted = stored(checks(shapes, without_idle(shapes, constraints)))
+    targets = stored(focus_targets(triples, types, wanted))
+    found = count_results(triples, targets, wanted).unionByName(
+        value_results(triples, targets, wanted)
     )
     return result_rows(found, config)
 
