@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,29 +10,44 @@ from normspark.functions.columns import computed, let
 FLAT_FIRST = r"(?s)^[^{]*(\{[^{}]*\})"
 
 
-def _scanner():
-    """Arrow function for the text of the first decodable object.
+#: pieces of a text as JSON sees it from an opening brace on: whole strings, braces, the rest
+PIECES = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}]|[^{}"]++|"'
+STRINGS = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
-    Made inside a function so that it travels to the executors by value.
-    """
 
-    @F.pandas_udf("string")
-    def scan_all(raw: pd.Series) -> pd.Series:
-        decode = json.JSONDecoder().raw_decode
+def decodes(text: Column) -> Column:
+    """Whether a text that starts with a brace is one JSON object; NaN and Infinity are numbers."""
+    read = F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    other_infinity = F.regexp_replace(text, STRINGS, "").rlike(r"\bINF\b|\+I")
+    return read.isNotNull() & ~other_infinity
+
+
+def balanced(tail: Column) -> Column:
+    """The text from its first brace to the one that closes it, braces inside strings left out of account;
+    null where nothing closes it."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("end"))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        at = state["at"] + F.length(piece)
+        moved = F.struct(at.alias("at"), depth.alias("depth"), F.when(depth == 0, at).otherwise(0).alias("end"))
+        return F.when(state["end"] > 0, state).otherwise(moved)
+
+    end = F.aggregate(F.regexp_extract_all(tail, F.lit(PIECES), F.lit(0)), start, step, lambda s: s["end"])
+    return let(end, lambda n: F.when(n > 0, F.substring(tail, F.lit(1), n)))
+
 
-        def scan(text):
-            start = -1 if text is None else text.find("{")
-            while start >= 0:
-                try:
-                    _, end = decode(text, start)
-                    return text[start:end]
-                except ValueError:
-                    start = text.find("{", start + 1)
-            return None
+def first_object(raw: Column) -> Column:
+    """The first {...} that decodes, tried from every opening brace in turn, or null."""
+    count = F.length(raw) - F.length(F.replace(raw, F.lit("{"), F.lit("")))
 
-        return raw.map(scan)
+    def tried(found: Column, i: Column) -> Column:
+        at = F.length(F.call_function("substring_index", raw, F.lit("{"), i)) + 1
+        text = let(F.substring(raw, at, F.length(raw)), balanced)
+        return F.coalesce(found, let(text, lambda t: F.when(decodes(t), t)))
 
-    return scan_all
+    starts = F.filter(F.sequence(F.lit(0), count), lambda i: i > 0)
+    return F.aggregate(starts, F.lit(None).cast("string"), tried)
 
 
 def flat_object(raw: Column) -> Column:
@@ -49,13 +61,11 @@ def flat_object(raw: Column) -> Column:
 def with_object(rows: DataFrame, raw: str, name: str) -> DataFrame:
     """Add the text of the first decodable {...} of a response, or null.
 
-    A response that starts with one flat object stays in the JVM; only nested or broken ones go
-    to the Arrow scan.
+    Most responses start with one flat object; only others are scanned brace by brace.
     """
     flat = computed(rows, _flat=flat_object(F.col(raw)))
-    rest = F.when(F.col("_flat").isNull() & F.col(raw).contains("{"), F.col(raw))
-    scanned = flat.withColumn("_scan", _scanner()(rest))
-    return scanned.withColumn(name, F.coalesce("_flat", "_scan")).drop("_flat", "_scan")
+    found = F.coalesce("_flat", F.when(F.col(raw).contains("{"), first_object(F.col(raw))))
+    return computed(flat, **{name: found}).drop("_flat")
 
 
 def missing_reason(raw: Column, found: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from normspark import values as v
 from normspark.config import Config
-from normspark.functions.columns import first_contained, strip
+from normspark.functions import turtle
+from normspark.functions.columns import computed, first_contained, local_name, strip
 from normspark.operators.align import text_class
 from normspark.operators.keyed import lookup
 from normspark.operators.responses import DIRECT_VERSION, request_key
@@ -172,31 +173,13 @@ def without_fences(text: Column) -> Column:
     return strip(F.regexp_replace(opened, r"(?md)```$", ""))
 
 
-def well_formed(turtle: Column) -> Column:
-    """Structural test of a shape block: a node shape, balanced brackets and quotes, a last dot."""
-    code = F.regexp_replace(turtle, r'"(?:[^"\\\n]|\\.)*"', '""')
-    code = F.regexp_replace(code, r"(?m)(^|\s)#.*$", "")
-
-    def count(char: str) -> Column:
-        return F.length(code) - F.length(F.replace(code, F.lit(char), F.lit("")))
-
-    return (
-        code.contains("sh:NodeShape")
-        & (count("[") == count("]"))
-        & (count("(") == count(")"))
-        & (count('"') % 2 == 0)
-        & strip(code).endswith(".")
-    )
-
-
-def chosen_turtle(attempts: DataFrame) -> DataFrame:
+def chosen_turtle(attempts: DataFrame, config: Config) -> DataFrame:
     """One block per key: the first valid attempt of at most three, else the last, marked invalid.
 
     An empty first answer is not repaired.
     """
-    read = attempts.withColumn("turtle_text", without_fences(F.col("response_json"))).withColumn(
-        "syntax_valid", well_formed(F.col("turtle_text"))
-    )
+    read = computed(attempts, turtle_text=without_fences(F.col("response_json")))
+    read = computed(read, syntax_valid=turtle.well_formed(F.col("turtle_text"), config))
     bad = ~F.col("syntax_valid")
     order = F.struct(bad, F.when(bad, -F.col("attempt")).otherwise(F.col("attempt")))
     return (
@@ -217,7 +200,7 @@ def direct_shapes(failed_rules: DataFrame, attempts: DataFrame, config: Config)
     if not config.use_direct_shapes:
         failed_rules = failed_rules.filter(F.lit(False))
     keyed = failed_rules.drop("cache_key").withColumn("cache_key", direct_key())
-    return lookup(keyed, chosen_turtle(attempts), "cache_key", "inner").select(
+    return lookup(keyed, chosen_turtle(attempts, config), "cache_key", "inner").select(
         "rule_id",
         "text",
         "turtle_text",
@@ -234,7 +217,7 @@ def fallback_shapes(
     """Shapes answered directly for formulas that could not be rendered."""
     missing = formulas.join(shapes.select("rule_id"), "rule_id", "left_anti")
     keyed = missing.drop("cache_key").withColumn("cache_key", direct_key())
-    return lookup(keyed, chosen_turtle(attempts), "cache_key", "inner").select(
+    return lookup(keyed, chosen_turtle(attempts, config), "cache_key", "inner").select(
         "rule_id",
         "text",
         "turtle_text",
@@ -245,6 +228,52 @@ def fallback_shapes(
     )
 
 
+def response_tables(answered: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """Valid response blocks as the shapes and constraints tables of the validation.
+
+    answered has rule_id, turtle_text and syntax_valid. A node shape may have several targets and
+    properties; those in brackets are anonymous. Blocks are read inside their rows.
+    """
+    usable = answered.filter("syntax_valid")
+    rows = computed(usable.select("rule_id", "turtle_text"), t=turtle.triples(F.col("turtle_text"), config))
+    is_shape = lambda x: (x["p"] == v.RDF_TYPE) & (x["o"] == v.NS_SHACL + "NodeShape")
+    nodes = rows.select("rule_id", "t", F.explode(F.array_distinct(F.filter("t", is_shape))).alias("n"))
+
+    def objects(subject: Column, *names: str) -> Column:
+        wanted = [v.NS_SHACL + n for n in names]
+        return F.filter("t", lambda x: (x["s"] == subject) & x["p"].isin(wanted))
+
+    def first(subject: Column, name: str) -> Column:
+        return F.get(objects(subject, name), F.lit(0))["o"]
+
+    shape = F.col("n.s")
+    given = local_name(first(shape, "severity"))
+    targets = nodes.select(
+        shape.alias("shape_id"), F.coalesce(given, F.lit("Violation")).alias("severity"),
+        F.explode(objects(shape, "targetClass", "targetSubjectsOf")).alias("x"),
+    )
+    by_class = F.col("x.p") == v.NS_SHACL + "targetClass"
+    kind = F.when(by_class, "class").otherwise("subjects_of")
+    shapes = targets.select("shape_id", kind.alias("target_kind"), F.col("x.o").alias("target"), "severity")
+
+    props = nodes.select("rule_id", "t", shape.alias("shape_id"), F.explode(objects(shape, "property")).alias("x"))
+    prop = F.col("x.o")
+    named = F.col("x.kind") == "iri"
+    constraints = props.select(
+        "shape_id",
+        F.when(named, prop).otherwise(F.concat(F.lit("_:"), "rule_id", F.lit("/"), prop)).alias("prop_id"),
+        named.alias("named"),
+        F.explode(F.transform(objects(prop, "path"), lambda x: x["o"])).alias("path"),
+        first(prop, "minCount").alias("min_count"),
+        first(prop, "maxCount").alias("max_count"),
+        local_name(first(prop, "datatype")).alias("datatype"),
+        first(prop, "pattern").alias("pattern"),
+        first(prop, "message").alias("message"),
+        local_name(first(prop, "severity")).alias("severity"),
+    )
+    return shapes.distinct(), constraints
+
+
 # --- shape files ----------------------------------------------------------------------------
 
 RULE_MARK = r"(?m)^(?=# Rule:\s+AIT-\d+)"

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normspark import values as v
+from normspark.functions import turtle
 from normspark.operators import entities as en
 from normspark.operators import quality, triage
 from normspark.operators import validate as va
@@ -304,34 +305,46 @@ def on_results(select: str, *more: str) -> str:
     return o.with_(*o.RESULT_CHAIN, *more) + select
 
 
-GENERATED = f"""
-generated AS (
-    SELECT '{m.NS}' || replace(rule_id, '-', '_') || 'Shape' AS shape_id, 'class' AS target_kind,
-           '{m.NS}Student' AS target, 'Info' AS severity, starts_with(response_json, '```') AS ok,
-           response_json <> '' AS filled FROM direct_responses WHERE attempt = 0)
+#: node shapes and constraints that the chosen answers of rules without formula spell out
+ANSWERED = f"""
+answered AS (
+    SELECT '{m.NS}' || regexp_extract(best.block, '^ait:(\\w+) a ', 1) AS shape_id, regexp_extract(best.block,
+           'sh:path ait:(\\w+)', 1) AS path,
+           CASE WHEN contains(best.block, 'sh:Info') THEN 'Info' ELSE 'Violation' END AS severity
+    FROM failed f JOIN best ON best.text = f.text WHERE best.ok)
 """
 
 
 @query(
     "merged_shapes",
-    o.with_(o.CONFIG_TABLES, o.role("direct_responses", m.DIRECT_RESPONSES), GENERATED)
-    + """SELECT shape_id, target_kind, target, severity FROM shapes UNION ALL
-         SELECT shape_id, target_kind, target, severity FROM generated WHERE ok AND filled""",
+    rule_queries.on_formulas(
+        f"""SELECT shape_id, target_kind, target, severity FROM shapes UNION ALL
+            SELECT DISTINCT shape_id, 'class', '{m.NS}Student', severity FROM answered""",
+        rule_queries.FAILED, rule_queries.DIRECT, o.CONFIG_TABLES, ANSWERED,
+    ),
 )
 def _(b: Bed):
-    from normspark.operators import shapes as shp
+    """Curated shapes and those of all answers; of several attempts the chosen one counts."""
+    return b.shapes.unionByName(b.answered[0].select(*b.shapes.columns))
 
-    answers = b.role(m.DIRECT_RESPONSES).filter(F.col("attempt") == 0)
-    block = shp.without_fences(F.col("response_json"))
-    generated = answers.select(
-        F.concat(F.lit(m.NS), shp.shape_name(F.col("rule_id"))).alias("shape_id"),
-        F.lit("class").alias("target_kind"),
-        F.lit(m.NS + "Student").alias("target"),
-        F.lit("Info").alias("severity"),
-        block.alias("turtle_text"),
-        shp.well_formed(block).alias("syntax_valid"),
+
+@query(
+    "response_constraints",
+    rule_queries.on_formulas(
+        f"""SELECT shape_id, false AS named, '{m.NS}' || path AS path,
+                CASE WHEN path = 'feesPaid' THEN 1 END AS min_count,
+                CASE WHEN path = 'cookInUnit' THEN 0 END AS max_count,
+                CASE WHEN path = 'cookInUnit' THEN 'boolean' END AS datatype,
+                CASE WHEN path = 'x' THEN '^a\\d' END AS pattern,
+                'a ] b' AS message
+            FROM answered""",
+        rule_queries.FAILED, rule_queries.DIRECT, ANSWERED,
+    ),
+)
+def _(b: Bed):
+    return b.answered[1].select(
+        "shape_id", "named", "path", "min_count", "max_count", "datatype", "pattern", "message"
     )
-    return va.merged_shapes(b.shapes, generated)
 
 
 def generated_constraints(b: Bed) -> DataFrame:
@@ -483,7 +496,7 @@ def _(b: Bed):
     from normspark.operators import shapes as shp
 
     made = b.role(m.DIRECT_RESPONSES).select(
-        shp.well_formed(shp.without_fences(F.col("response_json"))).alias("syntax_valid")
+        turtle.well_formed(shp.without_fences(F.col("response_json")), b.config).alias("syntax_valid")
     )
     return va.summary(b.triples, b.shapes, b.results, made)
 
@@ -923,27 +936,34 @@ def _(b: Bed):
 @query(
     "generated_shape_results",
     o.with_(
-        *o.FORMULA_CHAIN, *rule_queries.SHAPE_PARTS, o.ENTITY_TABLES, o.LATEST, o.ENTITY_FACTS,
+        *o.FORMULA_CHAIN, *rule_queries.SHAPE_PARTS, rule_queries.FAILED, rule_queries.DIRECT, ANSWERED,
+        o.ENTITY_TABLES, o.LATEST, o.ENTITY_FACTS,
         o.role("edges2", m.SUBCLASS_EDGES),
         o.CLOSURE.replace("edges", "edges2"),
-        """
+        f"""
+    wanted AS (
+        SELECT '{m.NS}' || replace(rule_id, '-', '_') || 'Shape_prop1' AS source_shape, prop_path AS path,
+               target_class, deontic_type FROM built WHERE target_kind = 'class'
+        UNION ALL
+        SELECT shape_id, path, 'Student', CASE path WHEN 'feesPaid' THEN 'obligation' WHEN 'cookInUnit'
+               THEN 'prohibition' END FROM answered),
     expected AS (
-        SELECT b.rule_id, b.prop_path, b.deontic_type, e.id FROM built b
-        JOIN closure c ON c.sup = 'http://example.org/ait-policy#' || b.target_class
-        JOIN entity_rows e ON c.sub = 'http://example.org/ait-policy#' || e.class
-        WHERE b.target_kind = 'class'),
-    seen AS (SELECT x.*, (SELECT count(*) FROM facts f WHERE f.id = x.id AND f.p = x.prop_path)
+        SELECT w.*, e.id FROM wanted w
+        JOIN closure c ON c.sup = '{m.NS}' || w.target_class
+        JOIN entity_rows e ON c.sub = '{m.NS}' || e.class),
+    seen AS (SELECT x.*, (SELECT count(*) FROM facts f WHERE f.id = x.id AND f.p = x.path)
              AS n FROM expected x)""",
     )
-    + """SELECT 'http://example.org/ait-policy#' || replace(rule_id, '-', '_') || 'Shape_prop1'
-         AS source_shape, count(*) AS n FROM seen
+    + """SELECT source_shape, count(*) AS n FROM seen
          WHERE (deontic_type = 'obligation' AND n < 1) OR (deontic_type = 'prohibition' AND n > 0)
          GROUP BY 1""",
 )
 def _(b: Bed):
+    """Results of the shapes made from formulas and of those given as answers."""
     from normspark.operators import shapes as shp
 
-    shapes, constraints = shp.generated_tables(stored(b.built), b.config)
+    own, answered = shp.generated_tables(stored(b.built), b.config), b.answered
+    shapes, constraints = (x.unionByName(y.select(*x.columns)) for x, y in zip(own, answered, strict=True))
     found = va.results(b.entity_triples, shapes, constraints, b.config, b.edges)
     return found.groupBy("source_shape").agg(F.count("*").alias("n"))
 

@@ -411,7 +411,16 @@ SELECT rule_id, text, rule_type, attempt,
        CASE WHEN ordinal % 3 = 0 OR attempt = 2 OR (ordinal % 3 = 1 AND attempt = 1)
             THEN '```turtle' || chr(10) || 'ait:' || replace(rule_id, '-', '_')
                  || 'Shape a sh:NodeShape ; sh:targetClass ait:Student ;' || chr(10)
-                 || '  sh:property [ sh:path ait:x ; sh:message "a ] b" ] .' || chr(10) || '```'
+                 || '  sh:severity sh:' || CASE WHEN ordinal % 2 = 0 THEN 'Info' ELSE 'Violation' END
+                 || ' ; sh:property [ sh:path ait:' || CASE rule_type
+                    WHEN 'obligation' THEN 'feesPaid ; sh:minCount 1' WHEN 'prohibition'
+                    THEN 'cookInUnit ; sh:maxCount "0" ; sh:datatype xsd:boolean'
+                    ELSE 'x ; sh:pattern "^a' || chr(92) || chr(92) || 'd"' END
+                 || ' ; sh:message "a ] b" ] . # end' || chr(10) || '```'
+            WHEN ordinal % 7 = 3 AND attempt = 0
+            THEN 'ait:' || replace(rule_id, '-', '_') || 'Shape a sh:NodeShape ; sh:property [ sh:minCount ] .'
+            WHEN ordinal % 7 = 4 AND attempt = 0
+            THEN 'ait:' || replace(rule_id, '-', '_') || 'Shape a sh:NodeShape ; other:p "x" .'
             WHEN ordinal % 7 = 2 THEN ''
             ELSE 'ait:' || replace(rule_id, '-', '_') || 'Shape a sh:NodeShape ; sh:property [ sh:path'
        END AS response_json

@@ -122,6 +122,13 @@ class Bed:
     def built(self) -> DataFrame:
         return shp.built(self.paths, self.config)
 
+    @cached_property
+    def answered(self) -> tuple[DataFrame, DataFrame]:
+        """Shapes and constraints of the answers for rules without formula."""
+        direct = shp.direct_shapes(formalize.failed(self.formalised), self.direct_store, self.config)
+        shapes, constraints = shp.response_tables(stored(direct), self.config)
+        return shapes, va.single_paths(va.whole_counts(constraints).drop("fixed"))
+
     # entities and validation
     @cached_property
     def entity_tables(self) -> dict[str, DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from normspark import values as v
 from normspark.functions import formula as fx
-from normspark.functions import naming
+from normspark.functions import naming, turtle
 from normspark.functions.columns import computed
 from normspark.operators import align, formalize, quality
 from normspark.operators import shapes as shp
@@ -713,7 +713,7 @@ best AS (SELECT * FROM answers WHERE rn = 1 AND first_answer <> '' AND block <>
     + f"SELECT {o.DIRECT_KEY} AS cache_key, block AS turtle_text, ok AS syntax_valid FROM best",
 )
 def _(b: Bed):
-    return shp.chosen_turtle(b.direct_store)
+    return shp.chosen_turtle(b.direct_store, b.config)
 
 
 FAILED = """
@@ -761,7 +761,7 @@ def _(b: Bed):
 def _(b: Bed):
     block = shp.without_fences(F.col("response_json"))
     return b.role(m.DIRECT_RESPONSES).select(
-        "rule_id", "attempt", shp.well_formed(block).alias("ok")
+        "rule_id", "attempt", turtle.well_formed(block, b.config).alias("ok")
     )
 
 

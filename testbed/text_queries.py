@@ -293,13 +293,36 @@ def _(b: Bed):
     return sections.headers(b.pages).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("sentence_positions")
-def _(b: Bed):
-    """Sentences found in their page by the moving cursor, with the nearest header before them.
-
-    The cursor depends on the sentence before, which SQL cannot say; tests compare it with plain
-    Python.
-    """
+def _positions_sql() -> str:
+    """The cursor goes on by one sentence of every page in each recursive step."""
+    return o.with_(
+        *o.SENTENCE_CHAIN,
+        f"""
+        {o.RECURSIVE} numbered AS MATERIALIZED (
+            SELECT source, page, text, row_number() OVER (PARTITION BY source, page ORDER BY item_pos, sent_pos) - 1
+                AS ord FROM sentences),
+        whole_pages AS MATERIALIZED (SELECT source, page, raw_text FROM rule_pages),
+        walk AS (
+            SELECT source, page, -1::BIGINT AS ord, '' AS text, 0::BIGINT AS cursor, 0::BIGINT AS pos FROM whole_pages
+            UNION ALL
+            SELECT source, page, ord, text, CASE WHEN hit > 0 THEN cursor + hit - 1 + length(text) ELSE cursor END,
+                   CASE WHEN hit > 0 THEN cursor + hit - 1 ELSE cursor END
+            FROM (SELECT w.source, w.page, n.ord, n.text, w.cursor, instr(substr(p.raw_text, w.cursor + 1), n.text) AS hit
+                  FROM walk w JOIN numbered n ON n.source = w.source AND n.page = w.page AND n.ord = w.ord + 1
+                  JOIN whole_pages p ON p.source = w.source AND p.page = w.page)),
+        headers AS ({_headers_sql().split(o.PAGES.strip(), 1)[1]}),
+        titled AS (
+            SELECT w.source, w.page, w.ord, w.text, w.pos, coalesce(arg_max(h.title, h.pos * 100 + h.rank), '') AS title
+            FROM walk w LEFT JOIN headers h ON h.source = w.source AND h.page = w.page AND h.pos < w.pos
+            WHERE w.ord >= 0 GROUP BY ALL)
+        """,
+    ) + f"""SELECT source, page, ord, text, pos, title AS section_context,
+            {o.section_weight('title')} AS section_weight FROM titled"""
+
+
+@query("sentence_positions", _positions_sql())
+def _(b: Bed):
+    """Sentences found in their page by the moving cursor, with the nearest header before them."""
     pages = computed(b.pages, found=seg.page_sentences(F.col("raw_text")))
     listed = pages.select(
         "source", "page", "raw_text", F.transform("found", lambda s: s["text"]).alias("sentences")

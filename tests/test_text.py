@@ -151,8 +151,15 @@ def test_positions_and_sections_equal_plain_python(spark):
 def test_first_object_equals_plain_scan(spark):
     texts = [
         '{"a": 1}', 'x {"a": {"b": 2}} y', '{bad {"a": "}"} z', "none", "{", '{"a": 1} {"b": 2}',
-        None, '{x} {"is_rule": true}', '{"a": [1, {"b": "{"}]} tail }',
+        None, '{x} {"is_rule": true}', '{"a": [1, {"b": "{"}]} tail }', "{}", "x{ }y", '{"a": 1, "a": 2}',
+        "{'a': 1}", '{"a": NaN}', '{"a": [-Infinity]} {"b": 1}', '{"a": INF} {"b": "INF"}', '{"a": 01} {"b": 0}',
+        '{"a": "x\ny"} {"b": "\\n"}', '{"a": "\\"}"} z', '{"open: {"a": 1}', '{"\\u00e9 {": {"漢": null}}',
+        '{"a": 1,} {"b": [1,]} {"c": 3}', '{"a" 1} {"b": {"c": [{}, {"d": "}"}]}}', '{"a": tru} {"a": true}',
+        '{"a": 1e5, "b": -0.5}', '{"a": .5} {"a": +1} {a: 1} {"z": "ok"}', '{"a": "b\tc"}', "}{", '{"a": {"b": 1}',
     ]
+    r = random.Random(4)
+    bits = ['{', '}', '"a"', ':', ' 1', ',', '[', ']', '"', '\\', 'null', ' ', '{"k": {"n": [1, 2]}}', "x"]
+    texts += ["".join(r.choice(bits) for _ in range(r.randint(1, 14))) for _ in range(1500)]
 
     def scan(t):
         for i, ch in enumerate(t or ""):
@@ -163,9 +170,13 @@ def test_first_object_equals_plain_scan(spark):
                     continue
         return None
 
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, raw STRING")
-    for r in jsontext.with_object(df, "raw", "obj").collect():
-        assert (None if r.obj is None else json.loads(r.obj)) == scan(texts[r.i])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i INT, raw STRING").repartition(4)
+    found = jsontext.with_object(df, "raw", "obj")
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = found.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert repr(None if r.obj is None else json.loads(r.obj)) == repr(scan(texts[r.i])), texts[r.i]
 
 
 def similar_names():
