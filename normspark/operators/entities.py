@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -346,6 +347,41 @@ def entities(
     return reduce(DataFrame.unionByName, parts)
 
 
+#: tables that hold one person's records, and their key
+PERSON_KEYS = {
+    "students": "student_id", "fee_records": "student_id", "accommodations": "student_id",
+    "conduct_records": "student_id", "student_conduct": "student_id", "academic_records": "student_id",
+    "faculty": "faculty_id", "staff": "staff_id",
+}
+
+
+def only_person(tables: dict[str, DataFrame], person_id: str) -> dict[str, DataFrame]:
+    """The tables with the rows of one person, whatever the kind; the filter reaches the scans."""
+    chosen = {k: t.filter(F.col(PERSON_KEYS[k]) == str(person_id)) for k, t in tables.items() if k in PERSON_KEYS}
+    rest = {k: t.filter(F.lit(False)) for k, t in tables.items() if k not in PERSON_KEYS}
+    return chosen | rest
+
+
+def of_names(
+    tables: dict[str, DataFrame],
+    students: Sequence[str] = (),
+    faculty: Sequence[str] = (),
+    staff: Sequence[str] = (),
+    committees: Sequence[str] = (),
+    ties: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """The entities that are listed by name, as entities() gives all; kinds without a name give none."""
+    chosen = tables | {
+        "students": by_names(tables["students"], list(students)),
+        "faculty": by_names(tables["faculty"], list(faculty), faculty_key()),
+        "staff": by_names(tables["staff"], list(staff)),
+        "committees": by_names(
+            tables["committees"], list(committees), committee_id(F.col("committee_name"))
+        ),
+    }
+    return entities(chosen, ties=ties)
+
+
 def by_names(df: DataFrame, names: list[str], column: Column | None = None) -> DataFrame:
     """Rows whose name is listed: students by first name, faculty by title and names run together,
     staff by first name, committees by id."""

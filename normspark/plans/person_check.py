@@ -1,4 +1,4 @@
-"""Compliance of all persons in one plan: records to triples to results to reports."""
+"""Compliance of persons in one plan: records to triples to results to reports."""
 
 from __future__ import annotations
 
@@ -31,3 +31,29 @@ def person_check(
     wanted = shapes.filter(F.col("shape_id").isin(va.person_check_shapes(config)))
     found = person_results(graph, wanted, constraints, config)
     return va.person_report(en.persons(tables), found)
+
+
+def check_by_id(
+    tables: dict[str, DataFrame],
+    person_id: str,
+    shapes: DataFrame,
+    constraints: DataFrame,
+    config: Config,
+    ties: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """The report of one person, or no row; only that person's records are read."""
+    return person_check(en.only_person(tables, person_id), shapes, constraints, config, ties)
+
+
+def check_by_name(
+    tables: dict[str, DataFrame],
+    name: str,
+    shapes: DataFrame,
+    constraints: DataFrame,
+    config: Config,
+    ties: dict[str, list[str]] | None = None,
+) -> DataFrame:
+    """The report of the first person of that name, else of the first whose name contains it."""
+    found = en.person_by_name(en.persons(tables), name).select("id", "type").collect()
+    report = check_by_id(tables, found[0].id if found else "", shapes, constraints, config, ties)
+    return report.filter(F.col("type") == found[0].type) if found else report.limit(0)

@@ -1,8 +1,16 @@
-"""Writers of step tables, shape files and reports."""
+"""Writers of step tables, shape files and reports.
+
+Tables of a run are staged and then committed: the rows go into a folder of their own, and a line in
+the manifest beside them names it for the run. Readers follow the manifest, so a run that fails half
+way leaves nothing visible, a rerun replaces exactly its own run, and other runs stay as they are.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from normspark import values as v
@@ -10,32 +18,95 @@ from normspark.config import Config
 from normspark.operators.shapes import prefix_text
 
 
-def rules_and_formulas(rules: DataFrame, formulas: DataFrame, folder: str) -> None:
-    rules.write.mode("overwrite").json(f"{folder}/classified_rules")
-    formulas.write.mode("overwrite").json(f"{folder}/fol_formulas")
-
-
-def shape_lines(rendered: DataFrame, config: Config) -> DataFrame:
-    """(source, ordinal, value): the prefix header first, then each block in rule order."""
+MANIFEST = "run STRING, part STRING, at LONG, rows LONG"
+
+
+def commit(df: DataFrame, run: str, folder: str, form: str = "parquet") -> int:
+    """Write one run's table and commit it; the number of rows is counted in the same pass."""
+    part, seen = uuid.uuid4().hex, Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
+    counted.write.format(form).save(f"{folder}/parts/{part}")
+    line = [(run, part, time.time_ns(), seen.get["n"])]
+    manifest = df.sparkSession.createDataFrame(line, MANIFEST).coalesce(1)
+    manifest.write.mode("append").json(f"{folder}/manifest")
+    return line[0][3]
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The committed part of every run: run, part, at, rows."""
+    lines = spark.read.schema(MANIFEST).json(f"{folder}/manifest")
+    newest = F.max_by(F.struct("part", "at", "rows"), F.struct("at", "part")).alias("x")
+    return lines.groupBy("run").agg(newest).select("run", "x.*")
+
+
+def committed(spark: SparkSession, folder: str, schema, run: str | None = None, form: str = "parquet") -> DataFrame:
+    """What is committed for one run, or for all runs with a column `run`; one path per run."""
+    lines = [r for r in manifest(spark, folder).collect() if run in (None, r.run)]
+    tables = [
+        spark.read.schema(schema).format(form).load(f"{folder}/parts/{r.part}").withColumn("run", F.lit(r.run))
+        for r in lines
+    ]
+    if not tables:
+        tables = [spark.createDataFrame([], schema).withColumn("run", F.lit(""))]
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole if run is None else whole.drop("run")
+
+
+def rules_and_formulas(rules: DataFrame, formulas: DataFrame, run: str, folder: str) -> None:
+    commit(rules, run, f"{folder}/classified_rules", "json")
+    commit(formulas, run, f"{folder}/fol_formulas", "json")
+
+
+def shape_lines(
+    rendered: DataFrame,
+    config: Config,
+    answered: DataFrame | None = None,
+    links: DataFrame | None = None,
+) -> DataFrame:
+    """(source, part, ordinal, value): the prefix header, the blocks in rule order, then blocks
+    answered for rules that could not be rendered (answered, as rendered) and the lines of overrides
+    (links: source, line)."""
     header = rendered.select("source").distinct().select(
-        "source", F.lit(-1).cast("long").alias("ordinal"), F.lit(prefix_text(config)).alias("value")
-    )
-    blocks = rendered.select(
-        "source", F.col("ordinal").cast("long"), F.col("turtle_text").alias("value")
+        "source", F.lit(0).alias("part"), F.lit(0).cast("long").alias("ordinal"),
+        F.lit(prefix_text(config)).alias("value"),
     )
-    return header.unionByName(blocks)
 
+    def blocks(df: DataFrame, part: int) -> DataFrame:
+        return df.select(
+            "source", F.lit(part).alias("part"), F.col("ordinal").cast("long"),
+            F.col("turtle_text").alias("value"),
+        )
 
-def shape_text(rendered: DataFrame, config: Config, folder: str) -> None:
+    lines = header.unionByName(blocks(rendered, 1))
+    if answered is not None:
+        lines = lines.unionByName(blocks(answered, 2))
+    if links is not None:
+        last = links.select(
+            "source", F.lit(3).alias("part"), F.lit(0).cast("long").alias("ordinal"),
+            F.col("line").alias("value"),
+        )
+        lines = lines.unionByName(last)
+    return lines
+
+
+def shape_text(
+    rendered: DataFrame,
+    config: Config,
+    folder: str,
+    answered: DataFrame | None = None,
+    links: DataFrame | None = None,
+) -> None:
     """Shape files, one folder per source; its part files in name order give the whole text.
 
     Rows are range-partitioned by source and order, so a source with very many shapes is written
     by many tasks.
     """
     (
-        shape_lines(rendered, config)
-        .repartitionByRange("source", "ordinal")
-        .sortWithinPartitions("source", "ordinal")
+        shape_lines(rendered, config, answered, links)
+        .repartitionByRange("source", "part", "ordinal", "value")
+        .sortWithinPartitions("source", "part", "ordinal", "value")
         .select("source", "value")
         .write.mode("overwrite")
         .partitionBy("source")
@@ -55,9 +126,9 @@ def validation(summary: DataFrame, results: DataFrame, folder: str) -> None:
     results.write.mode("overwrite").parquet(f"{folder}/results")
 
 
-def report(summary: DataFrame, folder: str) -> None:
+def report(summary: DataFrame, run: str, folder: str) -> None:
     """One document per run."""
-    summary.coalesce(1).write.mode("overwrite").json(f"{folder}/pipeline_report")
+    commit(summary.coalesce(1), run, f"{folder}/pipeline_report", "json")
 
 
 def formula_pairs(formulas: DataFrame) -> DataFrame:
@@ -85,17 +156,6 @@ def append_formula_pairs(formulas: DataFrame, folder: str) -> None:
     formula_pairs(formulas).write.mode("append").json(folder)
 
 
-def by_run(df: DataFrame, run: str, folder: str) -> None:
-    """Write one run's table into its own partition; other runs stay as they are."""
-    (
-        df.withColumn("run", F.lit(run))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run")
-        .parquet(folder)
-    )
-
-
 # Section titles of the entity text.
 SECTIONS = (
     ("students", "Students"), ("faculty", "Faculty"), ("staff", "Staff"),

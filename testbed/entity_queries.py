@@ -13,7 +13,7 @@ from normspark.operators import entities as en
 from normspark.operators import quality, triage
 from normspark.operators import validate as va
 from normspark.operators.keyed import checkpoint, stored, work_dir
-from normspark.plans import pipeline
+from normspark.plans import person_check, pipeline
 from normspark.sources import sinks
 from oracles import base as o
 from testbed import mapping as m
@@ -81,31 +81,24 @@ def _(b: Bed):
 @query(
     "entities_by_names",
     on_entities(
-        f"""SELECT student_id AS id FROM students WHERE first_name IN ('BUILDING', 'MACHINERY')
+        f"""SELECT s, p, o FROM entity_triples WHERE s IN (
+        SELECT '{m.NS}' || id FROM (
+        SELECT student_id AS id FROM students WHERE first_name IN ('BUILDING', 'MACHINERY')
         UNION ALL SELECT faculty_id FROM faculty
             WHERE replace(replace(title || first_name || last_name, ' ', ''), '.', '')
                   IN ('DrSupplier000000007', 'ProfSupplier000000009')
         UNION ALL SELECT staff_id FROM staff WHERE first_name IN ('PROMO')
         UNION ALL SELECT {o.COMMITTEE_ID} FROM committees
-            WHERE {o.COMMITTEE_ID} = 'BoardAndPanelNATION_3'"""
+            WHERE {o.COMMITTEE_ID} = 'BoardAndPanelNATION_3'))"""
     ),
 )
 def _(b: Bed):
-    tables = b.entity_tables
-    students = en.by_names(tables["students"], ["BUILDING", "MACHINERY"])
-    faculty = en.by_names(
-        tables["faculty"], ["DrSupplier000000007", "ProfSupplier000000009"], en.faculty_key()
+    """Triples of the entities listed by name."""
+    rows = en.of_names(
+        b.entity_tables, ["BUILDING", "MACHINERY"], ["DrSupplier000000007", "ProfSupplier000000009"],
+        ["PROMO"], ["BoardAndPanelNATION_3"], m.TIES,
     )
-    staff = en.by_names(tables["staff"], ["PROMO"])
-    key = en.committee_id(F.col("committee_name"))
-    committees = en.by_names(tables["committees"], ["BoardAndPanelNATION_3"], key)
-    parts = [
-        students.select(F.col("student_id").alias("id")),
-        faculty.select(F.col("faculty_id").alias("id")),
-        staff.select(F.col("staff_id").alias("id")),
-        committees.select(key.alias("id")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return en.triples(rows, b.config).select("s", "p", "o")
 
 
 @query("entity_class", on_entities("SELECT id, class FROM entity_rows"))
@@ -160,19 +153,25 @@ def _(b: Bed):
     return en.triples(b.entities, b.config)
 
 
-@query(
-    "entity_text_blocks",
-    on_entities(
-        """SELECT id AS entity_id, n_lines FROM (SELECT e.id, count(f.id) + 1 AS n_lines
-           FROM entity_rows e LEFT JOIN facts f ON f.id = e.id GROUP BY e.id)"""
-    ),
-)
+#: property lines of an entity's text, in one order
+TEXT_LINES = """
+text_lines AS (
+    SELECT id, 'rdfs:label "' || label || '"' AS line FROM entity_rows
+    UNION ALL SELECT id, 'ait:' || p || ' ' || o FROM facts),
+texts AS (
+    SELECT e.id AS entity_id, e.class, string_agg(line, chr(10) ORDER BY line) AS lines
+    FROM entity_rows e JOIN text_lines l ON l.id = e.id GROUP BY ALL)
+"""
+
+
+@query("entity_text_blocks", on_entities("SELECT * FROM texts", TEXT_LINES))
 def _(b: Bed):
+    """Class and all property lines as the text has them; comment lines are left out."""
     blocks = en.text_blocks(b.entities, b.config)
+    line = F.regexp_extract_all("block", F.lit("(?m)^    (.*) [;.]$"), F.lit(1))
+    head = F.regexp_extract("block", r"(?m)^ait:(\S+) a ait:(\w+) ;$", 2)
     return blocks.select(
-        "entity_id", F.size(F.regexp_extract_all("block", F.lit("(?m)^    "), F.lit(0))).cast(
-            "long"
-        ).alias("n_lines")
+        "entity_id", head.alias("class"), F.array_join(F.array_sort(line), "\n").alias("lines")
     )
 
 
@@ -579,6 +578,34 @@ def _(b: Bed):
     )
 
 
+def _one_person(name: str, where: str, check):
+    @query(
+        name,
+        on_persons(
+            f"""SELECT p.id, p.name, p.type, b.rule_id, b.message FROM persons p LEFT JOIN by_entity b ON b.id = p.id
+                WHERE {where}""",
+            _BY_ENTITY,
+        ),
+    )
+    def _(b: Bed):
+        report = check(b.entity_tables, b.shapes, b.constraints, b.config, m.TIES)
+        rule = F.explode_outer("not_conforms").alias("r")
+        return report.select("id", "name", "type", rule).select("id", "name", "type", "r.rule_id", "r.message")
+
+
+_one_person(
+    "person_check_by_id", "p.id = 'ST42'",
+    lambda tables, *rest: person_check.check_by_id(tables, "ST42", *rest),
+)
+_one_person(
+    "person_check_by_name",
+    """p.id = (SELECT id FROM persons WHERE contains(lower(name), 'large hot')
+       ORDER BY lower(name) <> 'large hot', list_position(['Student', 'Faculty', 'Employee'], type),
+       CASE type WHEN 'Student' THEN 0 ELSE length(id) END, id LIMIT 1)""",
+    lambda tables, *rest: person_check.check_by_name(tables, " Large HOT ", *rest),
+)
+
+
 @query(
     "person_rows",
     on_results(
@@ -889,9 +916,7 @@ def run_funnels(b: Bed) -> DataFrame:
     return pipeline.run_counts(b.sentences, lambda req: t.classification_store(req), t.second_store)
 
 
-@query(
-    "run_settings",
-    o.with_(*o.CLASSIFIED_CHAIN, o.SECOND, """
+RUNS = (*o.CLASSIFIED_CHAIN, o.SECOND, """
     hintless AS (SELECT b.*, CASE WHEN raw_type IN ('obligation', 'permission', 'prohibition')
             THEN raw_confidence ELSE greatest(raw_confidence - 0.1::DOUBLE, 0.4::DOUBLE) END AS c
         FROM read b),
@@ -915,22 +940,31 @@ def run_funnels(b: Bed) -> DataFrame:
         UNION ALL SELECT 'no-reclassify', text, confidence FROM banded WHERE is_rule),
     ruled AS (SELECT run, count(*) AS n FROM sure WHERE c >= 0.6::DOUBLE OR (c >= 0.4::DOUBLE
         AND run <> 'no-reclassify' AND substr(md5(text), 2, 1) NOT IN ('1', '2', '5', 'f'))
-        GROUP BY run)""")
-    + """SELECT run, n AS rules_classified, CASE run
+        GROUP BY run)""", """
+    funnels AS (SELECT run, n AS rules_classified, CASE run
         WHEN 'no-prefilter' THEN (SELECT count(*) FROM sentences)
         WHEN 'no-may-disambig' THEN (SELECT count(*) FROM strengths WHERE strength <> 'none'
                                      AND n_words <= 150)
         ELSE (SELECT count(*) FROM decided WHERE is_candidate) END AS candidates_prefiltered
-        FROM ruled""",
-)
+        FROM ruled)""")
+
+
+@query("run_settings", o.with_(*RUNS) + "SELECT * FROM funnels")
 def _(b: Bed):
     return run_funnels(b).select("run", "rules_classified", "candidates_prefiltered")
 
 
-@query("run_comparison")
+@query(
+    "run_comparison",
+    o.with_(*RUNS, """
+    metrics AS (UNPIVOT funnels ON rules_classified, candidates_prefiltered INTO NAME metric VALUE value)""")
+    + """SELECT m.run, m.metric, b.value AS base, m.value, m.value - b.value AS change
+         FROM metrics m JOIN metrics b ON b.metric = m.metric AND b.run = 'baseline'
+         WHERE m.run <> 'baseline'""",
+)
 def _(b: Bed):
-    """Differences of the run settings against the baseline; run_settings checks the numbers."""
-    return triage.compare_runs(checkpoint(run_funnels(b)))
+    """Differences of the run settings against the baseline."""
+    return triage.compare_runs(stored(run_funnels(b)))
 
 
 @query(
@@ -1025,52 +1059,138 @@ def scratch(b: Bed, name: str) -> str:
     return f"{work_dir(b.spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("rules_and_formulas_sink")
+@query(
+    "rules_and_formulas_sink",
+    rule_queries.on_formulas("SELECT rule_id, deontic_formula, subject FROM completed"),
+)
 def _(b: Bed):
+    """Written twice for one run and once for another; the rerun replaces its own run."""
     folder = scratch(b, "rules")
-    sinks.rules_and_formulas(b.rules, b.formulas, folder)
-    return b.spark.read.schema("rule_id STRING, deontic_formula STRING, subject STRING").json(
-        f"{folder}/fol_formulas"
-    )
+    for run in ("baseline", "no-hints", "baseline"):
+        sinks.rules_and_formulas(b.rules, b.formulas, run, folder)
+    schema = "rule_id STRING, deontic_formula STRING, subject STRING"
+    return sinks.committed(b.spark, f"{folder}/fol_formulas", schema, "baseline", "json")
 
 
-@query("shape_text_sink")
+@query(
+    "shape_text_sink",
+    rule_queries.on_shapes(
+        """
+        SELECT source, value, count(*) AS n FROM (
+            SELECT source_document AS source, unnest(string_split(turtle_text, chr(10))) AS value FROM rendered
+            UNION ALL
+            SELECT b.source_document, 'ait:' || permission || ' deontic:overrides ait:' || obligation || ' .'
+            FROM overrides o JOIN built b ON b.shape_name = o.permission
+            UNION ALL
+            SELECT f.source_document, unnest(string_split(best.block, chr(10)))
+            FROM failed f JOIN best ON best.text = f.text)
+        WHERE value <> '' GROUP BY ALL
+        """,
+        rule_queries.RENDERED, rule_queries.OVERRIDES, rule_queries.FAILED, rule_queries.DIRECT,
+    ),
+)
 def _(b: Bed):
+    """Lines of the shape files: rendered blocks, answered blocks and overrides; without prefixes."""
+    from normspark.operators import formalize
     from normspark.operators import shapes as shp
 
     folder = scratch(b, "shapes")
-    rendered = shp.rendered(b.built, b.config).withColumn("source", F.col("source_document"))
-    sinks.shape_text(rendered, b.config, folder)
-    return b.spark.read.text(folder).groupBy("source").agg(F.count("*").alias("lines"))
+    rendered = shp.rendered(stored(b.built), b.config).withColumn("source", F.col("source_document"))
+    failed = formalize.failed(b.formalised)
+    direct = shp.direct_shapes(failed, b.direct_store, b.config).join(
+        failed.select("rule_id", "ordinal", F.col("source_document").alias("source")), "rule_id"
+    )
+    names = rendered.select("source", F.col("shape_name").alias("permission"))
+    links = shp.override_triples(shp.overrides(rendered), b.config).withColumn(
+        "permission", F.substring_index("s", "#", -1)
+    )
+    sinks.shape_text(rendered, b.config, folder, direct, links.join(names, "permission"))
+    lines = b.spark.read.text(folder).filter("value <> '' AND value NOT LIKE '@prefix%'")
+    return lines.groupBy("source", "value").agg(F.count("*").alias("n"))
 
 
-@query("report_sink")
+@query(
+    "report_sink",
+    on_results(
+        """SELECT count(*) AS violation_count, (SELECT count(DISTINCT s) FROM triples) AS entity_count,
+           count(*) = 0 AS conforms FROM results"""
+    ),
+)
 def _(b: Bed):
     folder = scratch(b, "report")
-    sinks.report(va.summary(b.triples, b.shapes, b.results, None), folder)
-    return b.spark.read.schema("violation_count BIGINT, entity_count BIGINT, conforms BOOLEAN").json(
-        f"{folder}/pipeline_report"
+    sinks.report(va.summary(b.triples, b.shapes, b.results, None), "baseline", folder)
+    schema = "violation_count BIGINT, entity_count BIGINT, conforms BOOLEAN"
+    return sinks.committed(b.spark, f"{folder}/pipeline_report", schema, "baseline", "json")
+
+
+@query(
+    "validation_sink",
+    on_results(
+        """SELECT source_shape, component, count(*) AS n, (SELECT count(*) FROM results) AS violation_count
+           FROM results GROUP BY ALL"""
+    ),
+)
+def _(b: Bed):
+    """All results and the counts beside them, as the validation sink leaves them."""
+    folder = scratch(b, "validation")
+    results = stored(b.results)
+    sinks.validation(va.summary(b.triples, b.shapes, results, None), results, folder)
+    total = b.spark.read.schema("violation_count BIGINT").json(f"{folder}/validation_summary")
+    by_shape = b.spark.read.parquet(f"{folder}/results").groupBy("source_shape", "component")
+    return by_shape.agg(F.count("*").alias("n")).withColumn(
+        "violation_count", total.select("violation_count").scalar()
     )
 
 
-@query("formula_pair_sink")
+@query(
+    "formula_pair_sink",
+    rule_queries.on_formulas(
+        f"""SELECT 'Write the rule as a deontic formula.' || chr(10) || 'Type: ' || rule_type
+            || chr(10) || 'Rule: "' || text || '"' AS prompt, deontic_formula, 2 * count(*) AS n
+            FROM completed WHERE NOT ({rule_queries.PLACEHOLDER_AFTER}) GROUP BY ALL"""
+    ),
+)
 def _(b: Bed):
+    """Appended twice, so every pair is there twice."""
     folder = scratch(b, "pairs")
     sinks.append_formula_pairs(b.formulas, folder)
     sinks.append_formula_pairs(b.formulas, folder)
-    return b.spark.read.schema("prompt STRING, completion STRING").json(folder)
+    pairs = b.spark.read.schema("prompt STRING, completion STRING").json(folder)
+    formula = F.get_json_object("completion", "$.deontic_formula").alias("deontic_formula")
+    return pairs.groupBy("prompt", formula).agg(F.count("*").alias("n"))
 
 
-@query("run_partition_sink")
+@query(
+    "run_partition_sink",
+    o.with_(o.RULES)
+    + """SELECT run, rule_type, count(*) AS n FROM (SELECT unnest(['baseline', 'no-hints']) AS run, rule_type
+         FROM part_rules) GROUP BY ALL""",
+)
 def _(b: Bed):
-    folder = scratch(b, "runs")
+    """Three writes of two runs; what is committed has each run once."""
+    folder, rules = scratch(b, "runs"), stored(b.rules)
     for run in ("baseline", "no-hints", "baseline"):
-        sinks.by_run(b.rules, run, folder)
-    return b.spark.read.parquet(folder).groupBy("run", "rule_type").agg(F.count("*").alias("n"))
+        sinks.commit(rules, run, folder)
+    whole = sinks.committed(b.spark, folder, rules.schema)
+    return whole.groupBy("run", "rule_type").agg(F.count("*").alias("n"))
 
 
-@query("entity_text_sink")
+@query(
+    "entity_text_sink",
+    on_entities(
+        """SELECT value, count(*) AS n FROM (
+               SELECT unnest(string_split(lines, chr(10))) AS value FROM texts
+               UNION ALL SELECT 'ait:' || entity_id || ' a ait:' || class FROM texts
+               UNION ALL SELECT DISTINCT '# --- ' || CASE class WHEN 'Faculty' THEN 'Faculty' WHEN 'Employee'
+                   THEN 'Staff' WHEN 'Committee' THEN 'Committees' ELSE 'Students' END || ' ---' FROM texts)
+           GROUP BY value""",
+        TEXT_LINES,
+    ),
+)
 def _(b: Bed):
+    """Lines of the entity text: section titles, heads and properties, without comments and prefixes."""
     folder = scratch(b, "entities")
     sinks.entity_text(en.text_blocks(b.entities, b.config), b.config, folder)
-    return b.spark.read.text(folder).filter(F.col("value") != "")
+    lines = b.spark.read.text(folder).filter(r"value RLIKE '^(    |ait:|# --- )'")
+    bare = F.regexp_replace(F.trim("value"), " [;.]$", "")
+    return lines.groupBy(bare.alias("value")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ import check
 from normspark.config import Config, output_name, run_config
 from normspark.operators import classify, formalize, responses
 from normspark.operators import shapes as shp
-from normspark.plans.person_check import person_check
+from normspark.plans.person_check import check_by_id, check_by_name, person_check
 from normspark.plans.pipeline import Inputs, Run
 from normspark.sources import readers, sinks
 from normspark.streaming.sentences import page_stream, write_candidates
@@ -71,7 +71,11 @@ def test_whole_run(spark, tmp_path):
     other = Run(inputs, run_config("no-reclassify"), str(tmp_path)).execute()
     assert other["rules"].count() == 1 and other["errors"].filter("step = 'reclassify'").count() == 1
     # the first run's partition is still there
-    assert spark.read.parquet(f"{tmp_path}/rules").filter("run = 'baseline'").count() == 2
+    schema = out["rules"].schema
+    assert sinks.committed(spark, f"{tmp_path}/rules", schema, "baseline").count() == 2
+    assert {r.run: r.rows for r in sinks.manifest(spark, f"{tmp_path}/rules").collect()} == {
+        "baseline": 2, "no-reclassify": 1
+    }
     assert output_name("ait", "no-hints") == "ait_no-hints"
 
 
@@ -105,6 +109,31 @@ def test_readers_and_sinks(spark, tmp_path):
     assert whole.startswith("@prefix rdf:") and whole.index("A\n") < whole.index("B\n")
 
 
+def test_a_rerun_replaces_its_own_run_only(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    one = spark.createDataFrame([(1,), (2,)], "x INT")
+    sinks.commit(one, "a", folder)
+    sinks.commit(one, "b", folder)
+    assert sinks.commit(one.limit(1), "a", folder) == 1
+    # staged but never committed
+    one.write.parquet(f"{folder}/parts/lost")
+    rows = sinks.committed(spark, folder, "x INT").collect()
+    assert sorted((r.run, r.x) for r in rows)[1:] == [("b", 1), ("b", 2)] and len(rows) == 3
+    assert sinks.committed(spark, folder, "x INT", "c").count() == 0
+
+
+def test_person_check_by_id_and_name(spark):
+    b = Bed(spark, SF)
+    whole = {r.id: r for r in person_check(b.entity_tables, b.shapes, b.constraints, b.config, TIES).collect()}
+    person = b.persons.filter("type = 'Faculty'").first()
+    for one in ("ST7", person.id, "nobody"):
+        got = check_by_id(b.entity_tables, one, b.shapes, b.constraints, b.config, TIES).collect()
+        assert got == [r for i, r in whole.items() if i == one]
+    got = check_by_name(b.entity_tables, f" {person.name.upper()} ", b.shapes, b.constraints, b.config, TIES)
+    assert got.collect() == [whole[person.id]]
+    assert check_by_name(b.entity_tables, "no such name", b.shapes, b.constraints, b.config, TIES).count() == 0
+
+
 def test_stream(spark, tmp_path):
     folder = str(tmp_path / "in")
     pages(spark).write.parquet(folder)
