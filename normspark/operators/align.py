@@ -10,7 +10,7 @@ from normspark.config import Config
 from normspark.functions import naming
 from normspark.functions.columns import computed, first_match
 from normspark.functions.similarity import alike
-from normspark.operators.keyed import broadcast_checked, lookup, stored
+from normspark.operators.keyed import broadcast_checked, lookup, spread_join, stored
 
 # --- classes --------------------------------------------------------------------------------
 
@@ -190,8 +190,9 @@ def keyword_match(rules: DataFrame, vocabulary: DataFrame, config: Config) -> Da
             )
         ).alias("word"),
     )
+    # a word that most rules have is dealt out; its pairs are added up before they move on
     shared = (
-        words.join(broadcast_checked(terms), "word")
+        spread_join(words, terms, ["word"], ["rule_id"])
         .groupBy("rule_id", "prop", "ord")
         .agg(
             F.sum(F.length("word")).alias("score"),

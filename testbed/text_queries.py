@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from normspark import values as v
@@ -9,7 +11,7 @@ from normspark.functions import deontic, jsontext
 from normspark.functions import segment as seg
 from normspark.functions.columns import computed
 from normspark.operators import classify, prefilter, responses, sections, segment
-from normspark.operators.keyed import stored
+from normspark.operators.keyed import stored, work_dir
 from normspark.sources import readers
 from oracles import base as o
 from testbed import mapping as m
@@ -30,10 +32,19 @@ def on_sentences(select: str, *more: str) -> str:
 @query(
     "page_source",
     o.with_(o.PAGES)
-    + "SELECT source, page, length(raw_text) AS chars, md5(raw_text) AS digest FROM rule_pages",
-)
-def _(b: Bed):
-    return b.pages.select(
+    + """SELECT source || '-' || page % 3 || '.txt' AS source, (row_number() OVER (PARTITION BY source, page % 3
+         ORDER BY page))::INTEGER AS page, length(raw_text) AS chars, md5(raw_text) AS digest FROM rule_pages""",
+)
+def _(b: Bed):
+    """The pages as text files of several pages, read by the page reader."""
+    folder = f"{work_dir(b.spark)}/pages-{uuid.uuid4().hex}"
+    name = F.concat("source", F.lit("-"), F.col("page") % 3, F.lit(".txt")).alias("file")
+    # Spark names its files itself: one folder per document, whose name stands for the file's
+    files = b.pages.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("page", "raw_text"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["raw_text"]), "\f").alias("value")
+    files.select("file", text).write.partitionBy("file").option("lineSep", "\f").text(folder)
+    read = readers.pages(b.spark, f"{folder}/*", F.regexp_extract(F.input_file_name(), "file=([^/]*)/", 1))
+    return read.filter("raw_text <> ''").select(
         "source", "page", F.length("raw_text").alias("chars"), F.md5("raw_text").alias("digest")
     )
 
@@ -53,9 +64,13 @@ def _(b: Bed):
         F.when(F.col("turn") != 0, F.col("conv_id").cast("int")).alias("page"),
         F.when(F.col("role") != "user", F.col("role")).alias("source"),
     )
-    return readers.sentence_records(
-        b.given("conversations").select(F.to_json(record).alias("line")), "line"
-    )
+    # one file that holds one array
+    folder = f"{work_dir(b.spark)}/sentences-{uuid.uuid4().hex}"
+    lines = b.given("conversations").select(F.lit(1).alias("n"), F.concat(F.to_json(record), F.lit(",")).alias("value"))
+    around = b.spark.createDataFrame([(0, "["), (2, '{"text": "end"}]')], "n INT, value STRING")
+    whole = lines.unionByName(around).repartition(1).sortWithinPartitions("n").select("value")
+    whole.write.text(folder)
+    return readers.sentences_json(b.spark, folder).filter("text <> 'end' OR page <> 0 OR source <> ''")
 
 
 @query(
@@ -70,17 +85,48 @@ def _(b: Bed):
 
     from pyspark.sql import DataFrame
 
+    folder = f"{work_dir(b.spark)}/entities-{uuid.uuid4().hex}"
+    for name, df in b.entity_tables.items():
+        df.write.parquet(f"{folder}/{name}")
     return reduce(
         DataFrame.unionByName,
         [
             df.agg(F.count("*").alias("row_count")).select(
                 F.lit(name).alias("table_name"), "row_count"
             )
-            for name, df in b.entity_tables.items()
+            for name, df in readers.entity_tables(b.spark, folder).items()
         ],
     )
 
 
+@query(
+    "triple_source",
+    "WITH " + o.role("value_triples", m.VALUE_TRIPLES)
+    + " SELECT p, o_kind, datatype, count(*) AS n FROM (SELECT DISTINCT * FROM value_triples) GROUP BY ALL",
+)
+def _(b: Bed):
+    """Triples written twice and read as a set."""
+    folder, triples = f"{work_dir(b.spark)}/triples-{uuid.uuid4().hex}", b.role(m.VALUE_TRIPLES)
+    triples.unionByName(triples).write.parquet(folder)
+    read = readers.triples(b.spark, folder)
+    return read.groupBy("p", "o_kind", "datatype").agg(F.count("*").alias("n"))
+
+
+@query(
+    "shape_source",
+    "WITH " + o.CONFIG_TABLES
+    + """ SELECT s.shape_id, s.target_kind, s.target, c.path, c.min_count, c.max_count, c.datatype, c.pattern
+          FROM shapes s LEFT JOIN raw_constraints c ON c.shape_id = s.shape_id""",
+)
+def _(b: Bed):
+    folder = f"{work_dir(b.spark)}/shapes-{uuid.uuid4().hex}"
+    b.shapes.write.parquet(f"{folder}/shapes")
+    b.role(m.CONSTRAINTS).write.parquet(f"{folder}/constraints")
+    shapes, constraints = readers.shapes(b.spark, folder)
+    columns = ["shape_id", "path", "min_count", "max_count", "datatype", "pattern"]
+    return shapes.drop("severity").join(constraints.select(*columns), "shape_id", "left")
+
+
 @query(
     "vocabulary_source",
     """

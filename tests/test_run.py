@@ -1,4 +1,5 @@
 import json
+import random
 
 import duckdb
 import pytest
@@ -109,6 +110,32 @@ def test_readers_and_sinks(spark, tmp_path):
     assert whole.startswith("@prefix rdf:") and whole.index("A\n") < whole.index("B\n")
 
 
+def test_json_array_in_many_splits(spark, tmp_path):
+    """Objects with braces and quotes in strings and with inner objects, cut anywhere."""
+    r = random.Random(6)
+    bits = ["a", "}", "{", '"', "\\", "\n", " ", "é", "},{", "[", "]"]
+    rows = [
+        {"text": "".join(r.choice(bits) for _ in range(r.randint(0, 30))), "page": i, "more": {"k": [{"z": "}"}, {}]}}
+        if i % 3 else {"page": i, "text": "plain"}
+        for i in range(400)
+    ]
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=2, ensure_ascii=False))
+    (tmp_path / "b.json").write_text(json.dumps(rows[:7]))
+    (tmp_path / "none.json").write_text("[]")
+    names = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, x in names.items():
+            spark.conf.set(k, x)
+        found = readers.json_objects(spark, str(tmp_path / "*.json"))
+        assert spark.read.text(str(tmp_path / "a.json"), lineSep="}").rdd.getNumPartitions() > 5
+        got = sorted((json.loads(x.object) for x in found.collect()), key=str)
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    assert got == sorted(rows + rows[:7], key=str)
+
+
 def test_a_rerun_replaces_its_own_run_only(spark, tmp_path):
     folder = str(tmp_path / "t")
     one = spark.createDataFrame([(1,), (2,)], "x INT")
