@@ -912,8 +912,12 @@ def _(b: Bed):
 
 
 def run_funnels(b: Bed) -> DataFrame:
-    """Funnel rows of every run setting over the document sentences, in run partitions."""
-    return pipeline.run_counts(b.sentences, lambda req: t.classification_store(req), t.second_store)
+    """Funnel rows of every run setting: document sentences up to the rules, the rules of the parts, which
+    have stored formula responses, from there on."""
+    return pipeline.run_counts(
+        b.sentences, lambda req: t.classification_store(req), t.second_store,
+        lambda _: b.rules, b.formula_store, b.direct_store,
+    )
 
 
 RUNS = (*o.CLASSIFIED_CHAIN, o.SECOND, """
@@ -941,23 +945,33 @@ RUNS = (*o.CLASSIFIED_CHAIN, o.SECOND, """
     ruled AS (SELECT run, count(*) AS n FROM sure WHERE c >= 0.6::DOUBLE OR (c >= 0.4::DOUBLE
         AND run <> 'no-reclassify' AND substr(md5(text), 2, 1) NOT IN ('1', '2', '5', 'f'))
         GROUP BY run)""", """
-    funnels AS (SELECT run, n AS rules_classified, CASE run
+    fronts AS (SELECT run, n AS rules_classified, CASE run
         WHEN 'no-prefilter' THEN (SELECT count(*) FROM sentences)
         WHEN 'no-may-disambig' THEN (SELECT count(*) FROM strengths WHERE strength <> 'none'
                                      AND n_words <= 150)
         ELSE (SELECT count(*) FROM decided WHERE is_candidate) END AS candidates_prefiltered
-        FROM ruled)""")
+        FROM ruled)""", *o.FORMULA_CHAIN, rule_queries.FAILED, rule_queries.DIRECT, """
+    answers_of AS (SELECT best.ok FROM failed f JOIN best ON best.text = f.text),
+    formed AS (SELECT count(*) AS ok, count(*) FILTER (attempt > 0) AS retried FROM completed),
+    funnels AS (
+        SELECT run, candidates_prefiltered, rules_classified, ok AS formulas_ok,
+               (SELECT count(*) FROM failed) AS formulas_failed,
+               CASE run WHEN 'no-fol-retry' THEN 0 ELSE retried END AS formulas_retried,
+               ok + n AS shapes_total, ok + n_ok AS shapes_valid, n AS shapes_direct_nl
+        FROM fronts, formed, LATERAL (
+            SELECT CASE run WHEN 'no-fallback' THEN 0 ELSE (SELECT count(*) FROM answers_of) END AS n,
+                   CASE run WHEN 'no-fallback' THEN 0 ELSE (SELECT count(*) FROM answers_of WHERE ok) END AS n_ok))""")
 
 
 @query("run_settings", o.with_(*RUNS) + "SELECT * FROM funnels")
 def _(b: Bed):
-    return run_funnels(b).select("run", "rules_classified", "candidates_prefiltered")
+    return run_funnels(b)
 
 
 @query(
     "run_comparison",
     o.with_(*RUNS, """
-    metrics AS (UNPIVOT funnels ON rules_classified, candidates_prefiltered INTO NAME metric VALUE value)""")
+    metrics AS (UNPIVOT funnels ON COLUMNS(* EXCLUDE run) INTO NAME metric VALUE value)""")
     + """SELECT m.run, m.metric, b.value AS base, m.value, m.value - b.value AS change
          FROM metrics m JOIN metrics b ON b.metric = m.metric AND b.run = 'baseline'
          WHERE m.run <> 'baseline'""",
@@ -967,6 +981,50 @@ def _(b: Bed):
     return triage.compare_runs(stored(run_funnels(b)))
 
 
+@query(
+    "step_statistics",
+    o.with_(*o.CLASSIFIED_CHAIN, o.SECOND, *o.FORMULA_CHAIN)
+    + """SELECT 'sentences' AS step, count(*) AS rows FROM sentences
+         UNION ALL SELECT 'candidates', count(*) FROM decided WHERE is_candidate
+         UNION ALL SELECT 'requests', count(*) FROM decided WHERE is_candidate
+         UNION ALL SELECT 'classified', count(*) FROM banded
+         UNION ALL SELECT 'rules', count(*) FROM final_rules
+         UNION ALL SELECT 'formulas', count(*) FROM part_rules""",
+)
+def _(b: Bed):
+    """Rows of the steps, counted in the passes that write them."""
+    from normspark.operators import classify, formalize, prefilter, segment
+
+    run = pipeline.Run(None, b.config, scratch(b, "steps"))
+    sentences = run.step("sentences", segment.sentences(b.pages))
+    candidates = run.step("candidates", prefilter.candidates(sentences, b.config))
+    requests = run.step("requests", classify.requests(candidates, b.config).drop("request"))
+    answered = run.step("classified", classify.classified(requests, t.classification_store(requests)))
+    run.step("rules", classify.second_opinion(answered, t.second_store(answered), b.config))
+    run.step("formulas", formalize.formalised(b.rules, b.formula_store, b.config))
+    return run.statistics_table(b.spark)
+
+
+@query(
+    "error_log",
+    o.with_(
+        *o.CLASSIFIED_CHAIN, *o.FORMULA_CHAIN, *rule_queries.SHAPE_PARTS, rule_queries.OVERRIDES,
+    )
+    + """SELECT 'classify' AS step, text AS message FROM (SELECT DISTINCT text, deontic_strength, speech_act
+             FROM decided WHERE is_candidate AND substr(md5(text), 1, 1) = 'f')
+         UNION ALL
+         SELECT 'shapes', 'ait:' || permission || ' deontic:overrides ait:' || obligation || ' .' FROM overrides""",
+)
+def _(b: Bed):
+    """Requests without a response, and overrides."""
+    from normspark.operators import responses
+    from normspark.operators import shapes as shp
+
+    missing = responses.pending(b.requests, b.store).select(F.col("text").alias("message"))
+    links = shp.override_triples(shp.overrides(b.built), b.config).select(F.col("line").alias("message"))
+    return triage.error_log({"classify": missing, "shapes": links})
+
+
 @query(
     "generated_shape_results",
     o.with_(
