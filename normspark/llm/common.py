@@ -8,6 +8,7 @@ input column that is named like a result column is replaced by the result.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -338,6 +339,15 @@ def answered(fingerprints: np.ndarray, answers: pa.Table, bits: int) -> np.ndarr
 # --- connected components ---
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and checkpoints of steps that nothing refers to any more.
+
+    Spark does so when the driver collects its garbage, which a driver with little to do may put off
+    until the disks are full. Called between steps whose results are checkpointed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id that has an edge (a, b); component is the smallest id reached.
 
@@ -372,6 +382,8 @@ def components(edges: DataFrame) -> DataFrame:
         if digest == state:
             break
         state = digest
+        del both, least, large, small_least, small
+        forget(edges.sparkSession)
     nodes = pair.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     roots = pair.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
     return nodes.unionByName(roots)
@@ -404,8 +416,10 @@ def linked(
     most one pair, see nearest(); large groups of near copies join up in these. What is left
     are keys with several components. There every id outside the key's largest component is compared
     with all ids of the key that lie in other components, by size and signature inside the task, and
-    all likely pairs are verified; nothing is dropped. Keys are split by the ids that ask.
+    all likely pairs are verified, once each: a pair is made under the least key its ids share.
+    Nothing is dropped. Keys are split by the ids that ask. State of earlier rounds is let go.
     """
+    spark = postings.sparkSession
     links = None
     found = None
     for turn in range(ROUNDS):
@@ -413,7 +427,11 @@ def linked(
         fresh = checkpoint(verified(pairs))
         links = fresh if links is None else links.unionByName(fresh)
         found = checkpoint(components(links))
-    pairs = likely_rest(checkpoint(in_several(postings, found)), facts, matches, percent, kind)
+        del pairs, fresh
+        forget(spark)
+    # an id has a bounded number of keys
+    keys = postings.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    pairs = likely_rest(checkpoint(in_several(postings, found)), facts.join(keys, "id"), matches, percent, kind)
     return components(links.unionByName(checkpoint(verified(pairs))))
 
 
@@ -489,7 +507,10 @@ def in_several(postings: DataFrame, found: DataFrame | None) -> DataFrame:
 def likely_rest(
     rows: DataFrame, facts: DataFrame, matches: int, percent: int, kind=np.uint32
 ) -> DataFrame:
-    """Pairs (a, b) of different components under one key that size and signature allow."""
+    """Pairs (a, b) of different components that size and signature allow, each under one key only.
+
+    Where two ids have several keys in common, these all hold different components and are all
+    here; one of the ids at least is outside the largest of each."""
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
     keys = counts.groupBy("key").agg(
         F.max_by("component", "n").alias("largest"),
@@ -500,14 +521,18 @@ def likely_rest(
     asks = (F.col("component") != F.col("largest")) & (
         F.pmod(F.xxhash64("id"), "parts") == F.col("part")
     )
-    rows = rows.select("key", "part", "id", "component", "n", "signature", asks.alias("asks"))
+    rows = rows.select("key", "part", "id", "component", "n", "signature", "keys", asks.alias("asks"))
 
     def run(group: pa.Table) -> pa.Table:
         ids, own, n, minima = members(group, kind)
+        key = group.column("key")[0].as_py()
+        # the keys of an id before this one: a pair that shares any of them was made there
+        before = [{x for x in keys if x < key} for keys in group.column("keys").to_pylist()]
         found = []
         for i in np.flatnonzero(group.column("asks").to_numpy(zero_copy_only=False)):
             at = comparable(n, own, i, percent)
             at = at[(minima[at] == minima[i]).sum(1) >= matches]
+            at = at[[before[i].isdisjoint(before[j]) for j in at.tolist()]] if len(at) else at
             found.append(np.stack([np.full(len(at), ids[i]), ids[at]]))
         return ordered_pairs(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1))
 

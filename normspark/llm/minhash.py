@@ -9,12 +9,12 @@ with its value. Documents are posted under their tokens and documents that colli
   never become rows. A set with fewer than `least` other tokens links with nothing.
 - Prefix: of the m tokens left, the m - least + 1 rarest are posted. Two sets with `least` common
   tokens share one of these, whatever the order; the rarest keep the posting lists short.
-- Skip: candidates whose sizes alone rule the similarity out, and whose signatures collide too
-  seldom, are skipped before their sets are fetched.
+- Skip: candidates whose sizes alone rule the similarity out are skipped, and so are those that collide
+  too seldom in a wider signature of SKETCH coordinates, a byte of each, which travels with a posting.
 
 What remains is confirmed on the full sets. A pair at the limit collides in `least` of 64
-coordinates (40 at 0.85, 36 at 0.80) but for a chance of at most MISS; no candidate below the limit
-is linked. Limits so low that no number of coordinates meets this are refused.
+coordinates (40 at 0.85, 36 at 0.80) but for a chance of at most MISS, and in as many of the wider
+signature as asked for but for SKETCH_MISS; no candidate below the limit is linked. Limits so low that no number of coordinates meets this are refused.
 
 Equal sets are one class before the join. Classes are joined to components by common.linked(),
 which makes no pairs inside a component. Null, empty and blank texts have no set and link with
@@ -41,6 +41,9 @@ COORDINATES = 64
 PERCENT = 85
 #: chance that a pair at the limit is missed
 MISS = 5e-6
+#: coordinates of the wider signature, and its chance to miss a pair at the limit
+SKETCH = 256
+SKETCH_MISS = 1e-6
 
 _seeds = np.random.default_rng(20250113).integers(0, 1 << 32, (2, 256), dtype=np.uint32)
 FACTORS, MASKS = _seeds[0] | np.uint32(1), _seeds[1]
@@ -103,22 +106,24 @@ def distinct(items: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return items[new], np.searchsorted(row[new], np.arange(len(firsts)))
 
 
-SIGNED = {"n_shingles": "LONG", "k": "LONG", "signature": "BINARY"}
+SIGNED = {"n_shingles": "LONG", "k": "LONG", "signature": "BINARY", "sketch": "BINARY"}
 
 
 def signed(piece: pa.RecordBatch) -> list[pa.Array]:
-    """Set size, a hash of the set and the signature; null where there is no set."""
+    """Set size, a hash of the set and both signatures; null where there is no set."""
     items, firsts = distinct(*shingles(piece.column("text")))
     n = np.diff(firsts)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(c.mix(items), dtype=c.U64)])
-    key = c.mix((total[firsts[1:]] - total[firsts[:-1]]) ^ c.mix(n.astype(c.U64))).view(np.int64)
     some = np.flatnonzero(n)
-    signatures = [None] * len(n)
+    signatures, sketches = [None] * len(n), [None] * len(n)
     if len(some):
-        made = minima(items, np.append(firsts[some], len(items)), COORDINATES)
+        made = minima(items, np.append(firsts[some], len(items)), SKETCH)
         for i, row in zip(some.tolist(), made, strict=True):
-            signatures[i] = row.tobytes()
-    return [pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(signatures, pa.binary())]
+            signatures[i] = row[:COORDINATES].tobytes()
+            sketches[i] = (row >> np.uint32(8)).astype(np.uint8).tobytes()
+    return [
+        pa.array(n, pa.int64()), set_key(items, firsts),
+        pa.array(signatures, pa.binary()), pa.array(sketches, pa.binary()),
+    ]
 
 
 def tokens(rows: pa.Table) -> np.ndarray:
@@ -154,23 +159,6 @@ def postings(classes: DataFrame, least: int) -> DataFrame:
     return checkpoint(own.select("id", F.explode(prefix.getField("key")).alias("key")))
 
 
-def likely(pairs: DataFrame, classes: DataFrame, percent: int, least: int) -> DataFrame:
-    """Candidates left by the sizes and the collisions of the signatures."""
-    left = classes.select(F.col("k").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
-    right = classes.select(F.col("k").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
-    rows = pairs.join(left, "a").join(right, "b")
-    rows = rows.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-
-    def run(batches):
-        for batch in batches:
-            a = np.frombuffer(b"".join(batch.column("sa").to_pylist()), np.uint32)
-            b = np.frombuffer(b"".join(batch.column("sb").to_pylist()), np.uint32)
-            keep = (a == b).reshape(-1, COORDINATES).sum(1) >= least
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    return rows.select("a", "b", "sa", "sb").mapInArrow(run, "a LONG, b LONG")
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("k").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("k").alias("b"), F.col("items").alias("y"))
@@ -190,9 +178,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a LONG, b LONG")
 
 
+def set_key(items: np.ndarray, firsts: np.ndarray) -> pa.Array:
+    """A hash of every row's set."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(c.mix(items), dtype=c.U64)])
+    sums = total[firsts[1:]] - total[firsts[:-1]]
+    return pa.array(c.mix(sums ^ c.mix(np.diff(firsts).astype(c.U64))).view(np.int64), pa.int64())
+
+
 def set_of(piece: pa.RecordBatch) -> list[pa.Array]:
     items, firsts = distinct(*shingles(piece.column("text")))
-    return [c.binaries(items.view(np.uint8), firsts * 8)]
+    return [set_key(items, firsts), c.binaries(items.view(np.uint8), firsts * 8)]
 
 
 def row_key() -> Column:
@@ -210,21 +205,22 @@ def marked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         F.min("__k").alias("__k"),
         F.first("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature"),
+        F.first("sketch").alias("sketch"),
     )
     posts = postings(classes, least)
     # sets of classes that are posted at all, from one row each
     wanted = posts.select(F.col("id").alias("k")).distinct()
-    wanted = c.by_key(classes.join(wanted, "k", "left_semi"), "k")
+    wanted = c.by_key(classes.drop("signature").join(wanted, "k", "left_semi"), "k")
     texts = rows.join(wanted.select("__k"), "__k", "left_semi")
-    keyed = c.extend(texts, lambda p: [signed(p)[1], *set_of(p)], {"k": "LONG", "items": "BINARY"}, [])
+    keyed = c.extend(texts, set_of, {"k": "LONG", "items": "BINARY"}, [])
     keyed = keyed.join(wanted.select("k"), "k", "left_semi")
     sets = c.by_key(keyed.groupBy("k").agg(F.first("items").alias("items")), "k")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return confirmed(likely(pairs, wanted, percent, least), sets, percent)
-
-    facts = wanted.select(F.col("k").alias("id"), F.col("n_shingles").alias("n"), "signature")
-    found = c.linked(posts, facts, verified, least, percent)
+    facts = wanted.select(F.col("k").alias("id"), F.col("n_shingles").alias("n"), F.col("sketch").alias("signature"))
+    collisions = matches(percent, SKETCH, SKETCH_MISS, 1 / 256)
+    found = c.linked(posts, facts, lambda pairs: confirmed(pairs, sets, percent), collisions, percent, np.uint8)
+    del posts, facts
+    c.forget(docs.sparkSession)
     members = found.withColumnRenamed("id", "k")
     first = classes.select("k", "first").join(members, "k")
     first = first.groupBy("component").agg(F.min("first").alias("component_id"))
