@@ -257,3 +257,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataF
 
 def op9_minhash_postings(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(c.table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+#: all pairs that share a shingle, by their whole sets; for tables whose doc_ids are distinct
+ORACLE = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), s AS MATERIALIZED (
+    SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + {SHINGLE - 1}], ' ')) AS h
+    FROM (SELECT *, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, least(len(w), 1) + 1))) AS i FROM d)
+), n AS MATERIALIZED (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), both_ways AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s AS x JOIN s AS y ON x.h = y.h AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+    SELECT a, b FROM both_ways JOIN n AS p ON p.doc_id = a JOIN n AS q ON q.doc_id = b
+    WHERE 100 * shared >= {PERCENT} * (p.n + q.n - shared)
+), reach AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON l.a = r.b
+), least_of AS (
+    SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(r.b, d.doc_id)) AS component_id,
+    least(d.doc_id, coalesce(r.b, d.doc_id)) = d.doc_id AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of AS r ON r.a = d.doc_id
+"""

@@ -34,6 +34,8 @@ QUERIES = {
     "op13_laesa_clusters": clusters.op13_laesa_clusters,
 }
 ORACLES: dict[str, str] = {
+    "op2_relative_lz": relative_lz.ORACLE,
+    "op9_minhash_postings": minhash.ORACLE,
     "op11_divergence_tree": divergence.ORACLE,
     "op12_sainte_lague": mixing.ORACLE,
     "op13_laesa_clusters": clusters.ORACLE,

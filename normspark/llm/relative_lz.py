@@ -110,3 +110,25 @@ def op2_relative_lz(spark, sf_dir: str) -> DataFrame:
     return parsed.select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256")
     )
+
+
+#: the window rule said plainly: every window of every document by its words
+ORACLE = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS k, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+), windows AS (
+    SELECT k, i, md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) AS h
+    FROM (SELECT *, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})
+), again AS (
+    SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+    SELECT DISTINCT k, unnest(range(i, i + {WINDOW})) AS p FROM windows SEMI JOIN again USING (h)
+), kept AS (
+    SELECT k, string_agg(word, ' ' ORDER BY p) AS t
+    FROM (SELECT k, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (k, p) GROUP BY k
+), removed AS (
+    SELECT k, count(*) AS n FROM gone GROUP BY k
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (k) LEFT JOIN kept USING (k)
+"""
