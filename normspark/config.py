@@ -30,7 +30,6 @@ class Config:
     severity_by_confidence: bool = False
     severity_mode: str = "spec"  # or "inherit": results take the node shape's severity
     repair_second_opinion: bool = False
-    # vocabulary terms one broadcast may hold; larger vocabularies go through in slices
 
     @property
     def domain_words_longest_first(self) -> tuple:
