@@ -5,8 +5,8 @@ place inside it: of its GRAM-byte substrings the one with the smallest hash. So
 happen between places with equal anchors.
 
 1. Anchors are taken from all texts and exchanged as packed fingerprints; only those that start
-   elsewhere too stay. Around each, the context of a possible match is cut out (LENGTH - GRAM bytes
-   on either side, never over the document's end).
+   elsewhere too stay. Around each, the strings of LENGTH bytes that it was sampled from are cut
+   out as one context.
 2. Contexts meet by anchor. Equal contexts are one, with a count. For the distinct contexts of an
    index block a suffix array is sorted and its Burrows-Wheeler transform kept as runs, with the
    suffix positions sampled at both ends of each run. Longest matches are computed at the run ends
@@ -41,6 +41,8 @@ from . import common as c
 LENGTH = 400
 GRAM = 100
 GROUP_BYTES = 1 << 20
+#: strings looked at in one step of sampling, few enough for the CPU cache
+STRETCH = 1 << 16
 NEW = {"n_bytes": "LONG", "n_removed": "LONG", "n_spans": "LONG", "kept": "BINARY"}
 
 
@@ -58,29 +60,44 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Places of the sampled grams (the leftmost smallest of every string of `length` bytes inside
-    one row) and their hashes."""
-    places, hashes = [], []
-    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        for at in range(a, b - length + 1, 1 << 20):  # strings that start in this stretch
-            piece = data[at : min(b, at + (1 << 20) + length - 1)]
-            grams = byte_grams(piece, gram)
-            width = length - gram + 1
-            low = sliding_min(grams, width)
-            # a gram is sampled if it is the smallest of a window; equal hashes are all sampled
-            reach = np.zeros(len(grams) + width, c.U64)
-            reach[:] = 0
-            reach[width - 1 : width - 1 + len(low)] = low
-            # the largest of the minima of the windows that hold it: equal to it if it is one
-            most = ~sliding_min(~reach[: len(grams) + width - 1], width)
-            pick = np.flatnonzero(most == grams)
-            places.append(pick + at)
-            hashes.append(grams[pick])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, c.U64)
-    places, hashes = np.concatenate(places), np.concatenate(hashes)
-    places, first = np.unique(places, return_index=True)
-    return places, hashes[first]
+    """Places of the sampled grams (the smallest of every string of `length` bytes inside one row),
+    their hashes, and from where to where the strings reach that each is the smallest of."""
+    inside = c.whole_windows(offsets, length)
+    width = length - gram + 1
+    picks, runs = [], []
+    for at in range(0, len(inside), STRETCH):  # strings that start in this stretch
+        ok = inside[at : at + STRETCH]
+        grams = np.maximum(byte_grams(data[at : at + len(ok) + length - 1], gram), c.U64(1))
+        low = np.where(ok, sliding_min(grams, width), c.U64(0))
+        # a gram is sampled if it is the smallest of a window; equal hashes are all sampled
+        reach = np.zeros(len(grams) + width - 1, c.U64)
+        reach[width - 1 : width - 1 + len(low)] = low
+        # the largest of the minima of the windows that hold it: equal to it if it is one
+        pick = np.flatnonzero(~sliding_min(~reach, width) == grams)
+        picks.append((pick + at, grams[pick]))
+        head = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        tail = np.append(head[1:], len(low)) - 1
+        real = low[head] > 0
+        runs.append((low[head][real], head[real] + at, tail[real] + at))
+    if not any(len(low) for low, _, _ in runs):
+        return np.zeros(0, np.int64), np.zeros(0, c.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    places, hashes = (np.concatenate(x) for x in zip(*picks, strict=True))
+    places, once = np.unique(places, return_index=True)
+    return places, hashes[once], *sampled_by(runs, places, hashes[once], width, length)
+
+
+def sampled_by(runs: list, places: np.ndarray, hashes: np.ndarray, width: int, length: int):
+    """Where the first string begins and the last one ends with each gram inside as its smallest. The
+    strings of a gram begin next to each other, so they lie in one run of equal minima."""
+    low, head, tail = (np.concatenate(x) for x in zip(*runs, strict=True))
+    new = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (head[1:] > tail[:-1] + 1)])[: len(low)])
+    low, head, tail = low[new], head[new], tail[np.append(new[1:], len(tail)) - 1]
+    number = np.unique(np.concatenate([low, hashes]), return_inverse=True)[1]
+    scale = int(places[-1]) + 1 if len(places) else 1
+    key, own = number[: len(low)] * scale + head, number[len(low) :] * scale + places
+    order = np.argsort(key)
+    run = order[np.searchsorted(key[order], own, "right") - 1]
+    return np.maximum(head[run], places - width + 1), np.minimum(tail[run], places) + length
 
 
 # --- the index of one block ---
@@ -96,29 +113,24 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarr
     key = padded[:n]
     for k in range(1, size):
         key = (key << bits) | padded[k : k + n]
-    live, rank, levels = np.arange(n), np.zeros(n + 1, np.int32), []
+    live = slot = np.arange(n)  # suffixes not yet alone, and the places in the order they share out
+    rank, levels = np.zeros(n + 1, np.int32), []
     while len(live):
-        by_key = np.argsort(key, kind="stable")
-        live = live[by_key]
-        first, last = bounds(key[by_key])
-        old = rank[live]
-        rank[live] = first + 1 if not levels else old + first - bounds(old)[0]
+        by_key = np.argsort(key, kind="stable")  # in runs already
+        live, key = live[by_key], key[by_key]
+        new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        rank[live] = np.maximum.accumulate(np.where(new[:-1], slot, 0)) + 1
         levels.append((size, rank.copy()))
-        live = live[last - first > 1]
-        key = rank[live].astype(np.int64) * (n + 2) + rank[np.minimum(live + size, n)]
+        tied = ~(new[:-1] & new[1:])
+        live, slot = live[tied], slot[tied]
+        # tied suffixes have `size` symbols in common, so none of these ends the text
+        key = rank[live].astype(np.int64) * (n + 2) + rank[live + size]
         size *= 2
     out = np.empty(n, np.int64)
     out[rank[:n] - 1] = np.arange(n)
     return out, levels
 
 
-def bounds(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted values, where each one's run of equal values begins and ends."""
-    at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]]))
-    lengths = np.diff(at)
-    return np.repeat(at[:-1], lengths), np.repeat(at[1:], lengths)
-
-
 def common_prefix(text: np.ndarray, levels, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the common prefix of different suffixes a and b."""
     n, total = len(text), np.zeros(len(a), np.int64)
@@ -204,12 +216,10 @@ SPAN = np.dtype([("row", "<u4"), ("start", "<u4"), ("end", "<u4")])
 def cut_contexts(rows: pa.Table, answers: pa.Table, length: int, gram: int, bits: int):
     """Contexts of the anchors that start elsewhere too: facts and the bytes of a group's texts."""
     data, offsets = c.text_bytes(rows.column("text"))
-    places, hashes = anchors(data, offsets, length, gram)
+    places, hashes, start, end = anchors(data, offsets, length, gram)
     hit = c.answered(hashes, answers, bits)
-    places, hashes = places[hit], hashes[hit]
+    places, hashes, start, end = places[hit], hashes[hit], start[hit], end[hit]
     row = np.searchsorted(offsets, places, "right") - 1
-    start = np.maximum(places - (length - gram), offsets[row])
-    end = np.minimum(places + length, offsets[row + 1])
     facts = np.zeros(len(places), FACTS)
     facts["anchor"], facts["row"] = hashes, row
     facts["start"], facts["size"] = start - offsets[row], end - start
