@@ -12,7 +12,7 @@ Equal lines are one class: an exchange of packed line hashes names one of them t
 and only this one takes part in the banding, so a line that stands in every document is one row per
 document in a plain minimum and one class in the join. Band keys travel packed, 8 bytes each; only
 lines that have copies or share a band with a different line become rows, and only the latter with
-text. Signatures stay as one byte of each minimum. Pairs inside a component are not made (common.linked()).
+text and bands (0 for a band of its own). Signatures stay as one byte of each minimum. Pairs inside a component are not made (common.linked()).
 
 Null and blank texts have no lines. A text all of whose lines are removed becomes empty and its
 row stays. Equal rows are different documents: the lines of all but one of them go.
@@ -44,6 +44,9 @@ SIGNATURE = 48
 SIGNATURE_MISS = 1e-4
 PERCENT = 80
 STRETCH = 1 << 17
+#: lines and bytes of one key that are compared with each other in one part
+BLOCK = 512
+BLOCK_BYTES = 1 << 20
 NEW = {"n_lines": "LONG", "n_removed": "LONG"}
 
 
@@ -221,7 +224,7 @@ def recurring(groups: DataFrame, percent: int) -> DataFrame:
         for i, j in zip(at.tolist(), of[at].tolist(), strict=True):
             texts.append(source[starts[i] : ends[i]] if j >= 0 else None)
             signatures.append(signs[j].tobytes() if j >= 0 else None)
-            bands.append(keys[j][hit[j]].view(np.int64) if j >= 0 else None)
+            bands.append(np.where(hit[j], keys[j], c.U64(0)).view(np.int64) if j >= 0 else None)
         return pa.table(
             {
                 "doc_id": rows.column("doc_id").take(pa.array(row)),
@@ -238,27 +241,183 @@ def recurring(groups: DataFrame, percent: int) -> DataFrame:
     return groups.groupBy("__g").cogroup(replies.groupBy("__g")).applyInArrow(run, RECURRING)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    left = classes.select(F.col("k").alias("a"), F.col("text").alias("x"))
-    right = classes.select(F.col("k").alias("b"), F.col("text").alias("y"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+PLACED = "key LONG, x INT, y INT, role INT, id LONG, component LONG, text STRING, signature BINARY, bands ARRAY<LONG>"
 
-    def sets(column):
-        data, offsets = c.text_bytes(column)
-        return distinct(*line_sets(data, offsets[:-1], offsets[1:]))
 
-    def run(batches):
+def parts_of(n, sizes):
+    """How many parts so many lines with so many bytes are dealt into."""
+    return F.ceil(F.greatest(n / F.lit(BLOCK), sizes / F.lit(BLOCK_BYTES))).cast("int")
+
+
+def dealt(column, parts, turn: int):
+    return F.pmod(F.xxhash64(column, F.lit(turn)), parts).cast("int")
+
+
+def inside_parts(posts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Every line in one part of each of its keys."""
+    rows = posts.join(keys, "key").withColumn("x", dealt("id", F.col("parts"), 1))
+    return rows.select(
+        "key", "x", F.lit(0).alias("y"), F.lit(-1).alias("role"),
+        "id", F.col("id").alias("component"), "text", "signature", "bands",
+    )
+
+
+def across_parts(posts: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:
+    """Of the keys with several parts that still hold several components: lines outside the key's largest
+    one (role 0) in parts against all lines (role 1) in parts."""
+    rows = posts.join(keys.filter("parts > 1").select("key"), "key").join(found, "id", "left")
+    rows = checkpoint(rows.withColumn("component", F.coalesce("component", "id")))
+    counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes"))
+    both = counts.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"),
+        F.max(F.struct("n", "component", "bytes")).alias("most"),
+        F.sum("n").alias("n"),
+        F.sum("bytes").alias("bytes"),
+    )
+    both = both.filter("n > most.n").select(
+        "key",
+        "largest",
+        parts_of(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("xs"),
+        parts_of(F.col("n"), F.col("bytes")).alias("ys"),
+    )
+    rows = rows.join(both, "key")
+    columns = ["id", "component", "text", "signature", "bands"]
+    asking = rows.filter("component <> largest").select(
+        "key", dealt("id", F.col("xs"), 2).alias("x"),
+        F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(0).alias("role"), *columns,
+    )
+    asked = rows.select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"),
+        dealt("id", F.col("ys"), 3).alias("y"), F.lit(1).alias("role"), *columns,
+    )
+    return asking.unionByName(asked)
+
+
+def likely(group, role, key, signs, bands, least: int):
+    """Pairs of rows of the same group (and of different roles) whose signatures are alike enough, the
+    most alike first. A pair is made under the first band that both rows share."""
+    found = [np.zeros((3, 0), np.int64)]
+    sizes = np.bincount(group)
+    for d in range(1, int(sizes.max())):
+        i = np.flatnonzero(group[d:] == group[:-d])
+        i = i[(role[i] < 0) | (role[i] != role[i + d])]
+        alike = (signs[i] == signs[i + d]).sum(1)
+        i, alike = i[alike >= least], alike[alike >= least]
+        shared = (bands[i] == bands[i + d]) & (bands[i] != 0)
+        here = bands[i, shared.argmax(1)] == key[i]
+        found.append(np.stack([i[here], i[here] + d, alike[here]]))
+    found = np.concatenate(found, axis=1)
+    return found[:2, np.argsort(-found[2], kind="stable")]
+
+
+def piece_links(rows: pa.Table, group: np.ndarray, least: int, percent: int) -> pa.Table:
+    """A forest of true links that joins what is linked in these groups, as far as not joined already."""
+    ids, keys = rows.column("id").to_numpy(), rows.column("key").to_numpy()
+    signs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+    bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    one, other = likely(group, rows.column("role").to_numpy(), keys, signs, bands, least)
+    # rows of one line share their set
+    needed, of = np.unique(ids[np.concatenate([one, other])], return_inverse=True)
+    at = np.zeros(len(needed), np.int64)
+    at[of] = np.concatenate([one, other])
+    data, offsets = c.text_bytes(rows.column("text").take(pa.array(at)))
+    items, firsts = distinct(*line_sets(data, offsets[:-1], offsets[1:])) if len(at) else (None, None)
+    one_of, other_of = of[: len(one)], of[len(one) :]
+    parent = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
+    tree = np.arange(len(parent))  # over components
+
+    def root(i: int) -> int:
+        while tree[i] != i:
+            tree[i] = tree[tree[i]]
+            i = tree[i]
+        return i
+
+    found, step = [], 64
+    while len(one):
+        for i, j, x, y in zip(one[:step].tolist(), other[:step].tolist(), one_of[:step].tolist(), other_of[:step].tolist(), strict=True):
+            left, right = root(parent[i]), root(parent[j])
+            if left == right:
+                continue
+            u, v = items[firsts[x] : firsts[x + 1]], items[firsts[y] : firsts[y + 1]]
+            both = int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum())
+            if 100 * both >= percent * (len(u) + len(v) - both):
+                found.append((ids[i], ids[j]))
+                tree[max(left, right)] = min(left, right)
+        one, other, one_of, other_of = (x[step:] for x in (one, other, one_of, other_of))
+        roots = tree
+        while (roots[roots] != roots).any():
+            roots = roots[roots]
+        tree = roots.copy()
+        apart = roots[parent[one]] != roots[parent[other]]
+        one, other, one_of, other_of = (x[apart] for x in (one, other, one_of, other_of))
+        step *= 2
+    return c.ordered_pairs(np.array(found, np.int64).reshape(-1, 2).T)
+
+
+def links(placed: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links (a, b) found inside the groups (key, x, y): enough of them to join all that is linked."""
+    place = ["key", "x", "y"]
+    rows = placed.repartition(c.partitions(placed.sparkSession), *place).sortWithinPartitions(*place)
+
+    def pieces(batches):
+        """Whole groups, about BLOCK_BYTES of text at a time, with each row's group."""
+        held = None
         for batch in batches:
-            for piece in c.slices([batch], "x", 1 << 20):
-                (x, fx), (y, fy) = sets(piece.column("x")), sets(piece.column("y"))
-                keep = np.zeros(piece.num_rows, bool)
-                for i in range(piece.num_rows):
-                    a, b = x[fx[i] : fx[i + 1]], y[fy[i] : fy[i + 1]]
-                    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
-                    keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
-                yield piece.select(["a", "b"]).filter(pa.array(keep))
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            heads = group_heads(rows, place)
+            if len(heads) > 1:
+                yield rows.slice(0, heads[-1])
+            held = rows.slice(heads[-1])
+        if held is not None:
+            yield held
 
-    return rows.mapInArrow(run, "a LONG, b LONG")
+    def run(batches):
+        for rows in pieces(batches):
+            heads = group_heads(rows, place)
+            ends = np.append(heads[1:], rows.num_rows)
+            sizes = np.cumsum(c.text_bytes(rows.column("text"))[1][1:])
+            at = 0
+            while at < len(heads):
+                before = sizes[heads[at] - 1] if heads[at] else 0
+                to = max(at + 1, int(np.searchsorted(sizes[ends - 1], before + BLOCK_BYTES, "right")))
+                piece = rows.slice(heads[at], ends[to - 1] - heads[at]).combine_chunks()
+                group = np.repeat(np.arange(to - at), ends[at:to] - heads[at:to])
+                for out in piece_links(piece, group, least, percent).to_batches():
+                    yield out
+                at = to
+
+    return rows.mapInArrow(run, c.PAIRS).distinct()
+
+
+def group_heads(rows: pa.Table, place: list[str]) -> np.ndarray:
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = False
+    for x in place:
+        values = rows.column(x).to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(new)
+
+
+def joined(classes: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of all lines with a link. classes has k, text, signature and bands.
+
+    Lines of a key meet in parts of about BLOCK lines and are compared there, with their texts; what is
+    joined already is not compared again, so a group of near copies costs about one comparison a line.
+    Keys with several parts that still hold several components then compare their parts with each
+    other. Nothing is left out: a pair is compared under the first band that both lines share."""
+    # the size of a set is not known from a line's length: every size may fit
+    least = matches(percent, SIGNATURE, SIGNATURE_MISS, 1 / 256)
+    posts = classes.select(F.explode("bands").alias("key"), F.col("k").alias("id"), "text", "signature", "bands")
+    posts = posts.filter("key <> 0")
+    keys = posts.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes"))
+    keys = checkpoint(keys.filter("n > 1").select("key", parts_of(F.col("n"), F.col("bytes")).alias("parts")))
+    own = checkpoint(links(inside_parts(posts, keys), least, percent))
+    found = c.components(own)
+    if keys.filter("parts > 1").isEmpty():
+        return found
+    more = links(across_parts(posts, keys, checkpoint(found)), least, percent)
+    return c.components(own.unionByName(checkpoint(more)))
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataFrame:
@@ -267,14 +426,7 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataFrame:
     rows = docs.select(*dict.fromkeys([*names, "doc_id", "text"]))
     groups = c.grouped(rows).persist()  # read again at the end: texts are dealt out once
     lines = stored(recurring(groups.select("doc_id", "text", "__k", "__g"), percent))
-    classes = lines.filter("bands IS NOT NULL").select("k", "text", "signature", "bands")
-    classes = c.by_key(classes, "k")
-    posts = classes.select(F.explode("bands").alias("key"), F.col("k").alias("id"))
-    # the size of a set is not known from a line's length: every size may fit
-    facts = classes.select(F.col("k").alias("id"), F.lit(1).alias("n"), "signature")
-    texts = classes.select("k", "text")
-    least = matches(percent, SIGNATURE, SIGNATURE_MISS, 1 / 256)
-    found = c.linked(posts, facts, lambda pairs: verified(pairs, texts, percent), least, percent, np.uint8)
+    found = joined(lines.filter("bands IS NOT NULL").select("k", "text", "signature", "bands"), percent)
     place = F.struct("doc_id", "__g", "row", "line")
     owned = lines.select("k", *place_columns()).join(found.withColumnRenamed("id", "k"), "k", "left")
     owned = owned.withColumn("component", F.coalesce("component", "k"))

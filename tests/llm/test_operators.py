@@ -217,6 +217,27 @@ def test_lines(docs, none):
     assert (row.text, row.n_lines, row.n_removed) == ("same line\n\nother words here", 3, 1)
 
 
+def test_lines_of_keys_with_several_parts(spark, monkeypatch):
+    """Keys whose lines are dealt into parts give the same lines as keys of one part."""
+    r = np.random.default_rng(5)
+    texts = []
+    for _ in range(6):  # near copies of the same lines, some of them just below the limit
+        base = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz "), 120))
+        for _ in range(40):
+            at = r.choice(120, int(r.integers(0, 7)), replace=False)
+            texts.append("".join("#" if k in at else x for k, x in enumerate(base)))
+    shingles = [{t[j : j + 5] for j in range(len(t) - 4)} for t in texts]
+    links = [(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(shingles[a] & shingles[b]) >= 80 * len(shingles[a] | shingles[b])]
+    of = components(links, range(len(texts)))
+    assert 6 < len(set(of.values())) < len(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    want = {i for i in of if of[i] != i}
+    for block in (512, 5):
+        monkeypatch.setattr(lines, "BLOCK", block)
+        got = {x.doc_id for x in lines.line_dedup(frame).filter("n_removed > 0").collect()}
+        assert got == want
+
+
 def test_subspace(spark):
     random_ = np.random.default_rng(3)
     base = random_.normal(size=(20, 64))
