@@ -218,6 +218,8 @@ def cut_contexts(rows: pa.Table, answers: pa.Table, length: int, gram: int, bits
     data, offsets = c.text_bytes(rows.column("text"))
     places, hashes, start, end = anchors(data, offsets, length, gram)
     hit = c.answered(hashes, answers, bits)
+    # equal grams near each other may be sampled from the same strings: these are one context
+    hit[1:] &= (start[1:] != start[:-1]) | (end[1:] != end[:-1])
     places, hashes, start, end = places[hit], hashes[hit], start[hit], end[hit]
     row = np.searchsorted(offsets, places, "right") - 1
     facts = np.zeros(len(places), FACTS)

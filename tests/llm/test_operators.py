@@ -154,6 +154,18 @@ def test_packing(docs, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_run_index_with_a_passage_twice_in_one_string(spark):
+    """A gram that stands twice in the same strings is no second place of them."""
+    r = np.random.default_rng(11)
+    letters = lambda n: "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz "), n))
+    rows = []
+    for i in range(40):
+        passage = letters(130)
+        rows.append((i, letters(200) + passage + letters(20) + passage + letters(200)))
+    got = run_index.substring_dedup(spark.createDataFrame(rows, "doc_id LONG, text STRING"))
+    assert {(x.n_removed, x.n_spans) for x in got.collect()} == {(0, 0)}
+
+
 def components(links, nodes):
     parent = {x: x for x in nodes}
 
