@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from normspark import values as v
 from normspark.functions import deontic
-from normspark.functions.columns import strip
+from normspark.functions.columns import let, strip
 from normspark.operators.keyed import running_last
 
 MARK = "\u0001"
@@ -18,12 +18,7 @@ def _matches(text: Column, pattern: str, rank: int) -> Column:
     # (?d): only a newline ends a line, and '.' stops only there
     p = "(?mdU)" + pattern
     # a mark that the page itself holds becomes another control character of the same length
-    clean = F.translate(text, MARK, "\u0002")
-    pieces = F.split(F.regexp_replace(clean, f"({p})", MARK + "$1"), MARK, -1)
-    start = F.struct(
-        F.length(F.get(pieces, F.lit(0))).alias("at"),
-        F.array().cast("array<struct<pos:int,rank:int,title:string>>").alias("found"),
-    )
+    clean = F.replace(text, F.lit(MARK), F.lit("\u0002"))
 
     def step(acc: Column, piece: Column) -> Column:
         title = F.regexp_replace(strip(F.regexp_extract(piece, p, 1)), "[:.]+$", "")
@@ -33,9 +28,16 @@ def _matches(text: Column, pattern: str, rank: int) -> Column:
             F.array_append(acc["found"], hit).alias("found"),
         )
 
-    return F.aggregate(
-        F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda acc: acc["found"]
-    )
+    def read(pieces: Column) -> Column:
+        start = F.struct(
+            F.length(F.get(pieces, F.lit(0))).alias("at"),
+            F.array().cast("array<struct<pos:int,rank:int,title:string>>").alias("found"),
+        )
+        return F.aggregate(
+            F.slice(pieces, F.lit(2), F.size(pieces)), start, step, lambda acc: acc["found"]
+        )
+
+    return let(F.split(F.regexp_replace(clean, f"({p})", MARK + "$1"), MARK, -1), read)
 
 
 def page_headers(text: Column) -> Column:
