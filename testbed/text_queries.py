@@ -306,9 +306,10 @@ def _(b: Bed):
           ELSE '' END AS reason FROM noisy""",
 )
 def _(b: Bed):
-    from normspark.functions.columns import words
+    from normspark.functions.columns import strip, word_count
 
-    counted = computed(segment.fragments(b.pages), n=F.size(words(F.col("text"))))
+    bare = computed(segment.fragments(b.pages), text=strip(F.col("text")))
+    counted = computed(bare, n=word_count(F.col("text")))
     return counted.select(
         *KEY, F.coalesce(deontic.length_reason(F.col("n")), F.lit("")).alias("reason")
     )
@@ -590,7 +591,8 @@ def _(b: Bed):
     + f"SELECT {KEYS}, rule_type, round(confidence, 9) AS confidence FROM final_rules",
 )
 def _(b: Bed):
-    rows = b.classified
+    # read three times below
+    rows = stored(b.classified)
     rules = classify.second_opinion(rows, t.second_store(rows), b.config)
     return rules.select(*KEY, "rule_type", F.round("confidence", 9).alias("confidence"))
 
