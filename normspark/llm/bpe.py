@@ -249,14 +249,9 @@ def gather(flat: np.ndarray, at: np.ndarray, which) -> tuple[np.ndarray, np.ndar
     return flat[shift + np.arange(len(shift))], count
 
 
-_coders: dict[tuple[str, str], Coder] = {}
-
-
 def coder(path: str, pattern: str) -> Coder:
     """The coder of this Python worker, kept over its tasks."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(load_ranks(path), pattern)
-    return _coders[path, pattern]
+    return c.kept(("bpe", path, pattern), lambda: Coder(load_ranks(path), pattern))
 
 
 FIELDS = {"n_tokens": "LONG", "ids": "BINARY", "decoded": "BINARY"}

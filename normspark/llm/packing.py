@@ -163,14 +163,9 @@ class WordTokens:
         return [np.concatenate([gather(self.flat, self.at, x)[0], end]) for x in which]
 
 
-_tokenizers: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
     """The cache of this Python worker, kept over its tasks."""
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokens(path)
-    return _tokenizers[path]
+    return c.kept(("packing", path), lambda: WordTokens(path))
 
 
 def cost(n: int, length: int) -> float:

@@ -206,6 +206,7 @@ def predict(docs: DataFrame, model: Model | None, keep=None) -> DataFrame:
     def run(piece: pa.RecordBatch) -> list[pa.Array]:
         import regex
 
+        c.let_go()
         letter = regex.compile(r"\p{L}").search
         texts = piece.column("text").to_pylist()
         known = shared.value
