@@ -12,7 +12,8 @@ Equal lines are one class: an exchange of packed line hashes names one of them t
 and only this one takes part in the banding, so a line that stands in every document is one row per
 document in a plain minimum and one class in the join. Band keys travel packed, 8 bytes each; only
 lines that have copies or share a band with a different line become rows, and only the latter with
-text and bands (0 for a band of its own). Signatures stay as one byte of each minimum. Pairs inside a component are not made (common.linked()).
+bands (0 for a band of its own); their texts go to the keys under which they are compared and nowhere else.
+Of keys that hold the same lines, or lines that one other key holds, one is enough. Signatures stay as one byte of each minimum. Pairs inside a component are not made (common.linked()).
 
 Null and blank texts have no lines. A text all of whose lines are removed becomes empty and its
 row stays. Equal rows are different documents: the lines of all but one of them go.
@@ -21,6 +22,7 @@ row stays. Equal rows are different documents: the lines of all but one of them
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ STRETCH = 1 << 17
 #: lines and bytes of one key that are compared with each other in one part
 BLOCK = 512
 BLOCK_BYTES = 1 << 20
+#: shares of the keys that are worked off one after another, so that texts under one share only are on disk
+TURNS = 2
 NEW = {"n_lines": "LONG", "n_removed": "LONG"}
 
 
@@ -183,14 +187,14 @@ def leaders(hashes: np.ndarray, answers: pa.Table, bits: int) -> tuple[np.ndarra
     return again[inverse], leads
 
 
-RECURRING = "doc_id LONG, __g LONG, row INT, line INT, k LONG, text STRING, signature BINARY, bands ARRAY<LONG>"
+RECURRING = "doc_id LONG, __g LONG, row INT, line INT, k LONG, bytes INT, signature BINARY, bands ARRAY<LONG>"
 
 
 def recurring(groups: DataFrame, percent: int) -> DataFrame:
     """Lines that have copies or share a band with another line.
 
     One of all equal lines stands for them: only it is posted under its bands, and it alone has
-    text, signature and bands, if a different line shares one."""
+    signature and bands, if a different line shares one."""
     bits = c.block_bits(groups.sparkSession)
     shape = bands_for(percent)
     heads = c.posted(groups, lambda t: lines_of(t)[-1])
@@ -219,10 +223,8 @@ def recurring(groups: DataFrame, percent: int) -> DataFrame:
         of[leads] = np.where(hit.any(1), np.arange(len(leads)), -1)
         at = np.flatnonzero(again | (of >= 0))
         row = np.searchsorted(firsts, at, "right") - 1
-        source = data.tobytes()
-        texts, signatures, bands = [], [], []
-        for i, j in zip(at.tolist(), of[at].tolist(), strict=True):
-            texts.append(source[starts[i] : ends[i]] if j >= 0 else None)
+        signatures, bands = [], []
+        for j in of[at].tolist():
             signatures.append(signs[j].tobytes() if j >= 0 else None)
             bands.append(np.where(hit[j], keys[j], c.U64(0)).view(np.int64) if j >= 0 else None)
         return pa.table(
@@ -232,7 +234,7 @@ def recurring(groups: DataFrame, percent: int) -> DataFrame:
                 "row": pa.array(row, pa.int32()),
                 "line": pa.array(at - firsts[row], pa.int32()),
                 "k": pa.array(hashes[at].view(np.int64)),
-                "text": pa.array(texts, pa.binary()).cast(pa.string()),
+                "bytes": pa.array(ends[at] - starts[at], pa.int32()),
                 "signature": pa.array(signatures, pa.binary()),
                 "bands": pa.array(bands, pa.list_(pa.int64())),
             }
@@ -253,19 +255,81 @@ def dealt(column, parts, turn: int):
     return F.pmod(F.xxhash64(column, F.lit(turn)), parts).cast("int")
 
 
-def inside_parts(posts: DataFrame, keys: DataFrame) -> DataFrame:
+def meeting_keys(thin: DataFrame) -> DataFrame:
+    """(id, keys): the keys (with their parts) under which each line is compared. thin has (key, id, bytes).
+
+    Near copies share most of their bands, so many keys hold the very same lines: one key of these is
+    enough, as every pair of the others meets there. Equal sets have the same number, bytes and hashes.
+    Nor is a key needed if all its lines have the same largest key, which then holds all of them."""
+    sets = thin.groupBy("key").agg(
+        F.count("*").alias("n"),
+        F.sum("bytes").alias("bytes"),
+        F.bit_xor(F.xxhash64("id")).alias("one"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("two"),
+    )
+    once = sets.filter("n > 1").groupBy("n", "bytes", "one", "two").agg(F.min("key").alias("key"))
+    once = checkpoint(once.select("n", "key", parts_of(F.col("n"), F.col("bytes")).alias("parts")))
+    rows = thin.select("key", "id").join(once, "key")
+    # the largest key that is compared in one part; 0 if there is none, as no key is
+    whole = F.max(F.when(F.col("parts") == 1, F.struct("n", "key")))["key"]
+    rows = checkpoint(rows.join(rows.groupBy("id").agg(F.coalesce(whole, F.lit(0)).alias("top")), "id"))
+    tops = rows.groupBy("key").agg(F.min("top").alias("low"), F.max("top").alias("high"))
+    needed = tops.filter("low <> high OR low = 0 OR low = key").select("key")
+    kept = rows.join(needed, "key", "left_semi")
+    return checkpoint(kept.groupBy("id").agg(F.collect_list(F.struct("key", "parts")).alias("keys")))
+
+
+POSTED = "key LONG, parts INT, id LONG, text STRING, signature BINARY, bands ARRAY<LONG>"
+
+
+def posted_under(groups: DataFrame, classes: DataFrame, meets: DataFrame, turn: int) -> DataFrame:
+    """One row per line and key of meets (id, keys), with the parts of the key, for the keys of one of TURNS;
+    bands under which the line is not compared become 0. Texts are taken from the groups only here, where
+    they go to their keys."""
+    rows = classes.withColumnRenamed("k", "id").join(meets, "id")
+    used = F.transform("bands", lambda b: F.when(F.exists("keys", lambda x: x["key"] == b), b).otherwise(F.lit(0)))
+    rows = rows.withColumn("bands", used)
+    rows = rows.withColumn("keys", F.filter("keys", lambda x: F.pmod(F.xxhash64(x["key"]), F.lit(TURNS)) == turn))
+    rows = rows.filter(F.size("keys") > 0).select(
+        "__g", "row", "line", "id", "signature", "bands",
+        F.col("keys.key").alias("key"), F.col("keys.parts").alias("parts"),
+    )
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        data, offsets = c.text_bytes(c.by_row_key(rows).column("text"))
+        starts, ends, firsts = line_table(data, offsets)
+        at = firsts[asked.column("row").to_numpy()] + asked.column("line").to_numpy()
+        keys = asked.column("key").combine_chunks()
+        each = pa.array(np.repeat(np.arange(len(at)), keys.value_lengths().to_numpy()))
+        source = data.tobytes()
+        texts = pa.array([source[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary())
+        return pa.table(
+            {
+                "key": keys.flatten(),
+                "parts": asked.column("parts").combine_chunks().flatten(),
+                "id": asked.column("id").take(each),
+                "text": texts.cast(pa.string()).take(each),
+                "signature": asked.column("signature").take(each),
+                "bands": asked.column("bands").take(each),
+            }
+        )
+
+    return groups.groupBy("__g").cogroup(rows.groupBy("__g")).applyInArrow(run, POSTED)
+
+
+def inside_parts(posts: DataFrame) -> DataFrame:
     """Every line in one part of each of its keys."""
-    rows = posts.join(keys, "key").withColumn("x", dealt("id", F.col("parts"), 1))
+    rows = posts.withColumn("x", dealt("id", F.col("parts"), 1))
     return rows.select(
         "key", "x", F.lit(0).alias("y"), F.lit(-1).alias("role"),
         "id", F.col("id").alias("component"), "text", "signature", "bands",
     )
 
 
-def across_parts(posts: DataFrame, keys: DataFrame, found: DataFrame) -> DataFrame:
+def across_parts(posts: DataFrame, found: DataFrame) -> DataFrame:
     """Of the keys with several parts that still hold several components: lines outside the key's largest
     one (role 0) in parts against all lines (role 1) in parts."""
-    rows = posts.join(keys.filter("parts > 1").select("key"), "key").join(found, "id", "left")
+    rows = posts.filter("parts > 1").drop("parts").join(found, "id", "left")
     rows = checkpoint(rows.withColumn("component", F.coalesce("component", "id")))
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes"))
     both = counts.groupBy("key").agg(
@@ -399,8 +463,8 @@ def group_heads(rows: pa.Table, place: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def joined(classes: DataFrame, percent: int) -> DataFrame:
-    """(id, component) of all lines with a link. classes has k, text, signature and bands.
+def joined(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of all lines with a link. classes has k, the line's place, signature and bands.
 
     Lines of a key meet in parts of about BLOCK lines and are compared there, with their texts; what is
     joined already is not compared again, so a group of near copies costs about one comparison a line.
@@ -408,16 +472,29 @@ def joined(classes: DataFrame, percent: int) -> DataFrame:
     other. Nothing is left out: a pair is compared under the first band that both lines share."""
     # the size of a set is not known from a line's length: every size may fit
     least = matches(percent, SIGNATURE, SIGNATURE_MISS, 1 / 256)
-    posts = classes.select(F.explode("bands").alias("key"), F.col("k").alias("id"), "text", "signature", "bands")
-    posts = posts.filter("key <> 0")
-    keys = posts.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes"))
-    keys = checkpoint(keys.filter("n > 1").select("key", parts_of(F.col("n"), F.col("bytes")).alias("parts")))
-    own = checkpoint(links(inside_parts(posts, keys), least, percent))
+    thin = classes.select(F.explode("bands").alias("key"), F.col("k").alias("id"), "bytes")
+    thin = thin.filter("key <> 0")
+    meets = meeting_keys(thin)
+    own = in_turns(lambda turn: links(inside_parts(posted_under(groups, classes, meets, turn)), least, percent))
     found = c.components(own)
-    if keys.filter("parts > 1").isEmpty():
+    large = meets.filter(F.exists("keys", lambda x: x["parts"] > 1))
+    if large.isEmpty():
         return found
-    more = links(across_parts(posts, keys, checkpoint(found)), least, percent)
-    return c.components(own.unionByName(checkpoint(more)))
+    large = large.withColumn("keys", F.filter("keys", lambda x: x["parts"] > 1))
+    found = checkpoint(found)
+    more = in_turns(
+        lambda turn: links(across_parts(posted_under(groups, classes, large, turn), found), least, percent)
+    )
+    return c.components(own.unionByName(more))
+
+
+def in_turns(made) -> DataFrame:
+    """What made(turn) gives for all TURNS, one after another; what a turn has shuffled is let go."""
+    parts = []
+    for turn in range(TURNS):
+        parts.append(checkpoint(made(turn)))
+        c.forget(parts[-1].sparkSession)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def line_dedup(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataFrame:
@@ -425,8 +502,10 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataFrame:
     names = [x for x in (docs.columns if keep is None else keep) if x.lower() not in NEW]
     rows = docs.select(*dict.fromkeys([*names, "doc_id", "text"]))
     groups = c.grouped(rows).persist()  # read again at the end: texts are dealt out once
-    lines = stored(recurring(groups.select("doc_id", "text", "__k", "__g"), percent))
-    found = joined(lines.filter("bands IS NOT NULL").select("k", "text", "signature", "bands"), percent)
+    texts = groups.select("doc_id", "text", "__k", "__g")
+    lines = stored(recurring(texts, percent))
+    c.forget(docs.sparkSession)  # the exchange of band keys is done
+    found = joined(texts, lines.filter("bands IS NOT NULL"), percent)
     place = F.struct("doc_id", "__g", "row", "line")
     owned = lines.select("k", *place_columns()).join(found.withColumnRenamed("id", "k"), "k", "left")
     owned = owned.withColumn("component", F.coalesce("component", "k"))
