@@ -386,36 +386,15 @@ def piece_links(rows: pa.Table, group: np.ndarray, least: int, percent: int) ->
     at[of] = np.concatenate([one, other])
     data, offsets = c.text_bytes(rows.column("text").take(pa.array(at)))
     items, firsts = distinct(*line_sets(data, offsets[:-1], offsets[1:])) if len(at) else (None, None)
-    one_of, other_of = of[: len(one)], of[len(one) :]
-    parent = np.unique(rows.column("component").to_numpy(), return_inverse=True)[1]
-    tree = np.arange(len(parent))  # over components
-
-    def root(i: int) -> int:
-        while tree[i] != i:
-            tree[i] = tree[tree[i]]
-            i = tree[i]
-        return i
-
-    found, step = [], 64
-    while len(one):
-        for i, j, x, y in zip(one[:step].tolist(), other[:step].tolist(), one_of[:step].tolist(), other_of[:step].tolist(), strict=True):
-            left, right = root(parent[i]), root(parent[j])
-            if left == right:
-                continue
-            u, v = items[firsts[x] : firsts[x + 1]], items[firsts[y] : firsts[y + 1]]
-            both = int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum())
-            if 100 * both >= percent * (len(u) + len(v) - both):
-                found.append((ids[i], ids[j]))
-                tree[max(left, right)] = min(left, right)
-        one, other, one_of, other_of = (x[step:] for x in (one, other, one_of, other_of))
-        roots = tree
-        while (roots[roots] != roots).any():
-            roots = roots[roots]
-        tree = roots.copy()
-        apart = roots[parent[one]] != roots[parent[other]]
-        one, other, one_of, other_of = (x[apart] for x in (one, other, one_of, other_of))
-        step *= 2
-    return c.ordered_pairs(np.array(found, np.int64).reshape(-1, 2).T)
+    place = np.zeros(len(ids), np.int64)
+    place[np.concatenate([one, other])] = of
+
+    def link(i: int, j: int) -> bool:
+        x, y = place[i], place[j]
+        return c.alike_enough(items[firsts[x] : firsts[x + 1]], items[firsts[y] : firsts[y + 1]], percent)
+
+    found = c.joining(one, other, rows.column("component").to_numpy(), link)
+    return c.ordered_pairs(ids[np.array(found, np.int64).reshape(-1, 2)].T)
 
 
 def links(placed: DataFrame, least: int, percent: int) -> DataFrame:

@@ -168,11 +168,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x = np.frombuffer(x.as_buffer(), c.U64)
-                y = np.frombuffer(y.as_buffer(), c.U64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                x, y = (np.frombuffer(z.as_buffer(), c.U64) for z in (x, y))
+                keep[i] = c.alike_enough(x, y, percent)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return rows.mapInArrow(run, "a LONG, b LONG")
@@ -218,7 +215,8 @@ def marked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     facts = wanted.select(F.col("k").alias("id"), F.col("n_shingles").alias("n"), F.col("sketch").alias("signature"))
     collisions = matches(percent, SKETCH, SKETCH_MISS, 1 / 256)
-    found = c.linked(posts, facts, lambda pairs: confirmed(pairs, sets, percent), collisions, percent, np.uint8)
+    whole = sets.withColumnRenamed("k", "id")
+    found = c.linked(posts, facts, lambda pairs: confirmed(pairs, sets, percent), whole, collisions, percent, np.uint8)
     del posts, facts
     c.forget(docs.sparkSession)
     members = found.withColumnRenamed("id", "k")
