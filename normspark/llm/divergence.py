@@ -46,7 +46,7 @@ MIN_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
 #: bytes of text counted at once
-PIECE = 16 << 20
+PIECE = 4 << 20
 #: pair sums a task holds before it passes them on
 HELD = 1 << 20
 #: pairs of node and ancestor worked on at once
