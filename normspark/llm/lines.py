@@ -12,7 +12,7 @@ Equal lines are one class: an exchange of packed line hashes names one of them t
 and only this one takes part in the banding, so a line that stands in every document is one row per
 document in a plain minimum and one class in the join. Band keys travel packed, 8 bytes each; only
 lines that have copies or share a band with a different line become rows, and only the latter with
-bands (0 for a band of its own); their texts go to the keys under which they are compared and nowhere else.
+bands (0 for a band of its own); their texts go to the places where they are compared and nowhere else: these are found on rows without texts.
 Of keys that hold the same lines, or lines that one other key holds, one is enough. Signatures stay as one byte of each minimum. Pairs inside a component are not made (common.linked()).
 
 Null and blank texts have no lines. A text all of whose lines are removed becomes empty and its
@@ -50,7 +50,7 @@ STRETCH = 1 << 17
 BLOCK = 512
 BLOCK_BYTES = 1 << 20
 #: shares of the keys that are worked off one after another, so that texts under one share only are on disk
-TURNS = 2
+TURNS = 4
 NEW = {"n_lines": "LONG", "n_removed": "LONG"}
 
 
@@ -243,6 +243,7 @@ def recurring(groups: DataFrame, percent: int) -> DataFrame:
     return groups.groupBy("__g").cogroup(replies.groupBy("__g")).applyInArrow(run, RECURRING)
 
 
+PLACE = ["key", "x", "y", "role"]
 PLACED = "key LONG, x INT, y INT, role INT, id LONG, component LONG, text STRING, signature BINARY, bands ARRAY<LONG>"
 
 
@@ -279,59 +280,57 @@ def meeting_keys(thin: DataFrame) -> DataFrame:
     return checkpoint(kept.groupBy("id").agg(F.collect_list(F.struct("key", "parts")).alias("keys")))
 
 
-POSTED = "key LONG, parts INT, id LONG, text STRING, signature BINARY, bands ARRAY<LONG>"
-
-
-def posted_under(groups: DataFrame, classes: DataFrame, meets: DataFrame, turn: int) -> DataFrame:
-    """One row per line and key of meets (id, keys), with the parts of the key, for the keys of one of TURNS;
-    bands under which the line is not compared become 0. Texts are taken from the groups only here, where
-    they go to their keys."""
-    rows = classes.withColumnRenamed("k", "id").join(meets, "id")
-    used = F.transform("bands", lambda b: F.when(F.exists("keys", lambda x: x["key"] == b), b).otherwise(F.lit(0)))
+def posted_at(groups: DataFrame, classes: DataFrame, places: DataFrame, turn: int) -> DataFrame:
+    """One row per line and place of places (id, component, places), for the keys of one of TURNS; bands
+    under which the line is not compared become 0. Texts are taken from the groups only here."""
+    rows = classes.withColumnRenamed("k", "id").join(places, "id")
+    used = F.transform("bands", lambda b: F.when(F.exists("places", lambda x: x["key"] == b), b).otherwise(F.lit(0)))
     rows = rows.withColumn("bands", used)
-    rows = rows.withColumn("keys", F.filter("keys", lambda x: F.pmod(F.xxhash64(x["key"]), F.lit(TURNS)) == turn))
-    rows = rows.filter(F.size("keys") > 0).select(
-        "__g", "row", "line", "id", "signature", "bands",
-        F.col("keys.key").alias("key"), F.col("keys.parts").alias("parts"),
+    rows = rows.withColumn("places", F.filter("places", lambda x: F.pmod(F.xxhash64(x["key"]), F.lit(TURNS)) == turn))
+    rows = rows.filter(F.size("places") > 0).select(
+        "__g", "row", "line", "id", "component", "signature", "bands",
+        *(F.col("places")[x].alias(x) for x in PLACE),
     )
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         data, offsets = c.text_bytes(c.by_row_key(rows).column("text"))
         starts, ends, firsts = line_table(data, offsets)
         at = firsts[asked.column("row").to_numpy()] + asked.column("line").to_numpy()
-        keys = asked.column("key").combine_chunks()
-        each = pa.array(np.repeat(np.arange(len(at)), keys.value_lengths().to_numpy()))
+        lists = {x: asked.column(x).combine_chunks() for x in PLACE}
+        each = pa.array(np.repeat(np.arange(len(at)), lists["key"].value_lengths().to_numpy()))
         source = data.tobytes()
         texts = pa.array([source[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], pa.binary())
         return pa.table(
             {
-                "key": keys.flatten(),
-                "parts": asked.column("parts").combine_chunks().flatten(),
+                **{x: lists[x].flatten() for x in PLACE},
                 "id": asked.column("id").take(each),
+                "component": asked.column("component").take(each),
                 "text": texts.cast(pa.string()).take(each),
                 "signature": asked.column("signature").take(each),
                 "bands": asked.column("bands").take(each),
             }
         )
 
-    return groups.groupBy("__g").cogroup(rows.groupBy("__g")).applyInArrow(run, POSTED)
+    return groups.groupBy("__g").cogroup(rows.groupBy("__g")).applyInArrow(run, PLACED)
 
 
-def inside_parts(posts: DataFrame) -> DataFrame:
-    """Every line in one part of each of its keys."""
-    rows = posts.withColumn("x", dealt("id", F.col("parts"), 1))
-    return rows.select(
-        "key", "x", F.lit(0).alias("y"), F.lit(-1).alias("role"),
-        "id", F.col("id").alias("component"), "text", "signature", "bands",
-    )
+def place(key, x, y, role: int):
+    return F.struct(key.alias("key"), x.alias("x"), y.alias("y"), F.lit(role).alias("role"))
+
 
+def inside_parts(meets: DataFrame) -> DataFrame:
+    """(id, component, places): every line in one part of each of its keys."""
+    own = F.transform("keys", lambda k: place(k["key"], dealt("id", k["parts"], 1), F.lit(0), -1))
+    return meets.select("id", F.col("id").alias("component"), own.alias("places"))
 
-def across_parts(posts: DataFrame, found: DataFrame) -> DataFrame:
-    """Of the keys with several parts that still hold several components: lines outside the key's largest
-    one (role 0) in parts against all lines (role 1) in parts."""
-    rows = posts.filter("parts > 1").drop("parts").join(found, "id", "left")
+
+def across_parts(large: DataFrame, sizes: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, component, places) for the keys with several parts that still hold several components: lines
+    outside the key's largest one (role 0) in parts against all lines (role 1) in parts. large has (id, keys),
+    sizes (id, bytes)."""
+    rows = large.select("id", F.explode("keys.key").alias("key")).join(sizes, "id").join(found, "id", "left")
     rows = checkpoint(rows.withColumn("component", F.coalesce("component", "id")))
-    counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("bytes"))
+    counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     both = counts.groupBy("key").agg(
         F.max_by("component", F.struct("n", "component")).alias("largest"),
         F.max(F.struct("n", "component", "bytes")).alias("most"),
@@ -344,17 +343,15 @@ def across_parts(posts: DataFrame, found: DataFrame) -> DataFrame:
         parts_of(F.col("n") - F.col("most.n"), F.col("bytes") - F.col("most.bytes")).alias("xs"),
         parts_of(F.col("n"), F.col("bytes")).alias("ys"),
     )
-    rows = rows.join(both, "key")
-    columns = ["id", "component", "text", "signature", "bands"]
-    asking = rows.filter("component <> largest").select(
-        "key", dealt("id", F.col("xs"), 2).alias("x"),
-        F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("y"), F.lit(0).alias("role"), *columns,
-    )
-    asked = rows.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("x"),
-        dealt("id", F.col("ys"), 3).alias("y"), F.lit(1).alias("role"), *columns,
+    rows = rows.join(both, "key").select(
+        "key", "id", "component", (F.col("component") != F.col("largest")).alias("outside"), "xs", "ys",
+        dealt("id", F.col("xs"), 2).alias("x"), dealt("id", F.col("ys"), 3).alias("y"),
     )
-    return asking.unionByName(asked)
+    asked = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: place(F.col("key"), x, F.col("y"), 1))
+    asking = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: place(F.col("key"), F.col("x"), y, 0))
+    rows = rows.withColumn("places", F.when(F.col("outside"), F.concat(asked, asking)).otherwise(asked))
+    made = rows.groupBy("id").agg(F.first("component").alias("component"), F.flatten(F.collect_list("places")).alias("places"))
+    return checkpoint(made)
 
 
 def likely(group, role, key, signs, bands, least: int):
@@ -454,17 +451,16 @@ def joined(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     thin = classes.select(F.explode("bands").alias("key"), F.col("k").alias("id"), "bytes")
     thin = thin.filter("key <> 0")
     meets = meeting_keys(thin)
-    own = in_turns(lambda turn: links(inside_parts(posted_under(groups, classes, meets, turn)), least, percent))
-    found = c.components(own)
+    inside = inside_parts(meets)
+    found = c.components(in_turns(lambda turn: links(posted_at(groups, classes, inside, turn), least, percent)))
     large = meets.filter(F.exists("keys", lambda x: x["parts"] > 1))
     if large.isEmpty():
         return found
     large = large.withColumn("keys", F.filter("keys", lambda x: x["parts"] > 1))
     found = checkpoint(found)
-    more = in_turns(
-        lambda turn: links(across_parts(posted_under(groups, classes, large, turn), found), least, percent)
-    )
-    return c.components(own.unionByName(more))
+    across = across_parts(large, classes.select(F.col("k").alias("id"), "bytes"), found)
+    more = in_turns(lambda turn: links(posted_at(groups, classes, across, turn), least, percent))
+    return c.components(c.stars(found).unionByName(more))
 
 
 def in_turns(made) -> DataFrame:
