@@ -12,7 +12,9 @@ Equal lines are one class: an exchange of packed line hashes names one of them t
 and only this one takes part in the banding, so a line that stands in every document is one row per
 document in a plain minimum and one class in the join. Band keys travel packed, 8 bytes each; only
 lines that have copies or share a band with a different line become rows, and only the latter with
-bands (0 for a band of its own); their texts go to the places where they are compared and nowhere else: these are found on rows without texts.
+bands (0 for a band of its own). Unlike lines that share a band by chance grow with the square of the lines, so
+lines first meet under their keys with their signatures only, and a line stays under a key where another one's is
+alike enough for a link. Texts go to the places where lines are compared and nowhere else: these are found on rows without texts.
 Of keys that hold the same lines, or lines that one other key holds, one is enough. Signatures stay as one byte of each minimum. Pairs inside a component are not made (common.linked()).
 
 Null and blank texts have no lines. A text all of whose lines are removed becomes empty and its
@@ -26,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,8 +52,13 @@ STRETCH = 1 << 17
 #: lines and bytes of one key that are compared with each other in one part
 BLOCK = 512
 BLOCK_BYTES = 1 << 20
-#: shares of the keys that are worked off one after another, so that texts under one share only are on disk
-TURNS = 4
+#: lines of one key up to which their signatures are compared ahead of their texts; larger keys go on whole
+WIDE = 4096
+#: places are worked off in turns, so that texts of one turn only are on disk: bytes of a turn, as a share of
+#: all lines with bands, and at least so many; for signatures one post a line, and at least so many posts
+TURN_SHARE = 0.25
+TURN_BYTES = 32 << 20
+TURN_POSTS = 1 << 19
 NEW = {"n_lines": "LONG", "n_removed": "LONG"}
 
 
@@ -72,7 +80,8 @@ def line_table(data: np.ndarray, offsets: np.ndarray):
     starts = starts[starts < len(data)]
     following = np.append(starts[1:], len(data))
     ends = following - (data[following - 1] == 10)
-    inside = np.concatenate([[0], np.cumsum(~c.SPACE[data])])
+    inside = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(~c.SPACE[data], out=inside[1:])
     real = inside[ends] > inside[starts]
     starts, ends = starts[real], ends[real]
     return starts, ends, np.searchsorted(starts, offsets)
@@ -252,6 +261,77 @@ def parts_of(n, sizes):
     return F.ceil(F.greatest(n / F.lit(BLOCK), sizes / F.lit(BLOCK_BYTES))).cast("int")
 
 
+def turns_for(made, least: int, share) -> int:
+    """Turns for so much to post, each of at most the share or least, whichever is more."""
+    return max(1, math.ceil((made or 0) / max(least, share or 0)))
+
+
+def having_likely(rows: pa.Table, heads: np.ndarray, least: int) -> np.ndarray:
+    """Which rows have a signature alike enough to another one's of the same key; all rows of a key above WIDE."""
+    n = rows.num_rows
+    sizes = np.diff(np.append(heads, n))
+    left = np.repeat(heads + sizes, sizes) - np.arange(n)  # rows of the key from this one on
+    hit = np.repeat(sizes > WIDE, sizes)
+    signs = c.text_bytes(rows.column("signature"))[0].reshape(n, -1)
+    i, d = np.flatnonzero(~hit), 1
+    while len(i := i[left[i] > d]):
+        new = i[~(hit[i] & hit[i + d])]
+        for at in range(0, len(new), STRETCH):
+            own = new[at : at + STRETCH]
+            own = own[(signs[own] == signs[own + d]).sum(1) >= least]
+            hit[own] = hit[own + d] = True
+        d += 1
+    return hit
+
+
+def alike_posts(posts: DataFrame, least: int) -> DataFrame:
+    """(key, id, bytes) of those posts (key, id, bytes, signature) whose signature is alike enough to another one's
+    under the same key. A pair of lines is likely under all keys they share or none, so no pair is lost."""
+    rows = posts.repartition(c.partitions(posts.sparkSession), "key").sortWithinPartitions("key")
+
+    def going_on(rows: pa.Table, hit=None):
+        kept = rows.select(["key", "id", "bytes"])
+        return (kept if hit is None else kept.filter(pa.array(hit))).to_batches()
+
+    def run(batches):
+        held = passing = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if passing is not None:  # the rest of a key above WIDE
+                n = int((rows.column("key").to_numpy() == passing).sum())
+                yield from going_on(rows.slice(0, n))
+                rows = rows.slice(n)
+            if not rows.num_rows:
+                continue
+            passing = None
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            heads = group_heads(rows, ["key"])
+            whole = rows.slice(0, heads[-1])
+            if whole.num_rows:
+                yield from going_on(whole, having_likely(whole, heads[:-1], least))
+            held = rows.slice(heads[-1])
+            if held.num_rows > WIDE:
+                yield from going_on(held)
+                held, passing = None, held.column("key")[0].as_py()
+        if held is not None:
+            yield from going_on(held, having_likely(held, np.zeros(1, np.int64), least))
+
+    return rows.mapInArrow(run, "key LONG, id LONG, bytes INT")
+
+
+def likely_posts(classes: DataFrame, least: int) -> DataFrame:
+    """(key, id, bytes): the keys under which a line may have a link. classes has (k, bytes, signature, bands)."""
+    used = classes.withColumn("bands", F.filter("bands", lambda b: b != 0))
+    posts, rows = used.agg(F.sum(F.size("bands")), F.count("*")).first()
+    turns = turns_for(posts, TURN_POSTS, rows)
+    posts = used.select(F.explode("bands").alias("key"), F.col("k").alias("id"), "bytes", "signature")
+
+    def made(turn: int) -> DataFrame:
+        return alike_posts(posts.filter(F.pmod(F.xxhash64("key"), F.lit(turns)) == turn), least)
+
+    return in_turns(made, turns)
+
+
 def dealt(column, parts, turn: int):
     return F.pmod(F.xxhash64(column, F.lit(turn)), parts).cast("int")
 
@@ -280,14 +360,16 @@ def meeting_keys(thin: DataFrame) -> DataFrame:
     return checkpoint(kept.groupBy("id").agg(F.collect_list(F.struct("key", "parts")).alias("keys")))
 
 
-def posted_at(groups: DataFrame, classes: DataFrame, places: DataFrame, turn: int) -> DataFrame:
-    """One row per line and place of places (id, component, places), for the keys of one of TURNS; bands
+def posted_at(groups: DataFrame, classes: DataFrame, places: DataFrame, turn: int, turns: int) -> DataFrame:
+    """One row per line and place of places (id, component, places), for one turn of the places; bands
     under which the line is not compared become 0. Texts are taken from the groups only here."""
-    rows = classes.withColumnRenamed("k", "id").join(places, "id")
-    used = F.transform("bands", lambda b: F.when(F.exists("places", lambda x: x["key"] == b), b).otherwise(F.lit(0)))
-    rows = rows.withColumn("bands", used)
-    rows = rows.withColumn("places", F.filter("places", lambda x: F.pmod(F.xxhash64(x["key"]), F.lit(TURNS)) == turn))
-    rows = rows.filter(F.size("places") > 0).select(
+    asked = places.withColumn("used", F.array_distinct(F.transform("places", lambda x: x["key"])))
+    asked = asked.withColumn(
+        "places", F.filter("places", lambda x: F.pmod(F.xxhash64(x["key"], x["x"], x["y"]), F.lit(turns)) == turn)
+    )
+    rows = classes.withColumnRenamed("k", "id").join(asked.filter(F.size("places") > 0), "id")
+    used = F.transform("bands", lambda b: F.when(F.array_contains("used", b), b).otherwise(F.lit(0)))
+    rows = rows.withColumn("bands", used).select(
         "__g", "row", "line", "id", "component", "signature", "bands",
         *(F.col("places")[x].alias(x) for x in PLACE),
     )
@@ -344,14 +426,21 @@ def across_parts(large: DataFrame, sizes: DataFrame, found: DataFrame) -> DataFr
         parts_of(F.col("n"), F.col("bytes")).alias("ys"),
     )
     rows = rows.join(both, "key").select(
-        "key", "id", "component", (F.col("component") != F.col("largest")).alias("outside"), "xs", "ys",
+        "id", "component", "key", (F.col("component") != F.col("largest")).alias("outside"), "xs", "ys",
         dealt("id", F.col("xs"), 2).alias("x"), dealt("id", F.col("ys"), 3).alias("y"),
     )
-    asked = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda x: place(F.col("key"), x, F.col("y"), 1))
-    asking = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda y: place(F.col("key"), F.col("x"), y, 0))
-    rows = rows.withColumn("places", F.when(F.col("outside"), F.concat(asked, asking)).otherwise(asked))
-    made = rows.groupBy("id").agg(F.first("component").alias("component"), F.flatten(F.collect_list("places")).alias("places"))
-    return checkpoint(made)
+    made = rows.groupBy("id").agg(
+        F.first("component").alias("component"),
+        F.collect_list(F.struct("key", "outside", "xs", "ys", "x", "y")).alias("keys"),
+    )
+    # the places have the square of a key's parts: they are made from this where they are read
+
+    def places(k):
+        asked = F.transform(F.sequence(F.lit(0), k["xs"] - 1), lambda x: place(k["key"], x, k["y"], 1))
+        asking = F.transform(F.sequence(F.lit(0), k["ys"] - 1), lambda y: place(k["key"], k["x"], y, 0))
+        return F.when(k["outside"], F.concat(asked, asking)).otherwise(asked)
+
+    return checkpoint(made).select("id", "component", F.flatten(F.transform("keys", places)).alias("places"))
 
 
 def likely(group, role, key, signs, bands, least: int):
@@ -448,25 +537,30 @@ def joined(groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     other. Nothing is left out: a pair is compared under the first band that both lines share."""
     # the size of a set is not known from a line's length: every size may fit
     least = matches(percent, SIGNATURE, SIGNATURE_MISS, 1 / 256)
-    thin = classes.select(F.explode("bands").alias("key"), F.col("k").alias("id"), "bytes")
-    thin = thin.filter("key <> 0")
-    meets = meeting_keys(thin)
-    inside = inside_parts(meets)
-    found = c.components(in_turns(lambda turn: links(posted_at(groups, classes, inside, turn), least, percent)))
+    share = classes.agg(F.sum("bytes") * TURN_SHARE).first()[0]
+    meets = meeting_keys(likely_posts(classes, least))
+    c.forget(groups.sparkSession)
+    classes = stored(classes.drop("doc_id").join(meets.select(F.col("id").alias("k")), "k", "left_semi"))
+    sizes = classes.select(F.col("k").alias("id"), "bytes")
+
+    def compared(places: DataFrame) -> DataFrame:
+        n = places.select("id", F.size("places").alias("n")).join(sizes, "id")
+        turns = turns_for(n.agg(F.sum(F.col("n") * F.col("bytes"))).first()[0], TURN_BYTES, share)
+        return in_turns(lambda t: links(posted_at(groups, classes, places, t, turns), least, percent), turns)
+
+    found = c.components(compared(inside_parts(meets)))
     large = meets.filter(F.exists("keys", lambda x: x["parts"] > 1))
     if large.isEmpty():
         return found
     large = large.withColumn("keys", F.filter("keys", lambda x: x["parts"] > 1))
     found = checkpoint(found)
-    across = across_parts(large, classes.select(F.col("k").alias("id"), "bytes"), found)
-    more = in_turns(lambda turn: links(posted_at(groups, classes, across, turn), least, percent))
-    return c.components(c.stars(found).unionByName(more))
+    return c.components(c.stars(found).unionByName(compared(across_parts(large, sizes, found))))
 
 
-def in_turns(made) -> DataFrame:
-    """What made(turn) gives for all TURNS, one after another; what a turn has shuffled is let go."""
+def in_turns(made, turns: int) -> DataFrame:
+    """What made(turn) gives for all turns, one after another; what a turn has shuffled is let go."""
     parts = []
-    for turn in range(TURNS):
+    for turn in range(turns):
         parts.append(checkpoint(made(turn)))
         c.forget(parts[-1].sparkSession)
     return reduce(DataFrame.unionByName, parts)
@@ -476,7 +570,9 @@ def line_dedup(docs: DataFrame, percent: int = PERCENT, keep=None) -> DataFrame:
     """Input columns with text cut to the lines that stay, n_lines and n_removed."""
     names = [x for x in (docs.columns if keep is None else keep) if x.lower() not in NEW]
     rows = docs.select(*dict.fromkeys([*names, "doc_id", "text"]))
-    groups = c.grouped(rows).persist()  # read again at the end: texts are dealt out once
+    # read again at the end: texts are dealt out once. What has no room in memory is read from the files of the
+    # shuffle, which stay as long as the groups do: a second copy on disk would only double them
+    groups = c.grouped(rows).persist(StorageLevel.MEMORY_ONLY)
     texts = groups.select("doc_id", "text", "__k", "__g")
     lines = stored(recurring(texts, percent))
     c.forget(docs.sparkSession)  # the exchange of band keys is done
